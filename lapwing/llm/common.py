@@ -37,25 +37,25 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column], spread: list[str], out: str, weight: Column | None = None, per_bucket: int = 20_000) -> DataFrame:
+def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column], spread: list[str], out: str, weight: Column | None = None, bucket: Column | None = None, per_bucket: int = 20_000) -> DataFrame:
     """Gapless position (or running weight before the row) of each row in its group.
 
     A group of any size is dealt over hash buckets: positions are counted in
     each bucket and shifted by the sums of the buckets before it, so no task
     holds a whole group.  The order is (bucket, ``order``): pseudorandom by
-    ``spread`` but the same in every run.  ``df`` should be durable, since it
-    is read twice.
+    ``spread`` but the same in every run; a ``bucket`` that rises with ``order``
+    gives that order itself.  ``df`` should be durable, since it is read twice.
     """
-    n = df.count()
-    buckets = max(1, -(-n // per_bucket))
+    if bucket is None:
+        bucket = F.pmod(F.xxhash64(*spread, F.lit(71)), F.lit(max(1, -(-df.count() // per_bucket))))
     w = F.lit(1).cast("long") if weight is None else weight.cast("long")
-    x = df.withColumn("_b", F.pmod(F.xxhash64(*spread, F.lit(71)), F.lit(buckets))).withColumn("_w", w)
+    x = df.withColumn("_b", bucket).withColumn("_w", w)
     sums = x.groupBy(*groups, "_b").agg(F.sum("_w").alias("_s"))
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0).cast("long"))).drop("_s")
     inside = Window.partitionBy(*groups, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     x = x.withColumn("_in", F.coalesce(F.sum("_w").over(inside), F.lit(0).cast("long")))
-    on = [x[g].eqNullSafe(sums[g]) for g in groups] + [x["_b"] == sums["_b"]]
+    on = [x[g].eqNullSafe(sums[g]) for g in groups] + [x["_b"].eqNullSafe(sums["_b"])]
     cond = on[0]
     for c in on[1:]:
         cond = cond & c

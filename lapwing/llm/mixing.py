@@ -47,11 +47,12 @@ def permuted(index: pd.Series, key: pd.Series, n: pd.Series) -> pd.Series:
     x, k, n = index.to_numpy().astype(np.uint64), bw.mix(key.to_numpy().astype(np.uint64)), n.to_numpy().astype(np.uint64)
     half = np.array([(max(int(v) - 1, 1).bit_length() + 1) // 2 for v in n], dtype=np.uint64)
     low = (np.uint64(1) << half) - np.uint64(1)
+    turns = bw.mix(np.arange(1, 5))
     todo = np.arange(len(x))
     while len(todo):
         a, b, h, m, q = x[todo] >> half[todo], x[todo] & low[todo], half[todo], low[todo], k[todo]
         for r in range(4):
-            a, b = b, a ^ (bw.mix(b + q + np.uint64(r) * np.uint64(0x632BE59BD9B4E019)) & m)
+            a, b = b, a ^ (bw.mix(b + q + turns[r]) & m)
         x[todo] = (a << h) | b
         todo = todo[x[todo] >= n[todo]]
     return pd.Series(x.astype(np.int64))

@@ -59,4 +59,27 @@ SELECT d.doc_id, len(a)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2, "op4_line_quality": OP4, "op10_decontamination": OP10}
+OP9 = r"""
+WITH c AS (
+  SELECT conv_id, turn, text, 'call_' || conv_id || '_' || turn AS call_id,
+    CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'ask' ELSE 'note' END AS name,
+    CASE WHEN turn >= 2 THEN 'call_' || conv_id || '_' || (turn - 2) END AS needs
+  FROM conversations WHERE role = 'user'),
+r AS (SELECT conv_id, turn AS result_turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, text AS content FROM conversations WHERE role = 'assistant'),
+b AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, turn, name, text, needs, content,
+    CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, coalesce(c.turn, r.result_turn) AS at_turn
+  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id),
+x AS (
+  SELECT b.*, row_number() OVER (PARTITION BY conv_id ORDER BY at_turn, call_id, status) - 1 AS "position",
+    needs IS NULL OR EXISTS (SELECT 1 FROM c WHERE c.conv_id = b.conv_id AND c.call_id = b.needs AND c.turn < b.turn) AS ordered,
+    CASE WHEN status = 'orphan' THEN 'call' WHEN name = 'note' THEN 'tool'
+      WHEN turn % 5 = 4 THEN CASE name WHEN 'ask' THEN 'missing limit;missing text;unexpected turn' ELSE 'missing text;unexpected turn' END ELSE '' END AS errors,
+    CASE WHEN status = 'orphan' THEN NULL WHEN turn % 5 = 4 THEN '{"turn":' || turn || '}' ELSE '{"limit":' || turn || ',"text":' || to_json(text)::VARCHAR || '}' END AS arguments
+  FROM b)
+SELECT conv_id, call_id, status, "position", ordered, errors, errors = '' AND ordered AS valid,
+  '{' || concat_ws(',', '"arguments":' || arguments, '"id":' || to_json(call_id)::VARCHAR, '"name":' || to_json(name)::VARCHAR, '"result":' || to_json(content)::VARCHAR) || '}' AS json
+FROM x
+"""
+
+ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2, "op4_line_quality": OP4, "op9_tool_call_linking": OP9, "op10_decontamination": OP10}

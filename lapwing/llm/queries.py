@@ -11,7 +11,9 @@ from lapwing.llm.decontaminate import contamination
 from lapwing.llm.line_quality import quality_rules
 from lapwing.llm.mixing import Mixture
 from lapwing.llm.near_dedup import near_duplicates
+from lapwing.llm.sharding import balanced_shards
 from lapwing.llm.token_ids import token_files
+from lapwing.llm.tool_calls import calls_of_turns, chat_schemas, link_tool_calls
 
 #: The vocabulary of op8; its folder is that of the public vocabulary package.
 VOCABULARY = "word_bpe_49k.json"
@@ -39,10 +41,19 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = calls_of_turns(table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, chat_schemas(spark)).withColumn("errors", F.array_join("errors", ";"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_line_quality": op4_line_quality,
+    "op6_balanced_sharding": op6_balanced_sharding,
     "op8_token_files": op8_token_files,
+    "op9_tool_call_linking": op9_tool_call_linking,
     "op10_decontamination": op10_decontamination,
 }
