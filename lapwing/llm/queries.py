@@ -11,9 +11,11 @@ from lapwing.llm.decontaminate import contamination
 from lapwing.llm.line_quality import quality_rules
 from lapwing.llm.mixing import Mixture
 from lapwing.llm.near_dedup import near_duplicates
+from lapwing.llm.quality import quality
 from lapwing.llm.sharding import balanced_shards
 from lapwing.llm.token_ids import token_files
 from lapwing.llm.tool_calls import calls_of_turns, chat_schemas, link_tool_calls
+from lapwing.llm.toxicity import fit_toxicity, toxicity
 
 #: The vocabulary of op8; its folder is that of the public vocabulary package.
 VOCABULARY = "word_bpe_49k.json"
@@ -41,10 +43,24 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    scored = toxicity(docs, fit_toxicity(docs, labels.where(~out)))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    scored = quality(docs, labels, ~out)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -62,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_line_quality": op4_line_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_balanced_sharding": op6_balanced_sharding,
+    "op7_quality_rules_ensemble": op7_quality_rules_ensemble,
     "op8_token_files": op8_token_files,
     "op9_tool_call_linking": op9_tool_call_linking,
     "op10_decontamination": op10_decontamination,
