@@ -5,6 +5,13 @@ from __future__ import annotations
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 
+OP1 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|h1|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM b)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM c
+"""
+
 OP2 = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, {_SPACED}) AS a FROM documents),
 s AS (
@@ -82,4 +89,4 @@ SELECT conv_id, call_id, status, "position", ordered, errors, errors = '' AND or
 FROM x
 """
 
-ORACLES: dict[str, str] = {"op2_minhash_near_dedup": OP2, "op4_line_quality": OP4, "op9_tool_call_linking": OP9, "op10_decontamination": OP10}
+ORACLES: dict[str, str] = {"op1_html_extraction": OP1, "op2_minhash_near_dedup": OP2, "op4_line_quality": OP4, "op9_tool_call_linking": OP9, "op10_decontamination": OP10}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.llm.decontaminate import contamination
+from lapwing.llm.html_text import main_text
 from lapwing.llm.line_quality import quality_rules
 from lapwing.llm.mixing import Mixture
 from lapwing.llm.near_dedup import near_duplicates
@@ -31,6 +32,10 @@ def vocabulary() -> str:
     return str(public_tokenizers.path(VOCABULARY))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -75,6 +80,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_line_quality": op4_line_quality,
