@@ -61,3 +61,25 @@ def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column], spread
         cond = cond & c
     keep = [x[c] for c in df.columns]
     return x.join(sums, cond).select(*keep, (x["_in"] + sums["_base"]).alias(out))
+
+
+#: Bits of the filter below: 512 rows of 4 KB, whatever it is made from.
+FILTER_BITS = 1 << 24
+
+
+def rows_of(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of a wide ``df`` whose ``key`` is in the one column of ``ids``.
+
+    A bitmap of fixed size over the ids' hashes is broadcast and drops nearly all
+    other rows before the join that decides: only rows that count are shuffled.
+    """
+    i = ids.columns[0]
+
+    def slot(c):
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+
+    bits = ids.select(F.shiftright(slot(i), 15).alias("_part"), slot(i).bitwiseAND(32767).alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    at = slot(key).bitwiseAND(32767)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    likely = df.withColumn("_part", F.shiftright(slot(key), 15)).join(F.broadcast(bits), "_part").where(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1)
+    return likely.select(*df.columns).join(ids.select(F.col(i).alias("_id")).distinct(), F.col(key) == F.col("_id"), "left_semi")

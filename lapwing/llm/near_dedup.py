@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm import bytewords as bw
-from lapwing.llm.common import cut
+from lapwing.llm.common import cut, rows_of
 from lapwing.llm.graph import components
 
 ROWS, BANDS = 8, 40
@@ -33,7 +33,7 @@ SKETCH_BITS = 1024
 #: XOR bits up to which full sets are compared.  At the similarity of 0.85 the
 #: mean is 87 and the deviation under 12; unrelated texts have about 365.
 MAX_XOR = 150
-BLOCK = 512
+BLOCK = 256
 
 FEATURES = "doc_id long, n_shingles long, klass binary, bands array<long>, sketch array<long>"
 
@@ -119,45 +119,56 @@ def _sets(size: int):
 def _confirm(numerator: int, denominator: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("items_u"), batch.column("items_v"), strict=True)):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                same = int((both[1:] == both[:-1]).sum())
-                if denominator * same >= numerator * (len(x) + len(y) - same):
-                    keep.append(i)
-            yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
+            sets = zip(batch.column("items_u"), batch.column("items_v"), strict=True)
+            keep = [_confirmed(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), numerator, denominator) for x, y in sets]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _across(best_only: bool):
-    """Sorted rows (bucket, i, j, node, component, sketch) to candidate pairs across components.
+def _confirmed(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
+    """Whether two sorted shingle sets are as similar as asked."""
+    if denominator * min(len(x), len(y)) < numerator * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return denominator * same >= numerator * (len(x) + len(y) - same)
 
-    A block's rows follow each other, so one block is held at a time.
+
+def _across(numerator: int, denominator: int):
+    """Sorted rows (bucket, i, j, side, node, component, sketch, items) to links that join components.
+
+    A block's rows follow each other, so one block is held at a time.  Pairs are
+    tried in the order of their sketches' distance; one whose ends are joined
+    already needs no look, so a block gives a spanning forest at most.
     """
 
-    def pairs(key, node, comp, side, sketch):
-        i, j = key[1], key[2]
-        if (comp == comp[0]).all():
+    def links(i, j, side, node, comp, sketch, items):
+        roots, own = np.unique(comp, return_inverse=True)
+        if len(roots) < 2:
             return
-        left = np.flatnonzero(side == i)
-        for x in left:
-            ok = comp != comp[x]
-            ok &= (side == j) if i != j else (np.arange(len(node)) > x)
-            to = np.flatnonzero(ok)
-            if not len(to):
-                continue
-            far = np.bitwise_count(sketch[to] ^ sketch[x]).sum(axis=1)
-            near = far <= MAX_XOR
-            to, far = to[near], far[near]
-            if best_only and len(to):
-                order = np.lexsort((node[to], far, comp[to]))
-                c = comp[to][order]
-                to = to[order[np.append(True, c[1:] != c[:-1])]]
-            if len(to):
-                yield np.full(len(to), node[x]), node[to]
+        parent = list(range(len(roots)))
+
+        def root(a):
+            while parent[a] != a:
+                parent[a] = a = parent[parent[a]]
+            return a
+
+        us, vs, far = [], [], []
+        for x in np.flatnonzero(side == i):
+            to = np.flatnonzero(((side == j) if i != j else (np.arange(len(node)) > x)) & (own != own[x]))
+            d = np.bitwise_count(sketch[to] ^ sketch[x]).sum(axis=1)
+            near = d <= MAX_XOR
+            us.append(np.full(int(near.sum()), x))
+            vs.append(to[near])
+            far.append(d[near])
+        us, vs = np.concatenate(us), np.concatenate(vs)
+        for k in np.argsort(np.concatenate(far), kind="stable"):
+            a, b = root(own[us[k]]), root(own[vs[k]])
+            if a != b and _confirmed(items[us[k]], items[vs[k]], numerator, denominator):
+                parent[a] = b
+                yield node[us[k]], node[vs[k]]
 
     def run(batches):
         held = None
@@ -166,6 +177,9 @@ def _across(best_only: bool):
                 continue
             cols = [np.asarray(batch.column(c)) for c in ("bucket", "i", "j", "side", "node", "component")]
             cols.append(np.asarray(batch.column("sketch").flatten()).view(np.uint64).reshape(batch.num_rows, -1))
+            items = np.empty(batch.num_rows, dtype=object)
+            items[:] = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("items")]
+            cols.append(items)
             if held is not None:
                 cols = [np.concatenate([p, q]) for p, q in zip(held, cols, strict=True)]
             new = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols[:3]])))
@@ -175,14 +189,10 @@ def _across(best_only: bool):
             yield from found(held, np.array([0, len(held[0])]))
 
     def found(cols, new):
-        us, vs = [], []
-        for a, b in zip(new[:-1], new[1:], strict=True):
-            if b - a > 1:
-                for u, v in pairs([c[a] for c in cols[:3]], cols[4][a:b], cols[5][a:b], cols[3][a:b], np.ascontiguousarray(cols[6][a:b])):
-                    us.append(u)
-                    vs.append(v)
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+        out = [link for a, b in zip(new[:-1], new[1:], strict=True) if b - a > 1 for link in links(cols[1][a], cols[2][a], *(c[a:b] for c in cols[3:]))]
+        if out:
+            u, v = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -210,39 +220,31 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
     full = bucket.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
     member = cut(bucket.join(full, "bucket"), "members")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-        need = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        text = docs.join(need, "doc_id")
-        items = cut(text.mapInArrow(_sets(shingle), "doc_id long, items binary").where("length(items) > 0"), "sets")
-        x = pairs.join(items.select(F.col("doc_id").alias("u"), F.col("items").alias("items_u")), "u")
-        x = x.join(items.select(F.col("doc_id").alias("v"), F.col("items").alias("items_v")), "v")
-        return x.select("u", "v", "items_u", "items_v").mapInArrow(_confirm(numerator, denominator), "u long, v long")
+    # the full sets of all classes that share a bucket
+    text = rows_of(docs, "doc_id", member.select("node").distinct())
+    items = cut(text.mapInArrow(_sets(shingle), "doc_id long, items binary").where("length(items) > 0"), "sets")
 
     # 1. each class against the most similar centre of its buckets
     met = member.where("node <> centre").select("node", "centre").distinct()
     met = met.join(node.select("node", F.col("sketch").alias("s")), "node")
     met = met.join(node.select(F.col("node").alias("centre"), F.col("sketch").alias("t")), "centre")
-    far = _xor_bits("s", "t")
-    met = met.select("node", "centre", far.alias("far")).where(F.col("far") <= MAX_XOR)
+    met = met.select("node", "centre", _xor_bits("s", "t").alias("far")).where(F.col("far") <= MAX_XOR)
     met = met.groupBy("node").agg(F.min_by("centre", F.struct("far", "centre")).alias("centre"))
-    links = cut(confirmed(met.select(F.col("node").alias("u"), F.col("centre").alias("v"))), "links")
-
-    # 2. across components, the most similar pair of each class and component; 3. whatever is left
-    for best_only in (True, False):
-        comp = components(links)
-        left = member.join(comp, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("component"))
-        mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-        left = left.join(mixed, "bucket").join(node.select("node", "sketch"), "node")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        left = left.withColumn("m", blocks).withColumn("side", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
-        left = left.withColumn("o", other)
-        left = left.select("bucket", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "component", "sketch")
-        left = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        more = left.mapInArrow(_across(best_only), "u long, v long")
-        hubs = comp.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        links = cut(hubs.union(confirmed(more)), "links")
+    x = met.select(F.col("node").alias("u"), F.col("centre").alias("v")).join(items.select(F.col("doc_id").alias("u"), F.col("items").alias("items_u")), "u")
+    x = x.join(items.select(F.col("doc_id").alias("v"), F.col("items").alias("items_v")), "v")
+    links = cut(x.select("u", "v", "items_u", "items_v").mapInArrow(_confirm(numerator, denominator), "u long, v long"), "links")
+
+    # 2. buckets that still hold several components, in blocks
+    comp = components(links)
+    left = member.join(comp, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("component"))
+    mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    left = left.join(mixed, "bucket").join(node.select("node", "sketch"), "node").join(items.select(F.col("doc_id").alias("node"), "items"), "node")
+    left = left.withColumn("m", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    left = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    left = left.select("bucket", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "component", "sketch", "items")
+    left = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    hubs = comp.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    links = cut(hubs.union(left.mapInArrow(_across(numerator, denominator), "u long, v long")), "links")
 
     comp = components(links)
     by_class = klass.join(comp, "node", "left").select("klass", F.coalesce("component", "node").alias("component"))
