@@ -137,7 +137,7 @@ def flagged_spans(spark, d):
 
 def passages(spark, d):
     pairs, _ = likely_pairs(spark, d)
-    spans = flagged_spans(spark, d)
+    pairs, spans = pairs.persist(), flagged_spans(spark, d).persist()  # each feeds several branches
     need = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
     return align.passage_level(align.merge_passages(align.align_spans(pairs, spans.join(need, "doc_id", "left_semi")))), spans
 
