@@ -41,16 +41,17 @@ def balanced_shards(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     for _ in range(rounds):
         held = linked.groupBy("g", "shard").agg(F.count("*").alias("n"))
         room = _room(held, [n // shards] * shards)
-        # the fullest shard of the group among those with room, or that it is mostly in already
+        # the fullest shard of the group among those with room; documents go there from emptier ones
         at = F.array(*[F.lit(r) for r in room])[F.col("shard")]
-        best = held.groupBy("g").agg(F.max_by("shard", F.struct((at > 0).cast("int"), "n", -F.col("shard"))).alias("best"), F.max_by("shard", F.struct("n", -F.col("shard"))).alias("most"))
-        state = linked.join(best, "g").withColumn("stay", (F.col("shard") == F.col("most")) | (F.col("shard") == F.col("best")))
-        state = cut(state, "state")
-        wish = state.where("not stay").drop("stay", "most")
+        best = held.groupBy("g").agg(F.max(F.struct((at > 0).alias("open"), "n", (-F.col("shard")).alias("s"))).alias("b"))
+        fuller = (F.col("b.n") > F.col("n")) | ((F.col("b.n") == F.col("n")) & (-F.col("b.s") < F.col("shard")))
+        plan = held.join(best, "g").select("g", "shard", (-F.col("b.s")).alias("best"), (F.col("b.open") & fuller).alias("go"))
+        state = cut(linked.join(plan, ["g", "shard"]), "state")
+        wish = state.where("go").select("doc_id", "size", "text_crc32", "g", "shard", "best")
         wish = rank_in_groups(wish, ["best"], [F.col("g"), F.col("doc_id")], ["g"], "place")
         room_of = F.array(*[F.lit(r) for r in room])[F.col("best")]
         moved = wish.withColumn("shard", F.when(F.col("place") < room_of, F.col("best")).otherwise(F.col("shard")))
-        linked = cut(state.where("stay").select(*linked.columns).union(moved.select(*linked.columns)), "linked")
+        linked = cut(state.where("not go").select(*linked.columns).union(moved.select(*linked.columns)), "linked")
         if not moved.where(F.col("place") < room_of).limit(1).count():
             break
 
