@@ -14,6 +14,8 @@ import pyarrow as pa
 
 CHUNK = 1 << 20
 PIECE = 1 << 19
+#: Bits that number a chunk's rows in ``keyed``; fixed, so that what is left of a hash is alike in all chunks.
+ROW_BITS = 16
 U = np.uint64
 BYTES = np.arange(256)
 
@@ -63,7 +65,7 @@ def chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.nda
     a = 0
     while a < n:
         b = int(np.searchsorted(offs, offs[a] + limit, side="right")) - 1
-        b = min(n, max(a + 1, b))
+        b = min(n, max(a + 1, b), a + (1 << ROW_BITS))
         yield a, b, data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
 
@@ -118,7 +120,14 @@ def windows(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     return mix(s[at] + U(size)), at
 
 
-def keyed(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, int]:
-    """Row and hash in one sortable word: the row above, as many hash bits as fit below."""
-    bits = max(1, int(rows).bit_length())
-    return (row.astype(U) << U(64 - bits)) | (h >> U(bits)), 64 - bits
+def keyed(row: np.ndarray, h: np.ndarray, bits: int = ROW_BITS) -> np.ndarray:
+    """Row and hash in one sortable word: the row in ``bits`` bits above, the hash's upper bits below.
+
+    Hashes that are compared between chunks need the same ``bits`` in all of them.
+    """
+    return (row.astype(U) << U(64 - bits)) | (h >> U(bits))
+
+
+def bits_of(rows: int) -> int:
+    """The bits that number a chunk's rows, for hashes compared inside a row only."""
+    return max(1, int(rows).bit_length())

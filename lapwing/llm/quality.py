@@ -49,8 +49,8 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
         return edge[offs[1:]] - edge[offs[:-1]]
 
     def unequal(hashes, where):
-        key, shift = bw.keyed(where, hashes, rows)
-        return np.bincount((np.unique(key) >> np.uint64(shift)).astype(np.int64), minlength=rows)
+        bits = bw.bits_of(rows)
+        return np.bincount((np.unique(bw.keyed(where, hashes, bits)) >> np.uint64(64 - bits)).astype(np.int64), minlength=rows)
 
     tri, at = bw.windows(h, row, 3)
     n_tri = np.bincount(row[at], minlength=rows)

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,14 @@ def test_near_duplicates_of_a_chain(spark):
     assert {r["component_id"] for r in got} == {89}
 
 
+def test_shingles_are_alike_in_chunks_of_any_rows():
+    text = words(random.Random(7), 40)
+    alone = next(near_dedup.shingle_sets(pa.array([text]), 5))[4]
+    for others in (1, 30, 500):
+        got = next(near_dedup.shingle_sets(pa.array([text] + ["one more text"] * others), 5))
+        assert set(got[4][got[5] == 0]) == set(alone)
+
+
 def test_contamination(spark, corpus):
     item = " ".join(corpus[0][1].split()[20:35])
     items = spark.createDataFrame([(3, item, 1), (11, "ONE, two!", 1), (12, None, 1), (13, "", 1), (None, item, 1)], "item_id long, text string, doc_id int")
