@@ -8,9 +8,9 @@ candidates are settled on 128 bytes.  A link counts only when the full shingle
 sets confirm it.
 
 Equal word sequences are one class from the start.  In a band's bucket no pairs
-are listed: each class first meets the most similar of its buckets' centres;
-only buckets that then still hold several components are compared again, in
-blocks of bounded size, and only across components.
+are listed: its classes first meet one of them, the centre, which then leaves;
+only buckets that still hold several components after two such rounds are
+compared in blocks of bounded size, and only across components.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ SKETCH_BITS = 1024
 #: mean is 87 and the deviation under 12; unrelated texts have about 365.
 MAX_XOR = 150
 BLOCK = 256
+#: Rounds in which each bucket compares its members with one of them.
+PEELS = 2
 
 FEATURES = "doc_id long, n_shingles long, klass binary, bands array<long>, sketch array<long>"
 
@@ -210,41 +212,43 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = cut(docs.mapInArrow(_features(shingle, rows, bands), FEATURES), "features")
 
-    klass = seen.where("klass is not null and doc_id is not null").groupBy("klass").agg(F.min("doc_id").alias("node"))
-    klass = cut(klass, "classes")
-    node = seen.join(klass.select(F.col("node").alias("doc_id"), F.col("klass").alias("k")), "doc_id").where("klass = k")
-    node = cut(node.select(F.col("doc_id").alias("node"), "bands", "sketch"), "nodes")
-
-    bucket = node.select("node", F.explode("bands").alias("bucket"))
-    full = bucket.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    member = cut(bucket.join(full, "bucket"), "members")
-
-    # the full sets of all classes that share a bucket
-    text = rows_of(docs, "doc_id", member.select("node").distinct())
-    items = cut(text.mapInArrow(_sets(shingle), "doc_id long, items binary").where("length(items) > 0"), "sets")
-
-    # 1. each class against the most similar centre of its buckets
-    met = member.where("node <> centre").select("node", "centre").distinct()
-    met = met.join(node.select("node", F.col("sketch").alias("s")), "node")
-    met = met.join(node.select(F.col("node").alias("centre"), F.col("sketch").alias("t")), "centre")
-    met = met.select("node", "centre", _xor_bits("s", "t").alias("far")).where(F.col("far") <= MAX_XOR)
-    met = met.groupBy("node").agg(F.min_by("centre", F.struct("far", "centre")).alias("centre"))
-    x = met.select(F.col("node").alias("u"), F.col("centre").alias("v")).join(items.select(F.col("doc_id").alias("u"), F.col("items").alias("items_u")), "u")
-    x = x.join(items.select(F.col("doc_id").alias("v"), F.col("items").alias("items_v")), "v")
-    links = cut(x.select("u", "v", "items_u", "items_v").mapInArrow(_confirm(numerator, denominator), "u long, v long"), "links")
+    # buckets of several classes, and their classes: all rows of a class share their buckets
+    keyed = seen.where("klass is not null and doc_id is not null")
+    banded = keyed.select("doc_id", "klass", F.explode("bands").alias("bucket"))
+    full = banded.groupBy("bucket").agg(F.min(F.xxhash64("klass")).alias("lo"), F.max(F.xxhash64("klass")).alias("hi")).where("lo <> hi")
+    member = rows_of(banded, "bucket", cut(full.select("bucket"), "buckets"))
+    member = cut(member.groupBy("bucket", "klass").agg(F.min("doc_id").alias("node")).select("bucket", "node"), "members")
+
+    # what comparing them takes: sketches, and full sets
+    nodes = member.select("node").distinct()
+    sketch = cut(rows_of(keyed.select(F.col("doc_id").alias("node"), "sketch"), "node", nodes), "sketches")
+    items = rows_of(docs, "doc_id", nodes).mapInArrow(_sets(shingle), "doc_id long, items binary").where("length(items) > 0")
+    items = cut(items.select(F.col("doc_id").alias("node"), "items"), "sets")
+
+    # 1. all classes of a bucket against its centre, which leaves the bucket then
+    confirm = _confirm(numerator, denominator)
+    left, links, comp = member, None, None
+    for _ in range(PEELS):
+        left = _several(left, comp)
+        pairs = left.where("node <> centre and component <> centre_component").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+        pairs = pairs.join(_named(sketch, "sketch", "u"), "u").join(_named(sketch, "sketch", "v"), "v")
+        pairs = cut(pairs.where(_xor_bits("sketch_u", "sketch_v") <= MAX_XOR).select("u", "v"), "pairs")
+        pairs = pairs.join(_named(items, "items", "u"), "u").join(_named(items, "items", "v"), "v")
+        found = pairs.select("u", "v", "items_u", "items_v").mapInArrow(confirm, "u long, v long")
+        links = cut(found if links is None else found.union(links), "links")
+        comp = components(links)
+        left = cut(left.where("node <> centre").select("bucket", "node"), "left")
 
     # 2. buckets that still hold several components, in blocks
-    comp = components(links)
-    left = member.join(comp, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("component"))
-    mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    left = left.join(mixed, "bucket").join(node.select("node", "sketch"), "node").join(items.select(F.col("doc_id").alias("node"), "items"), "node")
+    left = _several(left, comp)
     left = left.withColumn("m", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("side", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    left = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    left = left.join(items, "node").join(sketch, "node").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     left = left.select("bucket", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "component", "sketch", "items")
     left = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     hubs = comp.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     links = cut(hubs.union(left.mapInArrow(_across(numerator, denominator), "u long, v long")), "links")
 
+    klass = keyed.groupBy("klass").agg(F.min("doc_id").alias("node"))
     comp = components(links)
     by_class = klass.join(comp, "node", "left").select("klass", F.coalesce("component", "node").alias("component"))
     out = seen.select("doc_id", "n_shingles", "klass").join(by_class, "klass", "left")
@@ -252,6 +256,20 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def _several(left: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Members of the buckets that hold several components: with those, the
+    bucket's centre (its smallest node) and the number of its members."""
+    left = left.withColumn("component", F.col("node")) if comp is None else left.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    full = left.groupBy("bucket").agg(F.min(F.struct("node", "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    full = full.select("bucket", F.col("c.node").alias("centre"), F.col("c.component").alias("centre_component"), "n")
+    return left.join(full, "bucket")
+
+
+def _named(attributes: DataFrame, column: str, side: str) -> DataFrame:
+    """``attributes(node, column)`` for the end ``side`` of a pair."""
+    return attributes.select(F.col("node").alias(side), F.col(column).alias(f"{column}_{side}"))
+
+
 def _xor_bits(s: str, t: str):
     """Differing bits of two sketches."""
     bits = [F.bit_count(F.col(s)[i].bitwiseXOR(F.col(t)[i])) for i in range(SKETCH_BITS // 64)]
