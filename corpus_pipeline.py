@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm.common import cut
+from lapwing.llm.common import cut, row_key, rows_of
 from lapwing.llm.decontaminate import contamination
 from lapwing.llm.mixing import Mixture
 from lapwing.llm.near_dedup import near_duplicates
@@ -20,10 +20,14 @@ from lapwing.llm.token_ids import token_files
 from lapwing.llm.toxicity import fit_toxicity, without_toxic
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is in ``ids``; null counts as an id."""
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi")
+#: Per cent of common shingles from which documents are near duplicates, and samples in a band.
+SIMILARITY, ROWS = 80, 7
+
+
+def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose :func:`row_key` is in the one column of ``keys``."""
+    keys = keys.toDF("_rk").distinct()
+    return docs.withColumn("_key", row_key()).join(keys, F.col("_key") == F.col("_rk"), "left_semi").drop("_key")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,13 +37,26 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return _only(docs, near_duplicates(docs).where("kept"))
+    """One row of each group of near duplicates stays: that of the smallest id, null being the largest.
+
+    Rows are judged apart, so rows that share an id or have none are too.
+    Texts without words are linked with nothing and stay.
+    """
+    rows = docs.select(row_key().alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = near_duplicates(rows.select(F.col("rk").alias("doc_id"), "text"), SIMILARITY, 100, rows=ROWS)
+    # rows of equal keys are equal in all that is given here, so that joins need one of each
+    found = found.groupBy(F.col("doc_id").alias("rk")).agg(F.first("component_id").alias("component"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n"))
+    ids = rows.groupBy("rk").agg(F.first("doc_id").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", (F.when(F.col("n_shingles") > 0, F.col("n")).otherwise(1) > 1).alias("again")))
+    stay = cut(found.join(ids, "rk").groupBy("component").agg(first.alias("c")).select("c.rk", "c.again"), "stay")
+    once = _only(docs, stay.where("not again").select("rk"))
+    again = rows_of(docs.withColumn("_key", row_key()), "_key", stay.where("again").select("rk")).dropDuplicates(["_key"]).drop("_key")
+    return once.union(again)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return _only(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("not contaminated"))
+    return _only(docs, contamination(docs, table(spark, sf_dir, "benchmark"), key=True).where("not contaminated").select("rk"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +78,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("token files", token_stage),
 ]
 
-#: The classifier and the pseudorandom mix are outside SQL; tests hold the stages against plain versions.
+#: The classifier and the pseudorandom mix are outside SQL; tests hold the stages that drop near duplicates and contaminated rows against plain versions.
 ORACLE_SQL = None
 
 

@@ -37,6 +37,12 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A number for a row's id and text: rows that only share one of them, or a null id, differ."""
+    i, t = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    return F.xxhash64(F.coalesce(i, F.lit(-1)), i.isNull(), t, t.isNull())
+
+
 def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column], spread: list[str], out: str, weight: Column | None = None, bucket: Column | None = None, per_bucket: int = 20_000) -> DataFrame:
     """Gapless position (or running weight before the row) of each row in its group.
 

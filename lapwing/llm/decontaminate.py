@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm import bytewords as bw
-from lapwing.llm.common import cut
+from lapwing.llm.common import cut, row_key
 
 WINDOW = 10
 #: Words in a shingle; a window of fewer words is one shingle.
@@ -105,7 +105,7 @@ def _places(bitmap, sizes: list[int], window: int):
     return run
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, key: bool = False) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every document.
 
     ``docs`` has ``doc_id, text`` and ``items`` has ``item_id, text``.  Words are
@@ -117,11 +117,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     Null or wordless text: no words, no hits.  Rows with the same id and text
     share their result; rows that only share an id do not.  Items that repeat
     an id count once; items without an id are ignored.  Empty tables give no
-    rows or no hits.  Other columns are ignored.
+    rows or no hits.  Other columns are ignored.  With ``key``, ``rk`` comes
+    first: the :func:`row_key` that tells rows of one id apart.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("rk", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text"))
+    docs = docs.withColumn("rk", row_key())
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     win = cut(items.mapInArrow(_item_windows(window, shingle), "item_id long, words array<long>, offset int, shingle long"), "windows")
     sizes = [r["k"] for r in win.select(F.least(F.size("words"), F.lit(shingle)).alias("k")).distinct().collect()] or [shingle]  # at most `shingle` numbers
@@ -148,4 +149,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     n = doc.groupBy("rk").agg(F.first("n_words").alias("n_words"))
     out = docs.select("doc_id", "rk").join(n, "rk").join(hit, "rk", "left").join(named, "rk", "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select(*["rk"][: int(key)], "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.sha2(F.coalesce("names", F.lit("")), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))

@@ -15,6 +15,7 @@ compared in blocks of bounded size, and only across components.
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Iterator
 from functools import reduce
@@ -28,11 +29,12 @@ from lapwing.llm import bytewords as bw
 from lapwing.llm.common import cut, rows_of
 from lapwing.llm.graph import components
 
-ROWS, BANDS = 8, 40
+ROWS = 8
+#: Share of pairs at the asked similarity that may meet in no band.
+MISS = 3e-6
 SKETCH_BITS = 1024
-#: XOR bits up to which full sets are compared.  At the similarity of 0.85 the
-#: mean is 87 and the deviation under 12; unrelated texts have about 365.
-MAX_XOR = 150
+#: Deviations above the mean of their XOR up to which sketches of such a pair go to the full sets.
+DEVIATIONS = 5.56
 BLOCK = 256
 #: Rounds in which each bucket compares its members with one of them.
 PEELS = 2
@@ -40,6 +42,24 @@ PEELS = 2
 FEATURES = "doc_id long, n_shingles long, klass binary, bands array<long>, sketch array<long>"
 
 
+def bands_for(similarity: float, rows: int = ROWS) -> int:
+    """Bands of ``rows`` samples that leave ``MISS`` of the pairs at ``similarity`` without a common one: 40 for 0.85."""
+    return math.ceil(math.log(MISS) / math.log1p(-(similarity**rows))) if similarity < 1 else 1
+
+
+def xor_for(similarity: float, samples: int) -> int:
+    """XOR bits up to which full sets are compared: 150 for 0.85 and 320 samples.
+
+    Samples differ independently, and each that does flips two random bits; the
+    mean and the deviation of the differing bits follow.
+    """
+    n = SKETCH_BITS
+    one, two = ((similarity + (1 - similarity) * (1 - c / n) ** 2) ** samples for c in (2, 4))
+    mean = n * (1 - one) / 2
+    variance = mean + n * (n - 1) * (1 - 2 * one + two) / 4 - mean**2
+    return math.ceil(mean + DEVIATIONS * math.sqrt(max(0.0, variance)))
+
+
 def _seeds(n: int, salt: int) -> np.ndarray:
     return bw.mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt))
 
@@ -137,7 +157,7 @@ def _confirmed(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -
     return denominator * same >= numerator * (len(x) + len(y) - same)
 
 
-def _across(numerator: int, denominator: int):
+def _across(numerator: int, denominator: int, max_xor: int):
     """Sorted rows (bucket, i, j, side, node, component, sketch, items) to links that join components.
 
     A block's rows follow each other, so one block is held at a time.  Pairs are
@@ -160,7 +180,7 @@ def _across(numerator: int, denominator: int):
         for x in np.flatnonzero(side == i):
             to = np.flatnonzero(((side == j) if i != j else (np.arange(len(node)) > x)) & (own != own[x]))
             d = np.bitwise_count(sketch[to] ^ sketch[x]).sum(axis=1)
-            near = d <= MAX_XOR
+            near = d <= max_xor
             us.append(np.full(int(near.sum()), x))
             vs.append(to[near])
             far.append(d[near])
@@ -198,7 +218,7 @@ def _across(numerator: int, denominator: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100, shingle: int = 5, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100, shingle: int = 5, rows: int = ROWS, bands: int | None = None) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text, ...)``.
 
     Texts link when ``denominator * |A & B| >= numerator * |A | B|`` over their
@@ -208,7 +228,10 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
     Null or wordless text: no shingles, linked with nothing, kept.  A null
     ``doc_id`` is kept under a null component.  Rows that repeat an id are one
     node.  Other columns are ignored.  An empty table gives an empty result.
+    The number of bands and the sketches' bound follow from the similarity.
     """
+    bands = bands_for(numerator / denominator, rows) if bands is None else bands
+    max_xor = xor_for(numerator / denominator, rows * bands)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = cut(docs.mapInArrow(_features(shingle, rows, bands), FEATURES), "features")
 
@@ -232,7 +255,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
         left = _several(left, comp)
         pairs = left.where("node <> centre and component <> centre_component").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
         pairs = pairs.join(_named(sketch, "sketch", "u"), "u").join(_named(sketch, "sketch", "v"), "v")
-        pairs = cut(pairs.where(_xor_bits("sketch_u", "sketch_v") <= MAX_XOR).select("u", "v"), "pairs")
+        pairs = cut(pairs.where(_xor_bits("sketch_u", "sketch_v") <= max_xor).select("u", "v"), "pairs")
         pairs = pairs.join(_named(items, "items", "u"), "u").join(_named(items, "items", "v"), "v")
         found = pairs.select("u", "v", "items_u", "items_v").mapInArrow(confirm, "u long, v long")
         links = cut(found if links is None else found.union(links), "links")
@@ -246,7 +269,7 @@ def near_duplicates(docs: DataFrame, numerator: int = 85, denominator: int = 100
     left = left.select("bucket", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "node", "component", "sketch", "items")
     left = left.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     hubs = comp.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    links = cut(hubs.union(left.mapInArrow(_across(numerator, denominator), "u long, v long")), "links")
+    links = cut(hubs.union(left.mapInArrow(_across(numerator, denominator, max_xor), "u long, v long")), "links")
 
     klass = keyed.groupBy("klass").agg(F.min("doc_id").alias("node"))
     comp = components(links)
