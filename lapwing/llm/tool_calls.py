@@ -26,10 +26,10 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     as JSON has it: STRING, BIGINT, DOUBLE, BOOLEAN), required boolean.
 
     Returns conv_id, call_id, status (``linked``, ``unanswered``, ``orphan``),
-    position (in its conversation's topological order: a call may only need
-    calls of earlier turns, so the order by turn is one if that holds), ordered
-    (all calls that it depends on exist at earlier turns), errors
-    array<string> in order, valid, and json.
+    position (in its conversation's topological order: a call comes after the
+    calls that it needs, whatever their turns, and else by turn), ordered (all
+    calls that it depends on exist and come before it, which a cycle rules out),
+    errors array<string> in order, valid, and json.
 
     Of calls or results that repeat an identifier in a conversation the first
     counts.  Rows with a null identifier or conversation link to nothing and
@@ -47,13 +47,21 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     status = F.when(F.col("is_call").isNull(), "orphan").when(F.col("is_result").isNull(), "unanswered").otherwise("linked")
     both = cut(both.withColumn("status", status).withColumn("at", F.coalesce("turn", "result_turn")), "linked_calls")
 
-    # dependencies: each must be a call of an earlier turn
-    need = both.where("is_call").select(*key, "turn", F.explode("depends_on").alias("needs")).where("call_id is not null")
-    have = both.where("is_call").select(F.col("conv_id").alias("h"), F.col("call_id").alias("needs"), F.col("turn").alias("needs_turn"))
-    lost = need.join(have, (need["conv_id"] == have["h"]) & (need["needs"] == have["needs"]) & (have["needs_turn"] < need["turn"]), "left_anti")
-    lost = lost.groupBy(*key).agg(F.count("*").alias("lost"))
-
-    ranked = rank_in_groups(both, ["conv_id"], [F.col("at").asc_nulls_first(), F.col("call_id").asc_nulls_first(), F.col("status")], [], "position", bucket=F.floor(F.coalesce("at", F.lit(-1)) / TURNS))
+    # dependencies: each must be a call that comes before
+    node = both.where("is_call and call_id is not null and conv_id is not null").select(*key, F.coalesce("at", F.lit(-1)).alias("at"), "depends_on")
+    need = node.select(*key, "at", F.explode(F.array_distinct("depends_on")).alias("needs"))
+    have = node.select("conv_id", F.col("call_id").alias("needs"), F.col("at").alias("needs_at"))
+    edges = cut(need.join(have, ["conv_id", "needs"], "left"), "edges")
+    late, cyclic = _levels(node, edges.where("needs_at is not null"))
+    lost = edges.where("needs_at is null").select(*key)
+    lost = (lost if cyclic is None else lost.union(cyclic)).groupBy(*key).agg(F.count("*").alias("lost"))
+
+    both = both.withColumn("due", F.coalesce("at", F.lit(-1))).withColumn("level", F.lit(0))
+    if late is not None:
+        both = both.drop("level").join(late, key, "left").withColumn("due", F.coalesce("late", "due")).withColumn("level", F.coalesce("level", F.lit(0)))
+        both = cut(both.drop("late"), "levels")
+    order = [F.col("due"), F.col("level"), F.col("at").asc_nulls_first(), F.col("call_id").asc_nulls_first(), F.col("status")]
+    ranked = rank_in_groups(both, ["conv_id"], order, [], "position", bucket=F.floor(F.col("due") / TURNS))
     rules = schemas.groupBy("name").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("param", F.struct(F.upper("type").alias("type"), F.col("required").alias("required")))))).alias("rules"))
     x = ranked.join(rules, "name", "left").join(lost, key, "left")
 
@@ -81,6 +89,35 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     return x.select("conv_id", "call_id", "status", "position", "ordered", "errors", ((F.size("errors") == 0) & F.col("ordered")).alias("valid"), json.alias("json"))
 
 
+def _levels(node: DataFrame, edges: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """``conv_id, call_id, late, level`` of the calls in conversations where the order by turn is not topological, and those that no order suits.
+
+    A call is due at its turn, or at the latest turn at which one that it needs
+    is, and then one level above it.  Rounds of joins raise calls until none
+    moves.  Levels beyond the number of a conversation's calls tell a cycle.
+    Both are None where every call only needs calls of earlier turns.
+    """
+    key = ["conv_id", "call_id"]
+    odd = cut(edges.where("needs_at >= at").select("conv_id").distinct(), "odd")
+    if not odd.limit(1).count():
+        return None, None
+    edges = cut(edges.join(odd, "conv_id", "left_semi").select(*key, "needs"), "edges")
+    calls = node.join(odd, "conv_id", "left_semi")
+    most = calls.groupBy("conv_id").agg(F.count("*").cast("int").alias("most"))
+    state = cut(calls.join(most, "conv_id").select(*key, F.col("at").alias("late"), F.lit(0).alias("level"), "most"), "state")
+    while True:
+        above = state.select("conv_id", F.col("call_id").alias("needs"), "late", F.least(F.col("level") + 1, F.col("most") + 1).alias("level"))
+        least = edges.join(above, ["conv_id", "needs"]).groupBy(*key).agg(F.max(F.struct("late", "level")).alias("least"))
+        now = F.struct("late", "level")
+        state = state.join(least, key, "left").withColumn("moves", F.coalesce(F.col("least") > now, F.lit(False)))
+        raised = [F.when(F.col("moves"), F.col("least")[c]).otherwise(F.col(c)).alias(c) for c in ("late", "level")]
+        state = cut(state.select(*key, *raised, "most", "moves"), "state")
+        if not state.where("moves").limit(1).count():
+            break
+        state = state.drop("moves")
+    return state.select(*key, "late", "level"), state.where("level > most").select(*key)
+
+
 def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results read off plain chat turns ``conv_id, turn, role, text``.
 

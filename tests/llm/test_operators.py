@@ -167,6 +167,20 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_tool_calls_in_topological_order(spark):
+    """Needs within a turn, of later turns and along a chain, in a cycle, and of itself."""
+    rows = [(1, 0, "b", ["z"]), (1, 0, "z", []), (1, 2, "early", ["late", "b"]), (1, 2, "after", ["early"]), (1, 5, "late", ["z"]), (1, 9, "end", ["after"])]
+    rows += [(2, 0, "a", ["b"]), (2, 1, "b", ["a"]), (2, 2, "c", []), (2, 3, "self", ["self"]), (2, 4, "d", ["c"]), (2, 4, "e", ["gone"])]
+    calls = spark.createDataFrame([(c, t, i, "f", "{}", d) for c, t, i, d in rows], "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    schemas = spark.createDataFrame([("f", "x", "string", False)], "name string, param string, type string, required boolean")
+    got = {(r["conv_id"], r["call_id"]): r for r in tool_calls.link_tool_calls(calls, results, schemas).collect()}
+    assert sorted((k[1] for k in got if k[0] == 1), key=lambda i: got[(1, i)]["position"]) == ["z", "b", "late", "early", "after", "end"]
+    assert all(got[(1, i)]["ordered"] and got[(1, i)]["valid"] for _, _, i, _ in rows[:6])
+    assert {k[1] for k, r in got.items() if k[0] == 2 and not r["ordered"]} == {"a", "b", "self", "e"}
+    assert sorted(r["position"] for k, r in got.items() if k[0] == 2) == list(range(6))
+
+
 def test_html(spark):
     page = "<html><body><header>Top</header><nav>Menu</nav><article><h1>T &amp; x</h1><p>one<br>two <b>b</b>c<div class='comments'><p>hi</p></div><form>zz</form></article><aside>s</aside><script>x</script></body>"
     plain = "<body><div>{0}</div><div>all rights reserved by the owner of this very site</div></body>"
