@@ -2,22 +2,24 @@
 
 Documents are put in ascending ``doc_id`` order and their ids are cut into
 shards of whole documents.  In each shard frequent pairs of ids are replaced by
-nonterminals, round by round; a shard stores its rules, their expansion lengths
-and the remaining symbols.  No rule spans an end id, so that any document can
-be decoded alone.
+nonterminals until no pair occurs twice; a shard stores its rules, their
+expansion lengths and the remaining symbols.  No rule spans an end id, so that
+any document can be decoded alone.
 
 A file is a Parquet table of shards in the shared folder.  Grammar layout,
-little-endian: magic ``RPG1``, base (u4; below it are tokens, the last
+little-endian: magic ``RPG2``, base (u4; below it are tokens, the last
 of them the end of a document), end id (u4), rules (u4), symbols (u4), documents
-(u4); then the rules' left and right symbols (u4 each),
-their expansion lengths (u4), the first symbol of each document and one end
-offset (u4), and the symbols (u2 if all fit, else u4).
+(u4); then the rules' left and right symbols, their expansion lengths, the first
+symbol of each document and one end offset, and the symbols.  Each of the five
+is a byte that tells how many bytes a number takes, and then the numbers' lowest
+bytes, their second ones, and so on, which the file's compression shrinks.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +33,14 @@ from lapwing.llm.common import new_path
 
 END_ID = 2
 SHARD_TOKENS = 1 << 19
-ROUNDS, MIN_COUNT, PAIRS_A_ROUND = 6, 24, 2500
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 
 # --- encoding -------------------------------------------------------------
 
-#: Entries that an encoder's cache may hold; it starts anew beyond that.
-CACHE = 300_000
-_SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)?([!-/:-@\\[-`{-~]+)?")
+#: Words, and runs of letters or punctuation, that an encoder keeps; either starts anew beyond that.
+CACHE = 500_000
+#: A run of Latin letters, a run of punctuation, or both, of lower-cased UTF-8 bytes.
+_SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)?([!-/:-@\[-`{-~]+)?")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -49,6 +51,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Runs(dict):
+    """Bytes of a run of letters or of punctuation to the bytes of its ids (u4), by the vocabulary's merges alone."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize = model.tokenize
+        self.letters = _byte_letters()
+
+    def __missing__(self, run: bytes) -> bytes:
+        shown = run.decode() if run.isascii() else "".join([self.letters[b] for b in run.decode().lower().encode()])
+        ids = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+        if len(self) >= CACHE:
+            self.clear()
+        self[run] = ids
+        return ids
+
+
 class Encoder(dict):
     """Bytes of a word to the bytes of its ids (u4); texts are split at ASCII white space.
 
@@ -63,21 +82,15 @@ class Encoder(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.model = self.whole.model
-        self.letters = _byte_letters()
+        self.runs = Runs(self.whole.model)
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        simple = _SIMPLE.fullmatch(text)
+        simple = _SIMPLE.fullmatch(word)
         if simple:
-            parts = [p for p in simple.groups() if p]
-            if len(parts) == 2:
-                ids = self[parts[0].lower().encode()] + self[parts[1].encode()]
-            else:
-                low = "".join(self.letters[b] for b in parts[0].lower().encode())
-                ids = np.array([t.id for t in self.model.tokenize(low)], dtype="<u4").tobytes()
+            a, b = simple.groups()
+            ids = self.runs[a] + self.runs[b] if a and b else self.runs[word]
         else:
-            ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            ids = array("I", self.whole.encode(word.decode(), add_special_tokens=False).ids).tobytes()
         if len(self) >= CACHE:
             self.clear()
         self[word] = ids
@@ -99,6 +112,89 @@ def encoder(path: str) -> Encoder:
 # --- grammar --------------------------------------------------------------
 
 
+def _packed(a: np.ndarray) -> bytes:
+    wide = max(1, -(-int(a.max(initial=0)).bit_length() // 8))
+    return bytes([wide]) + a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide].T.tobytes()
+
+
+def _unpacked(blob: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """``n`` numbers that :func:`_packed` put at ``at``, and where they end."""
+    wide = blob[at]
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :wide] = np.frombuffer(blob, np.uint8, n * wide, at + 1).reshape(wide, n).T
+    return out.view("<i8")[:, 0], at + 1 + n * wide
+
+
+def _sorted_pairs(x: np.ndarray, at: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of symbols below ``top`` at the places ``at``, left one in the upper 32 bits, sorted, and their places."""
+    wide, tall = int(top).bit_length(), len(x).bit_length()
+    if 2 * wide + tall > 63:
+        code = (x[at] << 32) | x[at + 1]
+        order = np.argsort(code, kind="stable")
+        return code[order], at[order]
+    both = (((x[at] << wide) | x[at + 1]) << tall) | at  # sorting one array of numbers is several times as fast
+    both.sort()
+    code = both >> tall
+    return ((code >> wide) << 32) | (code & ((1 << wide) - 1)), both & ((1 << tall) - 1)
+
+
+def replace_pairs(x: np.ndarray, end: int, top: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Re-Pair: left and right symbols of the rules of each round, numbered from ``top``, and what is left of ``x``.
+
+    A round counts all pairs, occurrences that overlap once, and ranks them by
+    their number; an occurrence is replaced if it outranks the ones it overlaps
+    with, so that the most frequent pair goes entirely and many others with it.
+    Rounds follow until no pair occurs twice.  No pair holds the symbol ``end``.
+
+    Pairs of old symbols only get rarer, so a pair found once is not counted again.
+    """
+    lefts, rights = [], []
+    open_ = np.ones(len(x), dtype=bool)  # first places of pairs to be counted
+    while True:
+        at = np.flatnonzero(open_[:-1] & (x[:-1] != end) & (x[1:] != end))
+        if len(at) < 2:
+            break
+        code, at = _sorted_pairs(x, at, top)
+        head = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        count = np.diff(np.append(head, len(code)))
+        often = np.repeat(count >= 2, count)
+        pair = np.full(len(x) + 1, -1, dtype=np.int64)  # the last place is before the first one, too
+        pair[at[often]] = np.repeat(np.arange(len(head)), count)[often]
+        place = np.flatnonzero(pair[:-1] >= 0)
+        own = pair[place]
+        if not len(place):
+            break
+        # of a run of one pair that overlaps itself, the first, third, ... count
+        begins = pair[place - 1] != own
+        start = place[begins][np.cumsum(begins) - 1]
+        counts = (place - start) % 2 == 0
+        n = np.bincount(own[counts], minlength=len(head))
+        live = n[own] >= 2
+        rank = np.zeros(len(x) + 1, dtype=np.int64)
+        rank[place] = np.where(live, (n[own] << 32) | (own + 1), 0)
+        mine = rank[place]
+        take = live & counts & (mine >= rank[place - 1]) & (mine >= rank[place + 1])
+        n = np.bincount(own[take], minlength=len(head))
+        take &= n[own] >= 2
+        if not take.any():
+            break
+        used = np.flatnonzero(n >= 2)
+        new = np.zeros(len(head), dtype=np.int64)
+        new[used] = top + np.arange(len(used))
+        top += len(used)
+        lefts.append(code[head[used]] >> 32)
+        rights.append(code[head[used]] & 0xFFFFFFFF)
+        open_[:] = False
+        open_[place[live]] = True
+        at = place[take]
+        x[at] = new[own[take]]
+        open_[at] = open_[at - 1] = True
+        rest = np.ones(len(x), dtype=bool)
+        rest[at + 1] = False
+        x, open_ = x[rest], open_[rest]
+    return lefts, rights, x
+
+
 def compress(docs: list[np.ndarray], end_id: int = END_ID) -> bytes:
     """The grammar of a shard of documents, to each of which decoding appends ``end_id``.
 
@@ -107,45 +203,10 @@ def compress(docs: list[np.ndarray], end_id: int = END_ID) -> bytes:
     end = max((int(d.max()) for d in docs if len(d)), default=0) + 1
     x = np.concatenate([y for d in docs for y in (d, [end])]).astype(np.int64) if docs else np.zeros(0, np.int64)
     base = end + 1
-    lefts, rights, top = [], [], base
-    for _ in range(ROUNDS):
-        if len(x) < 2 or top >= 1 << 31:
-            break
-        code = (x[:-1] << 32) | x[1:]
-        free = (x[:-1] != end) & (x[1:] != end)
-        s = np.sort(code[free])
-        if not len(s):
-            break
-        at = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        count = np.diff(np.append(at, len(s)))
-        good = np.flatnonzero(count >= MIN_COUNT)
-        if len(good) > PAIRS_A_ROUND:
-            good = good[np.argsort(-count[good], kind="stable")[:PAIRS_A_ROUND]]
-        if not len(good):
-            break
-        chosen = np.sort(s[at[good]])
-        slot = np.searchsorted(chosen, code)
-        slot[slot == len(chosen)] = 0
-        take = free & (chosen[slot] == code)
-        # of overlapping pairs, the first, third, ... of a run
-        run = np.flatnonzero(take & np.append(True, ~take[:-1]))
-        place = np.flatnonzero(take)
-        odd = (place - run[np.searchsorted(run, place, side="right") - 1]) % 2 == 1
-        place = place[~odd]
-        used = np.unique(slot[place])
-        new = np.zeros(len(chosen), np.int64)
-        new[used] = top + np.arange(len(used))
-        lefts.append(chosen[used] >> 32)
-        rights.append(chosen[used] & 0xFFFFFFFF)
-        top += len(used)
-        before = len(x)
-        x = x.copy()
-        x[place] = new[slot[place]]
-        x = np.delete(x, place + 1)
-        if len(x) > 0.985 * before:
-            break
+    lefts, rights, x = replace_pairs(x, end, base)
     left = np.concatenate(lefts) if lefts else np.zeros(0, np.int64)
     right = np.concatenate(rights) if rights else np.zeros(0, np.int64)
+    top = base + len(left)
     length = np.ones(top, np.int64)
     done = base
     for a, b in zip(lefts, rights, strict=True):
@@ -153,7 +214,7 @@ def compress(docs: list[np.ndarray], end_id: int = END_ID) -> bytes:
         done += len(a)
     first = np.append(0, np.flatnonzero(x == end) + 1)
     head = np.array([base, end_id, len(left), len(x), len(docs)], dtype="<u4").tobytes()
-    return MAGIC + head + b"".join(a.astype("<u4").tobytes() for a in (left, right, length[base:], first)) + x.astype("<u2" if top <= 1 << 16 else "<u4").tobytes()
+    return MAGIC + head + b"".join(map(_packed, (left, right, length[base:], first, x)))
 
 
 class Grammar:
@@ -163,13 +224,11 @@ class Grammar:
         if blob[:4] != MAGIC:
             raise ValueError("not a grammar file")
         self.base, self.end_id, rules, symbols, self.docs = (int(v) for v in np.frombuffer(blob, "<u4", 5, 4))
-        at = 24
-        parts = []
-        for n in (rules, rules, rules, self.docs + 1):
-            parts.append(np.frombuffer(blob, "<u4", n, at).astype(np.int64))
-            at += 4 * n
-        self.left, self.right, self.length, self.first = parts
-        self.symbols = np.frombuffer(blob, "<u2" if self.base + rules <= 1 << 16 else "<u4", symbols, at).astype(np.int64)
+        at, parts = 24, []
+        for n in (rules, rules, rules, self.docs + 1, symbols):
+            part, at = _unpacked(blob, at, n)
+            parts.append(part)
+        self.left, self.right, self.length, self.first, self.symbols = parts
 
     def _lengths(self, x: np.ndarray) -> np.ndarray:
         n = np.ones(len(x), np.int64)
@@ -181,16 +240,20 @@ class Grammar:
         return int(self._lengths(self.symbols[self.first[k] : self.first[k + 1]]).sum())
 
     def expand(self, x: np.ndarray) -> np.ndarray:
-        while len(at := np.flatnonzero(x >= self.base)):
-            rule = x[at] - self.base
-            wide = np.ones(len(x), np.int64)
-            wide[at] = 2
-            to = np.cumsum(wide) - wide
-            y = np.repeat(x, wide)
-            y[to[at]] = self.left[rule]
-            y[to[at] + 1] = self.right[rule]
-            x = y
-        return np.where(x == self.base - 1, self.end_id, x).astype("<u4")
+        """The ids of symbols: each rule puts its left symbol at its own place and its right one behind that one's ids."""
+        wide = self._lengths(x)
+        to = np.cumsum(wide) - wide
+        out = np.empty(int(wide.sum()), np.int64)
+        out[to] = x
+        at = to[x >= self.base]
+        while len(at):
+            rule = out[at] - self.base
+            a, b = self.left[rule], self.right[rule]
+            behind = at + self._lengths(a)
+            out[at] = a
+            out[behind] = b
+            at = np.concatenate([at[a >= self.base], behind[b >= self.base]])
+        return np.where(out == self.base - 1, self.end_id, out).astype("<u4")
 
     def ids(self, k: int) -> np.ndarray:
         return self.expand(self.symbols[self.first[k] : self.first[k + 1]])

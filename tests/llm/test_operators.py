@@ -135,6 +135,36 @@ def test_grammar_round_trip():
     assert len(g.left) > 0
 
 
+def plain_re_pair_counts(x, end):
+    """Occurrences of each pair without overlaps, counted from the left."""
+    n, last = {}, {}
+    for i in range(len(x) - 1):
+        p = (x[i], x[i + 1])
+        if end not in p and last.get(p, -2) < i - 1:
+            n[p], last[p] = n.get(p, 0) + 1, i
+    return n
+
+
+@pytest.mark.parametrize("ids", [3, 40, 60_000])
+def test_no_pair_is_left_twice(ids):
+    rng = np.random.default_rng(ids)
+    text = rng.integers(0, ids, 4000)
+    docs = [text[rng.integers(0, 3000) :][:900].astype("<u4") for _ in range(30)] + [np.full(50, 1, "<u4"), np.zeros(0, "<u4")]
+    g = token_ids.Grammar(token_ids.compress(docs, 2))
+    assert all(g.ids(k).tolist() == [*d.tolist(), 2] for k, d in enumerate(docs))
+    assert max(plain_re_pair_counts(g.symbols.tolist(), g.base - 1).values(), default=1) == 1
+    assert len(g.left) and len(g.symbols) < sum(map(len, docs))
+
+
+def test_encoder_equals_the_tokenizer():
+    enc = token_ids.Encoder(vocabulary())
+    rng = random.Random(4)
+    odd = ["I'm", "don't", "a1b2", "É", "ÀÉ,", "e\u0301", "\u201ca\u201d,", "<|endoftext|>", "<|x", "x\u00a0y", "漢字", "!!!", "'s", "ß", "İ", "a,b", "#2#", "\x85", "\u2028"]
+    for _ in range(400):
+        text = rng.choice([" ", "\n", "\t"]).join(rng.choice(odd) + rng.choice(["", "", ".", ",,"]) for _ in range(rng.randint(0, 9)))
+        assert enc.ids(text).tolist() == enc.whole.encode(text, add_special_tokens=False).ids
+
+
 def test_sharding(spark, corpus):
     rows = corpus + [(1000 + i, "a copy", "a") for i in range(40)]
     got = balanced_shards(make(spark, rows), shards=5).collect()
