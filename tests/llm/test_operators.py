@@ -221,6 +221,78 @@ def test_html(spark):
     assert got[11]["text"] == "page 1 has its own words " + words(random.Random(1), 9)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='layout has-sidebar'><article><p>a b</p></article></div>", "a b"),
+        ("<div class='sidebar-layout'><article>a<p>b</article><div>c</div></div>", "a b"),
+        ("<form><article>a b</article><input></form>", "a b"),
+        ("<article>x</article><article class='comment'>y</article><div id=comments><article>z</article></div>", "x"),
+        ("<aside><article>y</article></aside><article>x</article>", "x"),
+        ("<article>a<select><option>b<p>c</article>", "a b c"),
+        ("<article>a<object data=x>b</article>", "ab"),
+        ("<article>a<title>b</article>", "ab"),
+        ("<article>a<svg/>b</article>", "ab"),
+        ("<article>a<script>b</article>", "a"),
+        ("<article>1 &lt; 2 &amp;amp; &#x27;q&#39; <b title='>'>c</b></article>", "1 < 2 &amp; 'q' c"),
+        ("<article>a <a href=\"x>b</a> c</article>", "a b c"),
+        ("<article>a<!-- x", "a"),
+        ("<article>3 < 4 <", "3 < 4 <"),
+        ("", ""),
+    ],
+)
+def test_article_text(page, text):
+    assert " ".join(t for t, a, m in html_text.page_blocks(page) if m and not a).replace("  ", " ") == text
+
+
+def test_long_odd_pages_take_linear_time():
+    import time
+
+    for page in ('<a "' * 60_000, "<div>" * 60_000 + "x", "<b class='x'>" * 60_000, "<!--" * 60_000, "<p><i></p>" * 60_000, "<a '\">" * 60_000):
+        began = time.process_time()
+        html_text.page_blocks(page)
+        assert time.process_time() - began < 6
+
+
+def test_repeated_runs_against_a_plain_search(spark):
+    """Pages without an article: tokens in a substring of 8 or more that 3 pages of the host share go, all others stay."""
+    rng = random.Random(12)
+    shared = [words(rng, n).split() for n in (5, 8, 9, 20, 30)]
+    pages = []
+    for i in range(24):
+        parts = []
+        for _ in range(rng.randint(0, 5)):
+            parts.append(words(rng, rng.randint(1, 12)).split() if rng.random() < 0.5 else rng.choice(shared)[rng.randint(0, 3) :])
+        pages.append((i, f"http://h{i % 2}.x/{i}" if i != 7 else None, parts))
+    pages += [(100, "http://h0.x/0", pages[0][2]), (100, "http://h0.x/0", pages[0][2]), (101, None, [])]
+    make_page = lambda parts: "<body>" + "".join(f"<p>{' '.join(p)}</p>" for p in parts)
+    streams = {(i, u): [t for p in parts for t in p] for i, u, parts in pages}
+    host = lambda u: u.split("/")[2] if u else ""
+
+    def plain(i, u):
+        own, gone = streams[(i, u)], set()
+        for a in range(len(own)):
+            for b in range(a + 8, len(own) + 1):
+                part = own[a:b]
+                n = sum(host(v) == host(u) and any(x[k : k + len(part)] == part for k in range(len(x))) for (_, v), x in streams.items())
+                if n < 3:
+                    break
+                gone.update(range(a, b))
+        return " ".join(t for k, t in enumerate(own) if k not in gone)
+
+    df = spark.createDataFrame([(i, u, make_page(p), "c", "d") for i, u, p in pages], "page_id long, url string, html string, text string, host string")
+    got = html_text.main_text(df.repartition(5)).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted((i, plain(i, u)) for i, u, _ in pages)
+    assert any(r["text"] for r in got) and any(r["text"] != " ".join(streams[(r["page_id"], r["url"])]) for r in got)
+
+
+def test_pages_with_nulls_keep_their_own_text(spark):
+    rows = [(1, None, "x"), (1, "x", None), (None, None, None), (None, "http://h/", "<p>y"), (2, "", "")]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(r["page_id"]), str(r["url"]), r["text"]) for r in got) == sorted([("1", "None", "x"), ("1", "x", ""), ("None", "None", ""), ("None", "http://h/", "y"), ("2", "", "")])
+    assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_string_kernel():
     k = toxicity.kernel_matrix(["idiot", "idxiot", "planet"], ["idiot"])[:, 0]
     assert k[0] == pytest.approx(1) and k[1] > 0.5 > k[2]
