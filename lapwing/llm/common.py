@@ -13,10 +13,14 @@ from pyspark.sql.window import Window
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only where the setting is absent (tests).
+    Where the setting is absent, a machine-local folder is made if driver and
+    executors are one process (tests, the benchmark); a cluster must have it.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -37,6 +41,20 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, most: int, *key: str) -> DataFrame:
+    """``df`` if it has ``most`` rows at most, else the ``most`` rows of the smallest hashes of ``key``.
+
+    Only rows whose hash is small enough to count are sorted, so that what
+    reaches one task follows ``most``, not ``df``, which is read twice.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    h = F.xxhash64(*key)
+    share = min(1.0, (most + 8 * most**0.5 + 64) / n)
+    return df.where(h <= F.lit(int(share * (1 << 64)) - (1 << 63) - (share == 1))).orderBy(h, *key).limit(most)
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A number for a row's id and text: rows that only share one of them, or a null id, differ."""
     i, t = F.col(doc_id).cast("long"), F.col(text).cast("string")

@@ -1,7 +1,8 @@
 """Quality rules with cross-document line frequency.
 
-Normalised lines are hashed and counted by the distinct texts of a host that
-hold them.  Lines above the limits are boilerplate: they are removed, and a
+Normalised lines are hashed and counted by the distinct documents of a host that
+hold them; rows of equal text are one document there, or a text would become
+boilerplate by being copied.  Lines above the limits are boilerplate: they are removed, and a
 document that is depleted thereby is rejected.
 """
 
@@ -95,7 +96,7 @@ def quality_rules(docs: DataFrame, host: str = "source", min_texts: int = MIN_TE
     """Base figures and the verdict of every row of ``docs(doc_id, text, <host>)``.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, n_removed_words, base_failed, kept``.  ``base_failed``:
+    n_repeat_words, base_failed, kept, n_removed_words``.  ``base_failed``:
     fewer than ``min_words`` words, or more than half of them in repeated 3-word
     windows.  ``kept``: not ``base_failed``, and at most ``max_removed`` of the
     words are in frequent lines of the document's host.
@@ -113,24 +114,34 @@ def quality_rules(docs: DataFrame, host: str = "source", min_texts: int = MIN_TE
     x = stats.join(gone, stats["host"].eqNullSafe(gone["h"]) & (stats["tk"] == gone["t"]), "left")
     removed = F.coalesce("gone", F.lit(0).cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", removed.alias("n_removed_words"), failed.alias("base_failed"), (~failed & (removed <= max_removed * F.col("n_words"))).alias("kept"))
+    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (removed <= max_removed * F.col("n_words"))).alias("kept"), removed.alias("n_removed_words"))
 
 
-def without_lines(docs: DataFrame, stats: DataFrame, often: DataFrame) -> DataFrame:
-    """``docs`` with the frequent lines of each document's host removed from ``text``."""
-    hit = stats.select("doc_id", "host", F.explode("lines").alias("l")).select("doc_id", "host", "l.line")
+def without_lines(docs: DataFrame, stats: DataFrame, often: DataFrame, host: str = "source") -> DataFrame:
+    """``docs`` with the frequent lines of each document's host removed from ``text``.
+
+    A null text stays null, lines without words stay, and rows of one id are
+    judged by their own text and host.  All columns are kept, whatever their names.
+    """
+    hit = stats.groupBy("host", "tk").agg(F.first("lines").alias("lines")).select("host", "tk", F.explode("lines").alias("l")).select("host", "tk", "l.line")
     o = often.select(F.col("host").alias("h"), F.col("line").alias("k"))
-    drop = hit.join(o, hit["host"].eqNullSafe(o["h"]) & (hit["line"] == o["k"])).groupBy("doc_id").agg(F.collect_set("line").alias("_drop"))
+    drop = hit.join(o, hit["host"].eqNullSafe(o["h"]) & (hit["line"] == o["k"])).groupBy("host", "tk").agg(F.collect_set("line").alias("drop"))
+    text = F.col(f"row.{docs.columns[[c.lower() for c in docs.columns].index('text')]}").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(host).cast("string").alias("own_host"))
+    rows = rows.withColumn("own_tk", F.xxhash64(text, F.length(text)))
+    joined = rows.join(drop, rows["own_host"].eqNullSafe(drop["host"]) & (rows["own_tk"] == drop["tk"]), "left")
 
     def strip(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("text")
+            row = batch.column("row")
+            names = [f.name for f in row.type]
+            cols = {n: row.field(i) for i, n in enumerate(names)}
             out = []
-            for text, gone in zip(batch.column(at).to_pylist(), batch.column("_drop").to_pylist(), strict=True):
+            for text, gone in zip(cols["text"].to_pylist(), batch.column("drop").to_pylist(), strict=True):
                 if text is not None and gone:
                     bad = set(gone)
                     text = "\n".join(x for x in text.split("\n") if not x.strip() or line_key(x.encode()) not in bad)
                 out.append(text)
-            yield batch.set_column(at, "text", pa.array(out, batch.schema.field(at).type)).drop_columns(["_drop"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, cols[n].type) if n == "text" else cols[n] for n in names], names=names)
 
-    return docs.join(drop, "doc_id", "left").select(*docs.columns, "_drop").mapInArrow(strip, docs.schema)
+    return joined.select("row", "drop").mapInArrow(strip, docs.schema)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.llm import bytewords as bw
-from lapwing.llm.common import cut
+from lapwing.llm.common import cut, hash_sample
 
 #: Bound of the training sample, in rows.
 MAX_ROWS = 20_000
@@ -179,9 +179,11 @@ def train_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> RuleModel:
-    """Fit on ``labels(doc_id, quality)`` joined to ``stats``: at most ``max_rows`` rows, in hash order."""
-    one = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    x = stats.join(one, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("quality", *STATS).toPandas()
+    """Fit on ``labels(doc_id, quality)`` joined to ``stats``: at most ``max_rows`` labelled ids, in hash order; equal rows count once."""
+    one = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    picked = hash_sample(one, max_rows, "doc_id")
+    x = stats.join(F.broadcast(picked), "doc_id").select("quality", *STATS).distinct()
+    x = hash_sample(x, max_rows, "quality", *STATS).toPandas().sort_values(["quality", *STATS])
     return train_rules(x[list(STATS)].to_numpy(float), x["quality"].to_numpy(float))
 
 
@@ -189,7 +191,9 @@ def quality(docs: DataFrame, labels: DataFrame, train: Column, max_rows: int = M
     """``doc_id, score`` of every row of ``docs(doc_id, text)``; labels are read where ``train`` holds on their ``doc_id``.
 
     Null text scores as an empty one.  Repeated rows get a row each; a document
-    labelled more than once has its largest label.  Other columns are ignored.
+    labelled more than once has its largest label; null ids have none, and are
+    scored.  Without a label of either kind, all rows get one score.  Other
+    columns are ignored.
     """
     stats = cut(document_statistics(docs), "stats")
     model = fit_quality(stats, labels.where(train), max_rows)

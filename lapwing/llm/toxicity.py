@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapwing.llm.common import hash_sample
+
 ORDER, DECAY = 3, 0.75
 #: Bounds of the training sample: documents of either label.
 MAX_TOXIC, MAX_OTHER = 1000, 2500
@@ -348,13 +350,12 @@ def _scores(model: ToxicityModel, keep_below: float | None = None):
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> ToxicityModel:
     """Fit on labelled rows ``labels(doc_id, toxic)``: at most ``max_toxic`` and ``max_other`` of either label, in hash order."""
-    one = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
-    picked = one.limit(0)
-    for value, most in ((1, max_toxic), (0, max_other)):
-        picked = picked.union(one.where(F.col("toxic") == value).orderBy("h", "doc_id").limit(most))
-    # the picked ids are bounded by the two limits
-    x = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
-    rows = sorted(x.select("h", "text", "toxic").collect(), key=lambda r: (-r["toxic"], r["h"], r["text"]))
+    one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    picked = hash_sample(one.where("toxic = 1"), max_toxic, "doc_id").union(hash_sample(one.where("toxic <> 1"), max_other, "doc_id")).withColumn("h", F.xxhash64("doc_id"))
+    # the picked ids are bounded by the two limits, and so are the texts of ids that rows repeat
+    x = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("h", "text", "toxic")
+    x = hash_sample(x.distinct(), max_toxic + max_other, "text")
+    rows = sorted(x.collect(), key=lambda r: (-r["toxic"], r["h"], r["text"]))
     rows = list({r["text"]: r for r in rows}.values())
     return train([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], dtype=bool))
 

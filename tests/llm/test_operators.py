@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from lapwing.llm import html_text, mixing, near_dedup, token_ids, tool_calls, toxicity
 from lapwing.llm.decontaminate import contamination
-from lapwing.llm.line_quality import quality_rules
+from lapwing.llm.common import hash_sample
+from lapwing.llm.line_quality import frequent_lines, line_statistics, quality_rules, without_lines
 from lapwing.llm.quality import quality, train_rules
 from lapwing.llm.queries import vocabulary
 from lapwing.llm.sharding import balanced_shards
@@ -84,6 +85,19 @@ def test_quality_rules(spark, corpus):
     assert quality_rules(make(spark, [])).count() == 0
 
 
+def test_lines_of_copies_count_once_and_lines_go(spark):
+    line = "all rights reserved"
+    rows = [(i, f"own words {i}\n{line}", "h") for i in range(30)] + [(5, f"other text\n{line}", "g"), (5, None, "h"), (6, "", None)] + [(200 + i, "one text\nof copies", "h") for i in range(50)]
+    docs = make(spark, rows)
+    stats = line_statistics(docs)
+    often = frequent_lines(stats, 20, 0.02)
+    assert [(r["host"], r["texts"]) for r in often.collect()] == [("h", 30)]
+    got = without_lines(docs.withColumn("tk", F.lit(1)).withColumn("line", F.lit("x")).withColumn("row", F.lit(2)), stats, often)
+    assert got.columns == [*docs.columns, "tk", "line", "row"]
+    want = [(i, t if t is None or h != "h" else t.removesuffix("\n" + line), h) for i, t, h in rows]
+    assert sorted((r["doc_id"], str(r["text"]), str(r["source"])) for r in got.collect()) == sorted((i, str(t), str(h)) for i, t, h in want)
+
+
 def test_mixing(spark, corpus):
     docs = make(spark, corpus * 3)
     m = mixing.Mixture(docs, block=16)
@@ -175,7 +189,12 @@ def test_sharding(spark, corpus):
     assert all(sorted(s) == list(range(len(s))) for s in n.values())
     first = next(r for r in got if r["doc_id"] == 1)
     assert (first["size"], first["text_crc32"]) == (len(corpus[0][1]) + 1, zlib.crc32(corpus[0][1].encode()))
-    assert len({r["shard"] for r in got if r["text_crc32"] == zlib.crc32(b"a copy")}) <= 4
+    copies = [r for r in got if r["text_crc32"] == zlib.crc32(b"a copy")]
+    assert len({r["shard"] for r in copies}) <= -(-len(copies) // (len(rows) // 5)) + 1
+    for r in got:
+        assert r["cut_links"] == sum(o["text_crc32"] == r["text_crc32"] and o["shard"] != r["shard"] for o in got)
+    types = dict(balanced_shards(make(spark, rows)).dtypes)
+    assert types["slot"] == "bigint" and types["shard"] == "int" and types["grown_shard"] == "int"
     assert balanced_shards(make(spark, [])).count() == 0
 
 
@@ -293,6 +312,13 @@ def test_pages_with_nulls_keep_their_own_text(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_hash_sample(spark):
+    df = spark.range(20_000)
+    got = sorted(r["id"] for r in hash_sample(df, 500, "id").collect())
+    assert got == sorted(r["id"] for r in df.orderBy(F.xxhash64("id")).limit(500).collect())
+    assert hash_sample(df, 30_000, "id").count() == 20_000 and hash_sample(df, 0, "id").count() == 0
+
+
 def test_string_kernel():
     k = toxicity.kernel_matrix(["idiot", "idxiot", "planet"], ["idiot"])[:, 0]
     assert k[0] == pytest.approx(1) and k[1] > 0.5 > k[2]
