@@ -87,6 +87,22 @@ def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column], spread
     return x.join(sums, cond).select(*keep, (x["_in"] + sums["_base"]).alias(out))
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with sums over all rows before each one in ``order``, which must tell rows apart.
+
+    Rows are dealt by ranges of ``order`` and made durable; sums inside a range
+    are shifted by those of the ranges before it, so no task holds all rows.
+    """
+    x = df.select("*", *[v.alias(f"_{k}") for k, v in sums.items()]).repartitionByRange(*order)
+    x = cut(x.withColumn("_range", F.spark_partition_id()), "ranges")
+    whole = x.groupBy("_range").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in sums])
+    up = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    whole = whole.select("_range", *[F.coalesce(F.sum(f"_{k}").over(up), F.lit(0)).alias(f"_base_{k}") for k in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.select(*df.columns, "_range", *[F.coalesce(F.sum(f"_{k}").over(inside), F.lit(0)).alias(f"_{k}") for k in sums])
+    return x.join(F.broadcast(whole), "_range").select(*df.columns, *[(F.col(f"_{k}") + F.col(f"_base_{k}")).alias(k) for k in sums])
+
+
 #: Bits of the filter below: 512 rows of 4 KB, whatever it is made from.
 FILTER_BITS = 1 << 24
 

@@ -1,10 +1,12 @@
 """Mixing sources to target weights over packed blocks.
 
 Each source is packed into blocks of a fixed number of words.  The words to
-take of a source are whole passes over its blocks and part of one more; every
-slot of a pass draws its output shard, so a shard's counts by source are a
-multinomial draw under totals that meet the targets.  A keyed permutation maps a
-slot to a block of its source, and slots and blocks are joined by that index.
+take of a source are whole passes over its blocks and part of one more, which
+gives it as many slots, and tickets of one urn.  Each output shard draws its
+slots from the urn, so its counts by source are a multinomial draw, conditioned
+on totals that meet the targets; a shard's slots of a source are the next ones of
+that source.  A keyed permutation for each pass of a source maps slots to its
+blocks, and slots and blocks are joined by that index.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lapwing.llm import bytewords as bw
-from lapwing.llm.common import cut, rank_in_groups
+from lapwing.llm.common import cut, rank_in_groups, running_sums
 
 WEIGHTS = (3, 1, 2)
 #: Words in a block and in an output shard.
-BLOCK, SHARD_WORDS = 1024, 1 << 24
+BLOCK, SHARD_WORDS = 1024, 1 << 20
 SHARE, MOST = 1.5, 2
 SEED = 20240229
 
@@ -67,16 +69,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     running sums in the order of each source's own cap give at once.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))  # a row per source
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    s = s.withColumn("w", F.array(*[F.lit(float(w)) for w in weights])[turn]).withColumn("cap", most * F.col("source_size").cast("double"))
-    every = Window.partitionBy(F.lit(0))
-    by_cap = every.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum(F.col("source_size")).over(every) * F.lit(share) - F.coalesce(F.sum("cap").over(by_cap), F.lit(0.0))
-    weight = F.sum("w").over(every) - F.coalesce(F.sum("w").over(by_cap), F.lit(0.0))
-    s = s.withColumn("level", left / weight)
-    open_ = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))
-    level = F.coalesce(F.max(open_).over(every), F.lit(0.0))
-    return s.select("source", "source_size", F.least("cap", level * F.col("w")).alias("target"))
+    name = F.col("source").asc_nulls_last()
+    s = running_sums(s, [name], {"turn": F.lit(1).cast("long")})
+    s = s.withColumn("w", F.array(*[F.lit(float(w)) for w in weights])[(F.col("turn") % len(weights)).cast("int")]).withColumn("cap", most * F.col("source_size").cast("double"))
+    s = running_sums(s.withColumn("height", F.col("cap") / F.col("w")), [F.col("height"), name], {"below": F.col("cap"), "lighter": F.col("w")})
+    s = s.crossJoin(F.broadcast(s.agg((F.sum("source_size") * F.lit(share)).alias("share"), F.sum("w").alias("weights"))))  # one row
+    s = s.withColumn("level", (F.col("share") - F.col("below")) / (F.col("weights") - F.col("lighter")))
+    level = s.agg(F.coalesce(F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))), F.lit(float("inf"))).alias("top"))
+    return s.crossJoin(F.broadcast(level)).select("source", "source_size", F.least("cap", F.col("top") * F.col("w")).alias("target"))
 
 
 class Mixture:
@@ -84,7 +84,7 @@ class Mixture:
 
     ``packed``: doc_id, source, tk, size, start (of its words in its source).
     ``targets``: source, source_size, target.  ``slots``: shard, source, pass,
-    block, words.  ``pieces``: of each slot's block the runs of words of each
+    block, words.  ``counts``: shard, source, slots, words.  ``pieces``: of each slot's block the runs of words of each
     document: shard, source, pass, doc_id, tk, start, first, last (exclusive,
     counted in the document).
     """
@@ -95,6 +95,7 @@ class Mixture:
         self.packed = cut(rank_in_groups(sizes, ["source"], [F.col("doc_id"), F.col("tk")], ["doc_id", "tk"], "start", F.col("size")), "packed")
         self.targets = cut(source_targets(sizes, weights, share, most), "targets")
         self.slots = self._slots(block, seed, shard_words)
+        self.counts = self.slots.groupBy("shard", "source").agg(F.count("*").alias("slots"), F.sum("words").alias("words"))
         last = F.col("start") + F.col("size")
         cell = self.packed.where("size > 0").select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((last - 1) / block))).alias("block"))
         s = self.slots.select("shard", F.col("source").alias("_s"), "pass", F.col("block").alias("_b"), "words")
@@ -109,8 +110,10 @@ class Mixture:
         t = t.withColumn("whole", F.floor(take / F.col("source_size"))).withColumn("part", take - F.floor(take / F.col("source_size")) * F.col("source_size"))
         t = t.withColumn("full", F.floor(F.col("source_size") / block))  # blocks that are full
         t = t.withColumn("n", F.ceil(F.col("source_size") / block)).withColumn("rest", F.col("source_size") - F.col("full") * block)
-        total = t.agg(F.sum("target")).first()[0] or 0.0
-        shards = max(1, round(total / shard_words))
+        t = t.withColumn("tickets", F.col("whole") * F.col("n") + F.ceil(F.col("part") / block))
+        t = cut(running_sums(t, [F.col("source").asc_nulls_last()], {"first": F.col("tickets")}), "tickets")
+        urn = t.agg(F.sum("tickets")).first()[0] or 0
+        per_shard = max(1, shard_words // block)
         p = t.select("*", F.explode(F.sequence(F.lit(0), F.col("whole"))).alias("pass"))
         # slots of a pass: every block of a whole pass; of the last one, the blocks that hold `part` words
         p = p.withColumn("used", F.when(F.col("pass") < F.col("whole"), F.col("n")).otherwise(F.ceil(F.col("part") / block))).where("used > 0")
@@ -122,8 +125,10 @@ class Mixture:
         p = p.withColumn("block", F.when(F.col("slot") < F.col("full"), permuted(F.when(F.col("slot") < F.col("full"), F.col("slot")).otherwise(0), key, F.greatest("full", F.lit(1)))).otherwise(F.col("full")))
         have = F.when(F.col("slot") < F.col("full"), F.lit(block)).otherwise(F.col("rest"))
         words = F.when(F.col("pass") < F.col("whole"), have).otherwise(F.least(have, F.col("part") - F.col("slot") * block))
-        shard = F.pmod(F.xxhash64("source", "pass", "slot", F.lit(seed + 1)), F.lit(shards)).cast("int")
-        return cut(p.select(shard.alias("shard"), "source", "pass", "block", words.alias("words")), "slots")
+        # a slot's ticket is drawn from the urn at a pseudorandom turn, and shards draw one after the other
+        ticket = F.col("first") + F.col("pass") * F.col("n") + F.col("slot")
+        shard = F.floor(permuted(ticket, F.lit(seed).cast("long"), F.lit(max(urn, 1)).cast("long")) / per_shard)
+        return cut(p.select(shard.cast("long").alias("shard"), "source", "pass", "block", words.alias("words")), "slots")
 
     def by_document(self) -> DataFrame:
         """``doc_id, tk, size, source_size, target, taken`` for every document."""
@@ -140,34 +145,47 @@ class Mixture:
 
         Documents that no slot takes are left out; other columns stay.
         """
-        spans = self.pieces.groupBy("source", "start", "doc_id", "tk").agg(F.array_sort(F.collect_list(F.struct("pass", "first", "last"))).alias("_spans"))  # of one document
-        d = docs.withColumn("_k", F.xxhash64("text")).withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "_k").orderBy("source")))
-        spans = spans.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "tk").orderBy("source", "start"))).select(F.col("doc_id").alias("_id"), "tk", "_n", "_spans")
-        x = d.join(spans, d["doc_id"].eqNullSafe(spans["_id"]) & (F.col("_k") == F.col("tk")) & (F.col("_row") == F.col("_n")))
-        return x.select(*docs.columns, "_spans").mapInArrow(_cut_texts, docs.schema)
-
-
-def _cut_texts(batches):
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        spans = batch.column("_spans").to_pylist()
-        out = [None] * batch.num_rows
-        for a, b, buf, offs in bw.chunks(batch.column("text")):
-            row, begin, size, _ = bw.find_words(buf, offs)
-            raw, bounds = buf.tobytes(), bw.row_bounds(row, b - a)
-            for i in range(b - a):
-                first, n = bounds[i], bounds[i + 1] - bounds[i]
-                runs: list[list[int]] = []
-                for s in spans[a + i]:
-                    if runs and runs[-1][0] == s["pass"] and runs[-1][2] == s["first"]:
-                        runs[-1][2] = s["last"]
-                    else:
-                        runs.append([s["pass"], s["first"], s["last"]])
-                parts = []
-                for _, lo, hi in runs:
-                    x = offs[i] if lo == 0 else begin[first + lo]
-                    y = offs[i + 1] if hi == n else begin[first + hi - 1] + size[first + hi - 1]
-                    parts.append(raw[x:y].decode())
-                out[a + i] = "\n".join(parts)
-        cols = [pa.array(out, batch.schema.field(at).type) if c == "text" else batch.column(c) for c in batch.schema.names if c != "_spans"]
-        yield pa.RecordBatch.from_arrays(cols, names=[c for c in batch.schema.names if c != "_spans"])
+        spans = self.pieces.groupBy("source", "start", "doc_id", "tk").agg(F.array_sort(F.collect_list(F.struct("pass", "first", "last"))).alias("spans"))  # of one document
+        spans = spans.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "tk").orderBy("source", "start"))).select("doc_id", "tk", "nth", "spans")
+        # the documents' own columns stay inside one, whatever their names
+        text = next(c for c in docs.columns if c.lower() == "text")
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("hash"), F.col("source").cast("string").alias("source"))
+        rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("id", "hash").orderBy("source")))
+        x = rows.join(spans, rows["id"].eqNullSafe(spans["doc_id"]) & rows["hash"].eqNullSafe(spans["tk"]) & (rows["number"] == spans["nth"]))
+        return x.select("row", "spans").mapInArrow(_cut_texts(text), docs.schema)
+
+
+def _cut_texts(text: str):
+    def run(batches):
+        for batch in batches:
+            row, spans = batch.column("row"), batch.column("spans").to_pylist()
+            names = [f.name for f in row.type]
+            cols = [row.field(i) for i in range(len(names))]
+            at = names.index(text)
+            cols[at] = pa.array(_taken(cols[at], spans), cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return run
+
+
+def _taken(texts: pa.Array, spans: list) -> list[str]:
+    """Of each text the words that its spans take."""
+    out = [None] * len(spans)
+    for a, b, buf, offs in bw.chunks(texts):
+        row, begin, size, _ = bw.find_words(buf, offs)
+        raw, bounds = buf.tobytes(), bw.row_bounds(row, b - a)
+        for i in range(b - a):
+            first, n = bounds[i], bounds[i + 1] - bounds[i]
+            runs: list[list[int]] = []
+            for s in spans[a + i]:
+                if runs and runs[-1][0] == s["pass"] and runs[-1][2] == s["first"]:
+                    runs[-1][2] = s["last"]
+                else:
+                    runs.append([s["pass"], s["first"], s["last"]])
+            parts = []
+            for _, lo, hi in runs:
+                x = offs[i] if lo == 0 else begin[first + lo]
+                y = offs[i + 1] if hi == n else begin[first + hi - 1] + size[first + hi - 1]
+                parts.append(raw[x:y].decode())
+            out[a + i] = "\n".join(parts)
+    return out

@@ -114,11 +114,56 @@ def test_mixing(spark, corpus):
     weights = [3, 1, 2]
     level = [t / weights[i % 3] for i, (_, s, t) in enumerate(sizes) if t < 2 * s - 1e-6]
     assert max(level) == pytest.approx(min(level))
-    texts = m.texts(docs).collect()
+    texts = m.texts(docs.withColumn("tk", F.lit(1)).withColumn("spans", F.lit("x")).withColumn("row", F.lit("y")).withColumn("id", F.lit(2))).collect()
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) for r in texts) == sum(r["taken"] for r in rows)
     assert mixing.Mixture(make(spark, [])).by_document().count() == 0
 
 
+def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """Excess over the caps handed out again and again until none is left."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, rest, free = dict.fromkeys(names, 0.0), share * sum(sizes.values()), set(names)
+    while free and rest > 1e-9:
+        level = rest / sum(w[s] for s in free)
+        target.update({s: target[s] + level * w[s] for s in free})
+        rest = sum(max(0.0, target[s] - most * sizes[s]) for s in free)
+        target = {s: min(t, most * sizes[s]) for s, t in target.items()}
+        free = {s for s in free if target[s] < most * sizes[s] - 1e-9}
+    return target
+
+
+def test_targets_against_plain_resharing(spark):
+    rng = random.Random(6)
+    for n in (1, 2, 7, 40):
+        sizes = {f"s{i}": rng.choice([0, 1, 5, 50, 1000, 100_000]) for i in range(n)} | ({None: 77} if n > 2 else {})
+        got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+        want = plain_targets(sizes)
+        assert {r["source"] for r in got} == set(sizes)
+        assert all(r["target"] == pytest.approx(want[r["source"]]) for r in got)
+
+
+def test_shards_draw_sources_by_their_targets(spark):
+    """Every shard has its number of slots, their totals meet the targets, and a shard's counts scatter as draws do."""
+    rng = random.Random(8)
+    docs = make(spark, [(i, words(rng, 60), "abc"[i % 3]) for i in range(900)])
+    m = mixing.Mixture(docs, block=16, shard_words=16 * 64)
+    counts = m.counts.collect()
+    total = {}
+    for r in counts:
+        total.setdefault(r["shard"], {})[r["source"]] = r["slots"]
+    slots = sum(r["slots"] for r in counts)
+    assert sorted(total) == list(range(-(-slots // 64)))
+    assert all(sum(c.values()) == 64 for b, c in total.items() if b < max(total))
+    for source, p in ((s, sum(c.get(s, 0) for c in total.values()) / slots) for s in "abc"):
+        got = np.array([c.get(source, 0) for b, c in total.items() if b < max(total)])
+        assert abs(got.mean() - 64 * p) < 1
+        assert 0.4 < got.var() / (64 * p * (1 - p)) < 2
+    again = mixing.Mixture(docs.repartition(7), block=16, shard_words=16 * 64).slots
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(again) == key(m.slots)
+
+
 def test_permutation_is_one(spark):
     x = spark.range(1000).select(mixing.permuted(F.col("id"), F.lit(7).cast("long"), F.lit(1000).cast("long")).alias("p"))
     assert sorted(r["p"] for r in x.collect()) == list(range(1000))
