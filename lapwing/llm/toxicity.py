@@ -11,6 +11,7 @@ trained on labelled sentences.  A document's score is that of its worst one.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -27,7 +28,8 @@ ORDER, DECAY = 3, 0.75
 #: Bounds of the training sample: documents of either label.
 MAX_TOXIC, MAX_OTHER = 1000, 2500
 MAX_STEMS, MAX_PLAIN = 48, 16
-LONGEST = 24
+#: Letters of a word that are compared at once; longer words are seen in parts, each ``STEP`` letters on.
+LONGEST, STEP = 23, 12
 #: Words whose kernel with every stem is lower count as unlike all.
 CLOSE = 0.45
 
@@ -38,8 +40,15 @@ _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 def words_of(sentence: str) -> list[str]:
     """Words of a lower-cased text as letters only; single letters in a row are one word."""
-    out = [w for t in sentence.split() if len(w := letters(t)) > 1]
-    return out + [re.sub(r"\s", "", m) for m in _SPACED_OUT.findall(sentence)]
+    out = [w for t in sentence.split() for w in parts(letters(t)) if len(w) > 1]
+    return out + [w for m in _SPACED_OUT.findall(sentence) for w in parts(re.sub(r"\s", "", m))]
+
+
+def parts(word: str) -> tuple[str, ...]:
+    """A word, or if it is long its parts: every run of ``LONGEST - STEP`` letters is inside one."""
+    if len(word) <= LONGEST:
+        return (word,)
+    return tuple(word[a : a + LONGEST] for a in range(0, len(word) - LONGEST + STEP, STEP))
 
 
 def letters(token: str) -> str:
@@ -50,11 +59,11 @@ def letters(token: str) -> str:
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters with a start mark, cut to ``LONGEST``, as numbers padded by 0; lengths."""
-    cut = ["^" + w[: LONGEST - 1] for w in words]
-    n = np.array([len(w) for w in cut], dtype=np.int64)
-    x = np.zeros((len(cut), int(n.max()) if len(n) else 1), dtype=np.int32)
-    for i, w in enumerate(cut):
+    """Characters with a start mark, as numbers padded by 0; lengths."""
+    marked = ["^" + w for w in words]
+    n = np.array([len(w) for w in marked], dtype=np.int64)
+    x = np.zeros((len(marked), int(n.max()) if len(n) else 1), dtype=np.int32)
+    for i, w in enumerate(marked):
         x[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), dtype=np.int32)
     return x, n
 
@@ -188,7 +197,8 @@ def find_stems(docs: list[set[str]], kin: list[int], toxic: np.ndarray) -> list[
     """Words and word beginnings that mark toxic documents.
 
     One counts once for near copies, occurs in one of fifty toxic documents
-    at least, and hardly in others.  Of related ones the most frequent is taken,
+    at least, hardly in others, and in so few others that among all words that
+    were tried none is likely to do so by chance.  Of related ones the most frequent is taken,
     the longest if several are as frequent.
     """
     def features(words):
@@ -201,12 +211,18 @@ def find_stems(docs: list[set[str]], kin: list[int], toxic: np.ndarray) -> list[
                 where[f].add(k)
     n_toxic, n_other = len({k for k, t in zip(kin, toxic, strict=True) if t}), int((~toxic).sum())
     least = max(3, n_toxic / 50)
+    tried, share = len(where), n_toxic / max(1, n_toxic + n_other)
     where = {f: s for f, s in where.items() if len(s) >= least}
     misses: Counter[str] = Counter()
     for words, t in zip(docs, toxic, strict=True):
         if not t:
             misses.update(features(words) & where.keys())
-    good = [f for f, s in where.items() if misses[f] / n_other <= 0.02 * len(s) / n_toxic]
+
+    def by_chance(hits, other):
+        n = hits + other
+        return sum(math.comb(n, k) * share**k * (1 - share) ** (n - k) for k in range(hits, n + 1))
+
+    good = [f for f, s in where.items() if misses[f] / n_other <= 0.02 * len(s) / n_toxic and tried * by_chance(len(s), misses[f]) < 1]
     stems: list[str] = []
     for f in sorted(good, key=lambda f: (-len(where[f]), -len(f), f)):
         if len(stems) < MAX_STEMS and not any(f.startswith(s) or s.startswith(f) for s in stems):
@@ -329,16 +345,16 @@ def _scores(model: ToxicityModel, keep_below: float | None = None):
             for a in range(0, len(texts), 512):
                 low = [(t or "").lower() for t in texts[a : a + 512]]
                 tokens = [set(t.split()) for t in low]
-                words = {t: letters(t) for t in set().union(*tokens)}
+                words = {t: parts(letters(t)) for t in set().union(*tokens)}
                 spaced = [words_of(" ".join(m)) if (m := _SPACED_OUT.findall(t)) else () for t in low]
                 if len(done) > _CACHE:
                     done, close = set(), {}
-                new = set(words.values()).union(*spaced) - done
+                new = set().union(*words.values(), *spaced) - done
                 close.update(model.kernels(sorted((w for w in new if len(w) > 1), key=len)))  # short words need few columns
                 done |= new
-                hot = {t for t, w in words.items() if w in close}
+                hot = {t for t, ws in words.items() if any(w in close for w in ws)}
                 for i, t in enumerate(low):
-                    known = {words[x] for x in tokens[i] & hot}.union(w for w in spaced[i] if w in close)
+                    known = {w for x in tokens[i] & hot for w in words[x] if w in close}.union(w for w in spaced[i] if w in close)
                     out[a + i] = document_decision(model, t, {w: close[w] for w in known})
             if keep_below is None:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(out))], names=["doc_id", "score"])
