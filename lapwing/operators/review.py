@@ -33,8 +33,21 @@ def audit_trail(events: DataFrame) -> DataFrame:
 
 
 def current_state(events: DataFrame) -> DataFrame:
-    """The latest event of each case."""
-    return events.groupBy("case_id").agg(F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.max("ts").alias("ts"), F.count("*").alias("n_events"))
+    """The latest *accepted* event of each case: those of steps that the table forbids from the state before leave the state as it is.
+
+    Whether a step is accepted depends on the last accepted one, so a case's
+    events are folded in their order; they are as many as one case has.
+    """
+    legal = F.create_map(*[F.lit(v) for a, bs in TRANSITIONS.items() for v in (f"{a}", "|".join((a, *bs)))])
+    start = F.struct(F.lit("pending").alias("state"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("accepted"))
+
+    def step(acc, e):
+        ok = F.array_contains(F.split(F.try_element_at(legal, acc["state"]), r"\|"), e["state"])
+        new = F.struct(e["state"].alias("state"), e["ts"].cast("timestamp").alias("ts"), (acc["accepted"] + 1).alias("accepted"))
+        return F.when(F.coalesce(ok, F.lit(False)), new).otherwise(acc)
+
+    x = events.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "state"))).alias("e"))
+    return x.select("case_id", F.aggregate("e", start, step).alias("s"), F.size("e").cast("long").alias("n_events")).select("case_id", "s.state", "s.ts", "s.accepted", "n_events")
 
 
 def notifications(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -48,3 +61,69 @@ def turnaround(events: DataFrame) -> DataFrame:
     asked = events.where("state = 'explanation_requested'").groupBy("case_id").agg(F.min("ts").alias("asked"))
     got = events.where("state = 'explanation_received'").join(asked, "case_id").where("ts > asked").groupBy("case_id", "asked").agg(F.min("ts").alias("got"))
     return got.select("case_id", (F.unix_timestamp("got") - F.unix_timestamp("asked")).alias("seconds"))
+
+
+#: What faculty may do; students may only send an explanation, admins may do all.
+FACULTY_ACTIONS = ("REVIEW_PENDING", "PASSAGE_REVIEWED", "EXPLANATION_REQUESTED", "DECISION_RECORDED", "NOTES_UPDATED", "STATUS_TRANSITION", "RE_ANALYZED")
+#: Action, type and title of what a student is told.
+NOTICES = (
+    ("in_review", "review_started", "Submission Under Review"),
+    ("reviewed", "review_completed", "Review Completed"),
+    ("PASSAGE_REVIEWED", "system_update", "Passage Concern Noted"),
+    ("explanation_requested", "explanation_requested", "Explanation Requested"),
+    ("explanation_received", "explanation_received", "Explanation Submitted"),
+    ("FEEDBACK_SENT", "faculty_feedback", "Faculty Feedback"),
+)
+
+
+def may_act(role: Column, action: Column) -> Column:
+    return F.when(role == "admin", True).when(role == "faculty", action.isin(*FACULTY_ACTIONS)).when(role == "student", action == "EXPLANATION_RECEIVED").otherwise(False)
+
+
+def submission_status(review_state: Column, status: Column) -> Column:
+    """The submission's status that follows from a review state; others leave it."""
+    return F.when(review_state == "reviewed", "reviewed").when(review_state == "pending", "needs_review").otherwise(status)
+
+
+def passage_reviews(rows: DataFrame) -> DataFrame:
+    """The latest verdict on each passage of a submission."""
+    return rows.groupBy("submission_id", "passage_id").agg(F.max_by(F.struct("verdict", "ts"), F.struct("ts", "event_id")).alias("v")).select("submission_id", "passage_id", "v.*")
+
+
+def notices(events: DataFrame) -> DataFrame:
+    """``student_id, submission_id, type, title, ts, read``: of each student, submission and type the newest event's notice, unread again."""
+    rules = F.create_map(*[F.lit(v) for action, kind, title in NOTICES for v in (action, f"{kind}|{title}")])
+    x = events.withColumn("_rule", F.try_element_at(rules, F.col("action"))).where("_rule is not null")
+    x = x.withColumn("type", F.split_part("_rule", F.lit("|"), F.lit(1))).withColumn("title", F.split_part("_rule", F.lit("|"), F.lit(2)))
+    newest = F.max_by(F.struct("title", "ts"), F.struct("ts", "event_id")).alias("n")
+    return x.groupBy("student_id", "submission_id", "type").agg(newest).select("student_id", "submission_id", "type", "n.title", "n.ts", F.lit(False).alias("read"))
+
+
+def with_acks(notes: DataFrame, acks: DataFrame) -> DataFrame:
+    """Notices with what was read since: an ack of one type, or of all (null type), as late as the notice."""
+    a = acks.groupBy("student_id", "type").agg(F.max("ts").alias("_ack"))
+    every = a.where("type is null").select("student_id", F.col("_ack").alias("_all"))
+    x = notes.join(a.where("type is not null"), ["student_id", "type"], "left").join(every, "student_id", "left")
+    seen = F.coalesce(F.greatest("_ack", "_all") >= F.col("ts"), F.lit(False))
+    return x.withColumn("read", F.col("read") | seen).drop("_ack", "_all")
+
+
+def unread(notes: DataFrame) -> DataFrame:
+    return notes.groupBy("student_id").agg(F.count_if(~F.col("read")).alias("unread"), F.count("*").alias("n"))
+
+
+def inbox(notes: DataFrame, students: DataFrame) -> DataFrame:
+    """Notices of each student, found by id or else by roll number, newest first (``rank``)."""
+    s = students.select("student_id", F.lower("roll").alias("roll"))
+    named = notes.withColumnRenamed("student_id", "to")
+    by_id = named.join(s, F.col("to") == F.col("student_id").cast("string")).select(*named.columns, "student_id")
+    by_roll = named.join(s, F.lower("to") == F.col("roll")).select(*named.columns, "student_id")
+    every = by_id.union(by_roll).distinct()
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("student_id").orderBy(F.desc("ts"), "submission_id", "type")))
+
+
+def reanalysed(analyses: DataFrame, again: DataFrame, audit: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Analyses with those of ``again`` in place of their old ones, and the audit rows with one for each; reviews are not touched."""
+    kept = analyses.join(again.select("submission_id"), "submission_id", "left_anti").unionByName(again)
+    rows = again.select("submission_id", F.lit("RE_ANALYZED").alias("action"), F.col("ts"))
+    return kept, audit.unionByName(rows)

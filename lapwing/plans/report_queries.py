@@ -60,9 +60,12 @@ def student_summary(spark, d):
     return r.summary(submissions(spark, d), "student_id")
 
 
-@query("r08_not_yet_submitted", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("r08_not_yet_submitted", "SELECT c_custkey AS student_id, a.i AS assignment_id FROM customer, generate_series(0, 4) AS a(i) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 5 = a.i)")
 def not_submitted(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Assignments of each student without an order that stands for their submission."""
+    due = table(spark, d, "customer").select(F.col("c_custkey").alias("student_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("assignment_id"))
+    done = table(spark, d, "orders").select(F.col("o_custkey").alias("student_id"), (F.col("o_orderkey") % 5).alias("assignment_id"))
+    return due.join(done, ["student_id", "assignment_id"], "left_anti")
 
 
 @query("r10_r37_scope", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 2)")
@@ -104,9 +107,9 @@ def audit(spark, d):
     return review.audit_trail(events(spark, d)).drop("ts")
 
 
-@query("e02_current_state", f"WITH {EVENTS_SQL} SELECT case_id, arg_max(state, (ts, event_id)) AS state, count(*) AS n_events FROM ev GROUP BY 1")
+@query("e02_current_state", f"WITH {EVENTS_SQL} SELECT case_id, list_reduce(list_prepend('pending', list(state ORDER BY ts, event_id)), lambda s, x: CASE WHEN list_contains({_LEGAL}, s || '>' || x) THEN x ELSE s END) AS state, count(*) AS n_events FROM ev GROUP BY 1")
 def state(spark, d):
-    return review.current_state(events(spark, d)).drop("ts")
+    return review.current_state(events(spark, d)).select("case_id", "state", "n_events")
 
 
 @query("e07_e08_notifications", f"WITH {EVENTS_SQL}, n AS (SELECT case_id, CASE state WHEN 'explanation_requested' THEN 'ask' WHEN 'reviewed' THEN 'decision' END AS type, event_id, state AS title, row_number() OVER (PARTITION BY case_id, state ORDER BY ts DESC, event_id DESC) AS k FROM ev WHERE state IN ('explanation_requested', 'reviewed')) SELECT case_id, type, event_id, title FROM n WHERE k = 1")

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from lapwing.functions import text as t
 
 MAX_BYTES = 25 * 1024 * 1024
-#: Accepted extensions and their media types.
+#: Accepted extensions and their media types; the last ones have none of their own.
 MEDIA_TYPES = {
-    "pdf": "application/pdf",
-    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
-    "doc": "application/msword",
-    "txt": "text/plain",
-    "md": "text/markdown",
+    ".pdf": "application/pdf",
+    ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    ".txt": "text/plain",
+    ".md": "text/markdown",
+    ".py": "text/x-python",
+    ".cpp": "text/x-c",
+    ".c": "text/x-c",
+    ".h": "text/x-c",
+    ".java": "text/x-java-source",
+    ".js": "application/octet-stream",
+    ".ts": "application/octet-stream",
 }
 
 
@@ -27,10 +33,15 @@ def document_profile(docs: DataFrame, least: int = 15, words_per_page: int = 450
 
 def reject_reason(name: Column, size: Column, types: tuple[str, ...] = tuple(MEDIA_TYPES)) -> Column:
     """Why a file is not taken: ``too_large``, ``empty``, ``type``; null if it is."""
-    ext = F.lower(F.element_at(F.split(name, r"\."), -1))
-    return F.when(size > MAX_BYTES, "too_large").when(size <= 0, "empty").when(~ext.isin(*types), "type")
+    n = F.lower(name)
+    known = F.lit(False)
+    for ext in types:
+        known = known | n.endswith(ext)
+    return F.when(size > MAX_BYTES, "too_large").when(size == 0, "empty").when(~F.coalesce(known, F.lit(False)), "type")
 
 
 def media_type(name: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in MEDIA_TYPES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, F.lower(F.element_at(F.split(name, r"\."), -1))), F.lit("application/octet-stream"))
+    out = F.lit("application/octet-stream")
+    for ext, kind in reversed(MEDIA_TYPES.items()):
+        out = F.when(F.lower(name).endswith(ext), kind).otherwise(out)
+    return out
