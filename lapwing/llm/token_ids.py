@@ -37,8 +37,8 @@ MAGIC = b"RPG2"
 
 # --- encoding -------------------------------------------------------------
 
-#: Words, and runs of letters or punctuation, that an encoder keeps; either starts anew beyond that.
-CACHE = 500_000
+#: Words that an encoder keeps in either of two generations.
+CACHE = 300_000
 #: A run of Latin letters, a run of punctuation, or both, of lower-cased UTF-8 bytes.
 _SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)?([!-/:-@\[-`{-~]+)?")
 _encoders: dict[str, "Encoder"] = {}
@@ -51,23 +51,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Runs(dict):
-    """Bytes of a run of letters or of punctuation to the bytes of its ids (u4), by the vocabulary's merges alone."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.tokenize = model.tokenize
-        self.letters = _byte_letters()
-
-    def __missing__(self, run: bytes) -> bytes:
-        shown = run.decode() if run.isascii() else "".join([self.letters[b] for b in run.decode().lower().encode()])
-        ids = array("I", [t.id for t in self.tokenize(shown)]).tobytes()
-        if len(self) >= CACHE:
-            self.clear()
-        self[run] = ids
-        return ids
-
-
 class Encoder(dict):
     """Bytes of a word to the bytes of its ids (u4); texts are split at ASCII white space.
 
@@ -82,20 +65,30 @@ class Encoder(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.runs = Runs(self.whole.model)
+        self.tokenize = self.whole.model.tokenize
+        self.letters = _byte_letters()
+        self.before: dict[bytes, bytes] = {}  # the words of the last generation
 
     def __missing__(self, word: bytes) -> bytes:
-        simple = _SIMPLE.fullmatch(word)
-        if simple:
-            a, b = simple.groups()
-            ids = self.runs[a] + self.runs[b] if a and b else self.runs[word]
-        else:
-            ids = array("I", self.whole.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        ids = self.before.get(word)
+        if ids is None:
+            simple = _SIMPLE.fullmatch(word)
+            if simple is None:
+                ids = array("I", self.whole.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+            else:
+                a, b = simple.groups()
+                ids = self[a] + self[b] if a and b else self._run(word)
         if len(self) >= CACHE:
+            self.before = dict(self)
             self.clear()
         self[word] = ids
         return ids
 
+    def _run(self, run: bytes) -> bytes:
+        """The ids of letters or punctuation alone, by the vocabulary's merges."""
+        shown = run.decode() if run.isascii() else "".join([self.letters[b] for b in run.decode().lower().encode()])
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
     def ids(self, text: str) -> np.ndarray:
         raw = text.encode()
         if b"<|" not in raw:  # else case tells a special token from plain text
