@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 from lapwing.llm.common import new_path
 
 END_ID = 2
-SHARD_TOKENS = 1 << 19
+SHARD_TOKENS = 1 << 17
 MAGIC = b"RPG2"
 
 # --- encoding -------------------------------------------------------------
@@ -41,6 +41,7 @@ MAGIC = b"RPG2"
 CACHE = 300_000
 #: A run of Latin letters, a run of punctuation, or both, of lower-cased UTF-8 bytes.
 _SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)?([!-/:-@\[-`{-~]+)?")
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -72,8 +73,10 @@ class Encoder(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.before.get(word)
         if ids is None:
-            simple = _SIMPLE.fullmatch(word)
-            if simple is None:
+            core = word.rstrip(_MARKS)
+            if core.isalpha():  # bytes: ASCII letters only
+                ids = self[core] + self[word[len(core) :]] if len(core) < len(word) else self._run(word)
+            elif (simple := _SIMPLE.fullmatch(word)) is None:
                 ids = array("I", self.whole.encode(word.decode(), add_special_tokens=False).ids).tobytes()
             else:
                 a, b = simple.groups()
