@@ -21,6 +21,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,8 @@ MAGIC = b"RPG2"
 
 # --- encoding -------------------------------------------------------------
 
-#: Words that an encoder keeps in either of two generations.
-CACHE = 300_000
+#: Words that an encoder keeps in either of two generations, and between tasks.
+CACHE, KEPT = 300_000, 100_000
 #: A run of Latin letters, a run of punctuation, or both, of lower-cased UTF-8 bytes.
 _SIMPLE = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)?([!-/:-@\[-`{-~]+)?")
 _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
@@ -87,6 +88,11 @@ class Encoder(dict):
         self[word] = ids
         return ids
 
+    def rest(self) -> None:
+        """Keep the words seen first, mostly frequent ones, and let the others go: a worker outlives its task."""
+        self.before = dict(islice(chain(self.before.items(), self.items()), KEPT))
+        self.clear()
+
     def _run(self, run: bytes) -> bytes:
         """The ids of letters or punctuation alone, by the vocabulary's merges."""
         shown = run.decode() if run.isascii() else "".join([self.letters[b] for b in run.decode().lower().encode()])
@@ -279,6 +285,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
                     ids, docs, held, seq = [], [], 0, seq + 1
         if docs:
             yield shard()
+        enc.rest()
 
     return run
 
