@@ -195,15 +195,15 @@ MARKER_TERMS = (
 )
 
 #: English words that carry no content.
-STOPWORDS = tuple(
-    """
-    a about above after again against all am an and any are as at be because been before being below between
-    both but by could did do does doing down during each few for from further had has have having he her here
-    hers herself him himself his how i if in into is it its itself just me more most my myself no nor not of
-    off on once only or other ought our ours ourselves out over own same she should so some such than that the
-    their theirs them themselves then there these they this those through to too under until up very was we
-    were what when where which while who whom why with would you your yours yourself
-    """.split()
+STOPWORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been",
+    "before", "being", "below", "between", "both", "but", "by", "could", "did", "do", "does", "doing", "down", "during", "each", "few",
+    "for", "from", "further", "had", "has", "have", "having", "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i",
+    "if", "in", "into", "is", "it", "its", "itself", "just", "me", "more", "most", "my", "myself", "no", "nor", "not", "of", "off", "on",
+    "once", "only", "or", "other", "ought", "our", "ours", "ourselves", "out", "over", "own", "same", "she", "should", "so", "some", "such",
+    "than", "that", "the", "their", "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those", "through", "to",
+    "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whom", "why", "with",
+    "would", "you", "your", "yours", "yourself",
 )
 
 #: Words to the group of synonyms they belong to.

@@ -51,18 +51,105 @@ def sentence_spans(docs: DataFrame, least: int = 3) -> DataFrame:
     return p.select("doc_id", idx, "text", "start_char", "end_char", "paragraph")
 
 
+def quote_spans(docs: DataFrame) -> DataFrame:
+    """``doc_id, start_char, end_char`` of the quotations of ``docs(doc_id, text)``: the quotes and the text between them, cut out, are the text."""
+    c = F.col("text")
+    marked = F.regexp_replace(F.translate(c, _DOT + _END, ""), f"({t.QUOTE_SPANS})", f"{_END}{_DOT}$1{_END}")
+    p = docs.select("doc_id", F.posexplode(F.split(marked, _END)).alias("piece", "p"))
+    p = p.withColumn("is_quote", F.startswith("p", F.lit(_DOT))).withColumn("n", F.length("p") - F.col("is_quote").cast("int"))
+    before = Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("start_char", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return p.where("is_quote").select("doc_id", "start_char", (F.col("start_char") + F.col("n")).alias("end_char"))
+
+
+def in_quotes(spans: DataFrame, quotes: DataFrame) -> DataFrame:
+    """``spans`` with ``in_quote``: whether they overlap a quotation.
+
+    Quotations of a document do not overlap each other, so of those that begin
+    before a span's end only the last can: a running value finds it in one sort.
+    """
+    q = quotes.select("doc_id", F.col("start_char").alias("at"), F.lit(0).alias("kind"), F.col("end_char").alias("quote_end"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("long").alias("from"))
+    e = spans.select("doc_id", F.col("end_char").cast("long").alias("at"), F.lit(-1).alias("kind"), F.lit(None).cast("long").alias("quote_end"), F.col("idx").cast("int").alias("idx"), F.col("start_char").cast("long").alias("from"))
+    w = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = q.unionByName(e).withColumn("last", F.last("quote_end", True).over(w)).where("kind = -1")
+    hit = x.select("doc_id", "idx", F.coalesce(F.col("last") > F.col("from"), F.lit(False)).alias("in_quote"))
+    return spans.join(hit, ["doc_id", "idx"])
+
+
 def span_flags(spans: DataFrame, prompt: Column | None = None) -> DataFrame:
-    """The spans with their tests as columns."""
+    """The spans with their tests as columns; with ``in_quote``, such spans are quoted, too."""
     c = F.col("text")
-    return spans.select("*", t.is_heading(c).alias("is_heading"), t.is_prompt(c, prompt).alias("is_prompt"), t.is_formula(c).alias("is_formula"), t.is_quoted_or_cited(c).alias("is_quoted"), (c.rlike(t.BRACKET) | c.rlike(t.AUTHOR_DATE)).alias("is_cited"), t.is_common_phrase(c).alias("is_common"), t.is_definition(c).alias("is_definition"))
+    quoted = t.is_quoted_or_cited(c)
+    if "in_quote" in spans.columns:
+        quoted = quoted | F.col("in_quote")
+    common = t.is_mostly_common(c) | t.is_definition(c)
+    return spans.select("*", t.is_heading(c).alias("is_heading"), t.is_prompt(c, prompt).alias("is_prompt"), t.is_formula(c).alias("is_formula"), quoted.alias("is_quoted"), c.rlike(t.CITED).alias("is_cited"), common.alias("is_common"))
+
+
+def rechunked(spans: DataFrame, most: int = 50, size: int = 40, overlap: int = 10, most_chars: int = 250, chars: int = 180, char_overlap: int = 30, least: int = 5) -> DataFrame:
+    """Spans of more than ``most`` tokens cut into runs of ``size`` words, and dense ones of more than ``most_chars`` characters into
+    runs of ``chars``; each begins ``overlap`` before the last one's end and keeps the flags; ``idx`` counts anew.
+    """
+    def starts(n, step, back):
+        last = F.greatest(F.lit(0), F.ceil((n - back) / step).cast("int") - 1)
+        return F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
+
+    x = spans.withColumn("_w", F.split("text", " ")).withColumn("_n", F.size(t.tokens(F.col("text"))))
+    wide, long_ = F.size("_w"), F.length("text")
+    n_chars = F.col("end_char") - F.col("start_char")
+
+    def at(i):
+        return F.least(F.col("end_char"), F.col("start_char") + t.js_round(i / wide * n_chars).cast("long"))
+
+    by_word = F.transform(starts(wide, size - overlap, overlap), lambda i: F.struct(F.array_join(F.slice("_w", i + 1, F.lit(size)), " ").alias("text"), at(i).cast("long").alias("s"), at(F.least(wide, i + size)).cast("long").alias("e")))
+    by_char = F.transform(starts(long_, chars - char_overlap, char_overlap), lambda i: F.struct(F.substring("text", i + 1, F.lit(chars)).alias("text"), (F.col("start_char") + i).cast("long").alias("s"), (F.col("start_char") + F.least(long_, i + chars)).cast("long").alias("e")))
+    whole = F.array(F.struct(F.col("text"), F.col("start_char").cast("long").alias("s"), F.col("end_char").cast("long").alias("e")))
+    parts = F.when(F.col("_n") > most, F.filter(by_word, lambda c: F.length(c["text"]) >= least)).when((long_ > most_chars) & (F.col("_n") <= 3), F.filter(by_char, lambda c: F.length(c["text"]) >= least)).otherwise(whole)
+    rest = [c for c in spans.columns if c not in ("doc_id", "idx", "text", "start_char", "end_char")]
+    x = x.select("doc_id", F.col("idx").alias("_idx"), *rest, F.posexplode(parts).alias("_part", "_c"))
+    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("_idx", "_part")) - 1
+    return x.select("doc_id", idx.alias("idx"), F.col("_c.text").alias("text"), F.col("_c.s").alias("start_char"), F.col("_c.e").alias("end_char"), *rest)
+
+
+def segmented(docs: DataFrame, prompt: Column | None = None) -> DataFrame:
+    """All spans of the bodies of ``docs(doc_id, text)`` with tokens and flags: the input of alignment."""
+    b = docs.select("doc_id", body(F.col("text")).alias("text"))
+    s = span_flags(in_quotes(sentence_spans(b), quote_spans(b)), prompt)
+    return rechunked(s).withColumn("tokens", t.tokens(F.col("text")))
+
+
+def attributed(blocks: DataFrame, passages: DataFrame, shown: int = 35, least: int = 15) -> DataFrame:
+    """``doc_id, idx, passage``: of each block the first passage that overlaps its characters or, if a passage has no
+    place, whose opening the block holds, or the other way round.
+
+    ``blocks``: doc_id, idx, text, start_char, end_char.  ``passages``: doc_id, passage, start_char, end_char, text.
+    """
+    b = blocks.select("doc_id", "idx", F.col("text").alias("_b"), F.col("start_char").alias("_bs"), F.col("end_char").alias("_be"))
+    x = b.join(passages, "doc_id")
+    p, q = F.lower(t.strip_space(F.col("_b"))), F.lower(t.strip_space(F.col("text")))
+    placed = F.col("start_char").isNotNull() & F.col("end_char").isNotNull()
+    overlap = F.greatest("_bs", "start_char") < F.least("_be", "end_char")
+    alike = (F.length(q) >= least) & (F.contains(p, F.substring(q, 1, shown)) | F.contains(q, F.substring(p, 1, shown)))
+    hit = x.where(F.when(placed, overlap).otherwise(F.coalesce(alike, F.lit(False))))
+    return hit.groupBy("doc_id", "idx").agg(F.min("passage").alias("passage"))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, idx, text, is_heading`` of the blocks between blank lines."""
+    """``doc_id, idx, text, is_heading`` of the blocks between blank lines; :func:`placed` adds where they stand."""
     parts = F.filter(F.transform(F.split("text", r"\n\s*\n"), t.strip_space), lambda p: p != "")
     return docs.select("doc_id", F.posexplode(parts).alias("idx", "text")).withColumn("is_heading", t.is_heading(F.col("text")))
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``doc_id, idx, text, start_char, end_char`` of the blocks between blank lines."""
+    p = docs.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", r"(\n\s*\n)", f"{_END}$1{_END}"), _END)).alias("piece", "p"))
+    before = Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.withColumn("at", F.coalesce(F.sum(F.length("p")).over(before), F.lit(0))).withColumn("text", t.strip_space(F.col("p"))).where("text <> ''")
+    start = F.col("at") + F.length("p") - F.length(F.regexp_replace("p", r"^\s+", ""))
+    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("piece")) - 1
+    return p.select("doc_id", idx.alias("idx"), "text", start.alias("start_char"), (start + F.length("text")).alias("end_char"))
+
+
 def headings(docs: DataFrame) -> DataFrame:
     """``doc_id, idx, heading`` of the lines that are headings, in order."""
     lines = F.filter(F.transform(F.split("text", r"[\r\n]+"), t.strip_space), lambda p: (p != "") & t.is_heading(p))
@@ -71,7 +158,7 @@ def headings(docs: DataFrame) -> DataFrame:
 
 def figure_references(c: Column) -> Column:
     """Distinct mentions like ``figure 3``, lower-cased and sorted."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(?i)\b((figure|table)\s+[0-9]+)\b"), F.lit(1)), lambda x: F.lower(x))))
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(t.FIGURES), F.lit(0)), lambda x: F.lower(x))))
 
 
 def page_groups(blocks: DataFrame, per_page: int = 4) -> DataFrame:

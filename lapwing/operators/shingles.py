@@ -1,8 +1,8 @@
 """Exact overlap: shingles, containment and verbatim runs of document pairs.
 
-Corpus-wide work goes through an equi-join on shingles.  Shingles of more than
-``max_df`` documents are no blocking keys; the bound is a parameter, and what
-it leaves out is said where it applies.  Measures of given pairs use all shingles.
+Corpus-wide work goes through an equi-join on shingles.  Equal token sequences
+are one class first, so that copies are no pairs; a shingle of many documents is
+dealt over blocks of a bounded size, and none is left out.
 """
 
 from __future__ import annotations
@@ -13,8 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lapwing.functions import lexicon
+from lapwing.functions import text as t
 from lapwing.functions.text import js_round, tokens
 
+#: Documents of one shingle that meet in a task at a time, and shared shingles that make a pair a candidate.
+BLOCK, MIN_SHARED = 512, 8
 WEIGHTS = ((10, 4.0), (7, 3.0), (5, 2.0), (0, 1.0))
 
 
@@ -29,25 +33,48 @@ def shingles(lists: DataFrame, n: int) -> DataFrame:
     return lists.select("doc_id", F.lit(n).alias("n"), F.posexplode(made).alias("pos", "shingle"))
 
 
-def multi_scale(lists: DataFrame, sizes: Sequence[int] = (3, 4, 5, 7, 10)) -> DataFrame:
-    """The postings of all sizes, distinct by document."""
-    out = None
-    for n in sizes:
-        x = shingles(lists, n).groupBy("doc_id", "n", "shingle").agg(F.min("pos").alias("pos"))
-        out = x if out is None else out.unionByName(x)
-    return out
+def is_common_shingle(c: Column, phrases: Sequence[str] = lexicon.COMMON_PHRASES, boilerplate: Sequence[str] = lexicon.BOILERPLATE) -> Column:
+    """The common-phrase test for text that is normal already: short, a known term, or held in or holding boilerplate."""
+    return (F.length(c) < 5) | c.isin(*phrases) | t.held_in_any(c, boilerplate) | t.holds_any(c, boilerplate)
 
 
-def candidate_pairs(lists: DataFrame, n: int = 5, max_df: int = 50) -> DataFrame:
-    """Pairs ``doc_a < doc_b`` with a shingle in common that at most ``max_df`` documents have, and how many such they share.
+def multi_scale(lists: DataFrame, sizes: Sequence[int] = (3, 4, 5, 7, 10), exclude_common: bool = True) -> DataFrame:
+    """The postings of all sizes, distinct by document: ``doc_id, n, shingle, pos``.  Common shingles are left out unless told."""
+    def of_size(n):
+        starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(0), F.size("tokens") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), i.alias("pos"), F.array_join(F.slice("tokens", i + 1, F.lit(n)), " ").alias("shingle")))
 
-    A shingle above the bound proposes no pair by itself.
+    x = lists.select("doc_id", F.explode(F.concat(*map(of_size, sizes))).alias("s")).select("doc_id", "s.*")
+    x = x.groupBy("doc_id", "n", "shingle").agg(F.min("pos").alias("pos"))
+    return x.where(~is_common_shingle(F.col("shingle"))) if exclude_common else x
+
+
+def classes(lists: DataFrame) -> DataFrame:
+    """``doc_id, class_id``: documents of equal token sequences are one class, named by the smallest id; no tokens, no class."""
+    x = lists.where(F.size("tokens") > 0).select("doc_id", F.sha2(F.array_join("tokens", " "), 256).alias("digest"))
+    return x.join(x.groupBy("digest").agg(F.min("doc_id").alias("class_id")), "digest").select("doc_id", "class_id")
+
+
+def representatives(lists: DataFrame) -> DataFrame:
+    """The lists of one document of each class."""
+    return lists.join(classes(lists).where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
+
+
+def candidate_pairs(lists: DataFrame, n: int = 5, min_shared: int = MIN_SHARED, block: int = BLOCK) -> DataFrame:
+    """Pairs ``doc_a < doc_b`` of class representatives that share ``min_shared`` distinct shingles or more, and how many.
+
+    Exact: with :func:`classes`, no link between different texts is lost.  The
+    documents of a frequent shingle are dealt over blocks, and each block meets
+    all of them in a task of its own, so no key has more than a block's rows on
+    one side of the join.
     """
-    s = shingles(lists, n).select("doc_id", F.xxhash64("shingle").alias("h")).distinct()
-    df = s.groupBy("h").agg(F.count("*").alias("df")).where((F.col("df") > 1) & (F.col("df") <= max_df)).select("h")
+    s = shingles(representatives(lists), n).select("doc_id", F.xxhash64("shingle").alias("h")).distinct()
+    df = s.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h", F.ceil(F.col("df") / block).cast("int").alias("blocks"))
     s = s.join(df, "h")
-    a, b = s.select(F.col("doc_id").alias("doc_a"), "h"), s.select(F.col("doc_id").alias("doc_b"), "h")
-    return a.join(b, "h").where("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.count("*").alias("shared"))
+    a = s.select(F.col("doc_id").alias("doc_a"), "h", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    b = s.select(F.col("doc_id").alias("doc_b"), "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = a.join(b, ["h", "block"]).where("doc_a < doc_b")
+    return met.groupBy("doc_a", "doc_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
 
 
 def rank_candidates(query: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -57,19 +84,22 @@ def rank_candidates(query: DataFrame, corpus: DataFrame) -> DataFrame:
     return a.join(b, ["n", "shingle"]).where("doc_a <> doc_b").groupBy("doc_a", "doc_b").agg(F.sum("n").alias("mass"), F.max("n").alias("longest"))
 
 
-def containment(pairs: DataFrame, lists: DataFrame, sizes: Sequence[int] = (3, 4, 5, 7, 10)) -> DataFrame:
+def containment(pairs: DataFrame, lists: DataFrame, sizes: Sequence[int] = (3, 4, 5, 7, 10), exclude_common: bool = True) -> DataFrame:
     """Share of ``doc_a``'s distinct shingles in ``doc_b`` by size, for given pairs: ``doc_a, doc_b, n, containment``.
 
-    Sizes for which either side is too short are left out.
+    Sizes for which either side is too short are left out; where all of
+    ``doc_a``'s shingles are common ones, the share is 0.  A document's hashes of one
+    size are one sorted array, made once, so that a pair costs two arrays.
     """
     need = pairs.select("doc_a").union(pairs.select("doc_b")).toDF("doc_id").distinct()
-    s = multi_scale(lists.join(need, "doc_id", "left_semi"), sizes).select("doc_id", "n", F.xxhash64("shingle").alias("h"))
-    total = s.groupBy("doc_id", "n").agg(F.count("*").alias("total"))
-    a = pairs.select("doc_a", "doc_b").join(s.withColumnRenamed("doc_id", "doc_a"), "doc_a")
-    same = a.join(s.withColumnRenamed("doc_id", "doc_b"), ["doc_b", "n", "h"]).groupBy("doc_a", "doc_b", "n").agg(F.count("*").alias("same"))
-    out = pairs.select("doc_a", "doc_b").join(total.withColumnRenamed("doc_id", "doc_a"), "doc_a")
-    out = out.join(total.select(F.col("doc_id").alias("doc_b"), "n"), ["doc_b", "n"]).join(same, ["doc_a", "doc_b", "n"], "left")
-    return out.select("doc_a", "doc_b", "n", (F.coalesce("same", F.lit(0)) / F.col("total")).alias("containment"))
+    mine = lists.join(need, "doc_id", "left_semi")
+    found = multi_scale(mine, sizes, exclude_common).groupBy("doc_id", "n").agg(F.collect_list(F.xxhash64("shingle")).alias("h"))
+    every = mine.select("doc_id", F.explode(F.filter(F.array(*[F.lit(n) for n in sizes]), lambda n: n <= F.size("tokens"))).alias("n"))
+    s = every.join(found, ["doc_id", "n"], "left").withColumn("h", F.coalesce("h", F.array().cast("array<bigint>")))
+    a = pairs.select("doc_a", "doc_b").join(s.select(F.col("doc_id").alias("doc_a"), "n", F.col("h").alias("ha")), "doc_a")
+    x = a.join(s.select(F.col("doc_id").alias("doc_b"), "n", F.col("h").alias("hb")), ["doc_b", "n"])
+    share = F.when(F.size("ha") > 0, F.size(F.array_intersect("ha", "hb")) / F.size("ha")).otherwise(0.0)
+    return x.select("doc_a", "doc_b", "n", share.alias("containment"))
 
 
 def weighted_overlap(by_size: DataFrame) -> DataFrame:

@@ -45,3 +45,37 @@ def mean_pool(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFr
     """``key, dim, w``: the mean of a key's dense vectors, scaled to unit length."""
     x = vectors.select(key, F.posexplode(vector).alias("dim", "x")).groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return x.select(key, "dim", (F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(key)))).alias("w"))
+
+
+def search(queries: DataFrame, vectors: DataFrame, block: int = 64) -> DataFrame:
+    """``query_id, vec_id, semantic`` of each query with every other vector: a stated query set against all rows.
+
+    Queries are gathered in blocks, and each block meets all vectors by a
+    repartition of them over the blocks, so that a task holds a block of queries.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    v = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    met = q.join(v, "block").where("query_id <> vec_id")
+    return met.select("query_id", "vec_id", dense_cosine(F.col("q"), F.col("embedding")).alias("semantic"))
+
+
+def embed_distinct(texts: DataFrame, id_col: str, text: str, batch) -> DataFrame:
+    """``id, vector`` by a supplied Arrow batch function of texts; each distinct text is embedded once.
+
+    ``batch``: a list of texts to a list of float lists, called with 16 texts at a time.
+    """
+    size = 16
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = b.column("text").to_pylist()
+            out = [v for a in range(0, len(rows), size) for v in batch(rows[a : a + size])]
+            yield pa.RecordBatch.from_arrays([b.column("text"), pa.array(out, pa.list_(pa.float32()))], names=["text", "vector"])
+
+    t = texts.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    made = t.select("text").distinct().mapInArrow(run, "text string, vector array<float>")
+    return t.join(made, "text").select("id", "vector")

@@ -8,7 +8,7 @@ from lapwing.functions import lexicon
 from lapwing.functions import text as t
 from lapwing.operators import align, candidates, citations, segment, shingles, style
 from lapwing.plans import sql as q
-from lapwing.plans.text_queries import LISTS_SQL, PAIRS_SQL, SENTENCES_SQL, _CT, likely_pairs, table
+from lapwing.plans.text_queries import CONTAIN_SQL, LISTS_SQL, PAIRS_SQL, SENTENCES_SQL, _CT, contain_sql, likely_pairs, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -66,15 +66,15 @@ def w08(spark, d):
 
 # --- citations ------------------------------------------------------------
 
-CITED_SQL = """SELECT doc_id, substr(text, 1, 120) || CASE doc_id % 4 WHEN 0 THEN ' [1] and [2].' WHEN 1 THEN ' [3].' WHEN 2 THEN '' ELSE ' [1] [4] [1].' END || chr(10) || chr(10) || substr(text, 121, 80) ||
- CASE WHEN doc_id % 7 = 6 THEN '' WHEN doc_id % 7 = 5 THEN chr(10) || 'References' || chr(10) || 'An unnumbered entry' || chr(10) || 'Another entry' ELSE chr(10) || 'References' || chr(10) || '[1] First entry' || chr(10) || '2. Second entry' || chr(10) || '(3) Third entry' END AS text FROM documents"""
+CITED_SQL = """SELECT doc_id, substr(text, 1, length(text) // 2) || CASE doc_id % 4 WHEN 0 THEN ' [1] and [2].' WHEN 1 THEN ' [3].' WHEN 2 THEN '' ELSE ' [1] [4] [1].' END || chr(10) || chr(10) || substr(text, length(text) // 2 + 1) ||
+ CASE WHEN doc_id % 7 = 6 THEN '' WHEN doc_id % 7 = 5 THEN chr(10) || 'References' || chr(10) || 'An unnumbered entry' || chr(10) || text ELSE chr(10) || 'References' || chr(10) || '[1] First entry' || chr(10) || '2. Second entry' || chr(10) || '(3) ' || text END AS text FROM documents"""
 
 
 def cited(spark, d):
-    i, n = F.col("doc_id"), "\n"
+    i, n, half = F.col("doc_id"), "\n", F.floor(F.length("text") / 2).cast("int")
     marks = F.when(i % 4 == 0, " [1] and [2].").when(i % 4 == 1, " [3].").when(i % 4 == 2, "").otherwise(" [1] [4] [1].")
-    refs = F.when(i % 7 == 6, "").when(i % 7 == 5, f"{n}References{n}An unnumbered entry{n}Another entry").otherwise(f"{n}References{n}[1] First entry{n}2. Second entry{n}(3) Third entry")
-    return table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 120), marks, F.lit(n + n), F.substring("text", 121, 80), refs).alias("text"))
+    refs = F.when(i % 7 == 6, "").when(i % 7 == 5, F.concat(F.lit(f"{n}References{n}An unnumbered entry{n}"), "text")).otherwise(F.concat(F.lit(f"{n}References{n}[1] First entry{n}2. Second entry{n}(3) "), "text"))
+    return table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", F.lit(1), half), marks, F.lit(n + n), F.substr("text", half + 1), refs).alias("text"))
 
 
 _REF = r"(?is)([\r\n]+|^)\s*(references|bibliography|works cited)\s*[\r\n]+.*$"
@@ -131,42 +131,90 @@ def c04(spark, d):
     return s.where("fingerprint <> ''").groupBy("fingerprint").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")).where("n > 1")
 
 
-def flagged_spans(spark, d):
-    return align.eligible(segment.span_flags(segment.sentence_spans(table(spark, d, "documents"))))
+class Overlap:
+    """The steps from documents to passages: pairs in both directions, spans, alignments, passages.
 
+    Those that feed several others are kept by Spark; ``spark.catalog.clearCache`` lets them go.
+    """
+
+    def __init__(self, spark, d):
+        docs = table(spark, d, "documents")
+        pairs, lists = likely_pairs(spark, d)
+        pairs = pairs.select("doc_a", "doc_b")
+        self.pairs = pairs.union(pairs.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
+        self.pairs = self.pairs.persist()
+        need = self.pairs.select(F.col("doc_a").alias("doc_id")).distinct()
+        self.docs = docs.join(need, "doc_id", "left_semi")
+        self.spans = segment.segmented(self.docs).persist()
+        self.totals = lists.join(need, "doc_id", "left_semi").select("doc_id", F.size("tokens").alias("words"))
+        self.aligned = align.align_spans(self.pairs, self.spans).persist()
+        self.passages = align.passage_level(align.merge_passages(self.aligned, self.spans))
 
-def passages(spark, d):
-    pairs, _ = likely_pairs(spark, d)
-    pairs, spans = pairs.persist(), flagged_spans(spark, d).persist()  # each feeds several branches
-    need = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
-    return align.passage_level(align.merge_passages(align.align_spans(pairs, spans.join(need, "doc_id", "left_semi")))), spans
 
+_PASSAGE = ["doc_a", "doc_b", "passage", "first_span", "last_span", "n_spans", "matched", "words", "exact", "fuzzy", "semantic", "similarity", "level", "confidence"]
 
-@query("a01_a08_passages")
+
+@query("a01_a05_alignments")
 def a01(spark, d):
-    return passages(spark, d)[0]
+    return Overlap(spark, d).aligned.select("doc_a", "doc_b", "a", "b", "rank", "exact", "exact_tokens", "fuzzy", "token_set", "semantic", "matched")
+
 
+@query("a06_a08_passages")
+def a06(spark, d):
+    return Overlap(spark, d).passages.select(*_PASSAGE, F.array_join("reasons", "|").alias("reasons"))
 
-@query("a09_a12_unique_overlap")
+
+@query("a09_a12_overlap_by_scope")
 def a09(spark, d):
-    p, spans = passages(spark, d)
-    return align.unique_overlap(p, spans)
+    from lapwing.plans.catalog_queries import sources
+
+    o = Overlap(spark, d)
+    kinds = sources(spark, d).select(F.col("doc_id").alias("doc_b"), "source_type")
+    return align.overlap_by_scope(o.passages.join(kinds, "doc_b"), o.spans, o.totals)
 
 
-@query("a13_passage_dedupe")
+@query("a13_a22_matches")
 def a13(spark, d):
-    p, _ = passages(spark, d)
-    return align.dedupe_passages(p.withColumn("passage", F.col("passage").cast("long"))).select("doc_a", "doc_b", "passage", "similarity")
+    return align.match_rows(align.dedupe_passages(Overlap(spark, d).passages))
+
+
+def compared(spark, d):
+    from lapwing.operators import vectors
 
+    o = Overlap(spark, d)
+    return align.comparisons(o.passages, o.spans, o.totals, vectors.cosine(o.pairs, vectors.embed(o.docs)), o.aligned), o
 
-@query("a14_a18_document_reports")
+
+@query("a14_a23_comparisons")
 def a14(spark, d):
-    p, spans = passages(spark, d)
-    kept = align.dedupe_passages(p.withColumn("passage", F.col("passage").cast("long")))
-    score = align.unique_overlap(kept, spans)
-    sources = align.source_rollup(kept).groupBy("doc_a").agg(F.count("*").alias("n_sources"), F.max("similarity").alias("best"))
-    out = score.join(sources, "doc_a", "left").withColumn("level", align.pair_level(F.col("overall"), F.col("strong_words") / F.col("words") * 100, F.col("moderate_words") / F.col("words") * 100, F.lit(0.0)))
-    return out.select("doc_a", "overall", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), "best", "level", align.pair_confidence(F.col("level")).alias("confidence"), align.review_routing(F.col("overall"), F.lit(False), F.lit(0)).alias("status"))
+    c, _ = compared(spark, d)
+    return c.withColumn("summary", F.array_join("summary", "|"))
+
+
+@query("a18_a20_reports")
+def a18(spark, d):
+    """Each document against its sources: passages once, styles and citations of the text, level, routing and what is said of it."""
+    o = Overlap(spark, d)
+    kept = align.dedupe_passages(o.passages)
+    score = align.unique_overlap(kept, o.spans, o.totals)
+    rolled = align.source_rollup(kept)
+    n = rolled.groupBy("doc_a").agg(F.count("*").alias("n_sources"), F.max("similarity").alias("best"), F.sum("shingles").alias("shingles"))
+    n = n.join(kept.groupBy("doc_a").agg(F.count("*").alias("n_passages")), "doc_a")
+    verdict = style.style_verdict(style.style_statistics(o.docs)).select(F.col("doc_id").alias("doc_a"), F.col("status").alias("style"))
+    sets = citations.citation_sets(o.docs)
+    issues = citations.citation_summary(sets, citations.citation_issues(sets)).select(F.col("doc_id").alias("doc_a"), "n_issues")
+    x = score.join(n, "doc_a").join(verdict, "doc_a").join(issues, "doc_a")
+    c = {k: F.col(k) for k in ("overall", "strong", "moderate", "semantic", "n_issues", "n_passages", "n_sources")}
+    level = align.pair_level(c["overall"], c["strong"], c["moderate"], c["semantic"])
+    out = x.withColumns({"level": level, "confidence": align.pair_confidence(level), "status": align.review_routing(c["overall"], F.col("style") == "review", c["n_issues"])})
+    return out.withColumns(
+        {
+            "writing": align.writing_status(F.col("style"), c["overall"]),
+            "corroboration": align.corroboration(c["overall"], c["strong"], c["moderate"], c["semantic"]),
+            "reason": F.when(F.col("status") == "needs_review", align.routing_reason(c["overall"], c["n_issues"])),
+            "case_summary": align.case_summary(c["overall"], c["n_issues"], c["n_passages"], c["n_sources"]),
+        }
+    )
 
 
 @query("a15_a17_levels", f"WITH {LISTS_SQL}, {PAIRS_SQL}, x AS (SELECT doc_a, doc_b, least(100, shared) AS o, shared % 70 AS s FROM pairs) SELECT doc_a, doc_b, CASE WHEN o >= 75 OR o / 2 >= 60 THEN 'strong' WHEN o >= 40 OR o / 3 >= 35 OR s >= 55 THEN 'moderate' WHEN o >= 15 OR s >= 35 THEN 'weak' ELSE 'ignored' END AS level, CASE WHEN o >= 70 THEN 'strong' WHEN o >= 40 OR s >= 55 THEN 'moderate' WHEN o >= 15 OR s >= 35 THEN 'weak' ELSE 'ignored' END AS peer FROM x")
@@ -174,3 +222,174 @@ def a15(spark, d):
     pairs, _ = likely_pairs(spark, d)
     o, s = F.least(F.lit(100), "shared"), F.col("shared") % 70
     return pairs.select("doc_a", "doc_b", align.pair_level(o, o / 2, o / 3, s).alias("level"), align.peer_level(o, s).alias("peer"))
+
+
+@query("a28_drafts", f"WITH w AS (SELECT doc_id, {q.toks('text')} AS a FROM documents UNION ALL SELECT -1 - doc_id, {q.toks('substr(text, 1, (length(text) * 70) // 100)')} FROM documents), rep AS (SELECT * FROM w), pairs AS (SELECT -1 - doc_id AS doc_a, doc_id AS doc_b FROM documents), {contain_sql()} SELECT -1 - doc_a AS doc_id, {q.js1('100 * sum(CASE WHEN n >= 10 THEN 4 WHEN n >= 7 THEN 3 WHEN n >= 5 THEN 2 ELSE 1 END * containment) / sum(CASE WHEN n >= 10 THEN 4 WHEN n >= 7 THEN 3 WHEN n >= 5 THEN 2 ELSE 1 END)')} AS overlap FROM cont GROUP BY 1")
+def a28(spark, d):
+    """How much of a text's opening, its draft, the whole text holds."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    lists = shingles.token_lists(docs.union(docs.select((-1 - F.col("doc_id")), align.draft_of(F.col("text")))))
+    pairs = docs.select((-1 - F.col("doc_id")).alias("doc_a"), F.col("doc_id").alias("doc_b"))
+    return shingles.weighted_overlap(shingles.containment(pairs, lists)).select((-1 - F.col("doc_a")).alias("doc_id"), "overlap")
+
+
+SAID_SQL = """s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 60 AS sim, l_suppkey % 3 AS issues, l_linenumber % 4 AS passages, l_linenumber % 3 AS sources, CASE l_linenumber % 4 WHEN 0 THEN 'insufficient' WHEN 1 THEN 'review' ELSE 'typical' END AS style, l_suppkey % 20 AS strong, l_partkey % 2 AS moderate FROM lineitem)"""
+
+
+@query("a24_a29_statements", f"""WITH {SAID_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN sim >= 25 OR style = 'review' OR issues > 0 THEN 'needs_review' ELSE 'analyzed' END AS status,
+ CASE WHEN style = 'insufficient' THEN 'Writing pattern analysis unavailable' WHEN style = 'review' THEN 'Review Recommended' WHEN sim > 25 THEN 'Requires Review' ELSE 'Normal' END AS writing,
+ CASE WHEN sim = 0 THEN 'NOT APPLICABLE (0% Overlap)' WHEN strong >= 15 THEN 'CORROBORATED' WHEN moderate > 0 THEN 'MODERATE' ELSE 'MINIMAL' END AS corroboration,
+ CASE WHEN sim >= 25 THEN 'High similarity threshold exceeded (' || sim || '%)' WHEN issues > 0 THEN 'Citation verification required: ' || issues || ' issue(s) detected during format compliance check' ELSE 'Integrity review required by automated evaluation policy' END AS reason,
+ CASE WHEN sim = 0 AND issues > 0 THEN 'Document exhibits 0% textual similarity across indexed sources. However, ' || issues || ' citation issue' || CASE WHEN issues = 1 THEN '' ELSE 's' END || ' were detected during format compliance check. Review the citations tab before making a final determination.'
+ WHEN sim = 0 THEN 'Zero textual overlap detected across indexed institutional databases, peer submissions, and scientific literature. Standard IEEE citation guidelines are satisfied. Automated check cleared.'
+ ELSE passages || ' passage' || CASE WHEN passages = 1 THEN '' ELSE 's' END || ' show meaningful overlap with ' || sources || ' identified source' || CASE WHEN sources = 1 THEN '' ELSE 's' END || '. Review the highlighted evidence before making a decision.' END AS said FROM s""")
+def a24(spark, d):
+    p, s, i = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    kind = F.when(i % 4 == 0, "insufficient").when(i % 4 == 1, "review").otherwise("typical")
+    sim, issues = p % 60, s % 3
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", align.review_routing(sim, kind == "review", issues).alias("status"), align.writing_status(kind, sim).alias("writing"), align.corroboration(sim, s % 20, p % 2, F.lit(0)).alias("corroboration"), align.routing_reason(sim, issues).alias("reason"), align.case_summary(sim, issues, i % 4, i % 3).alias("said"))
+
+
+# --- structure, discovery and evaluation ----------------------------------
+
+
+def structured(spark, d):
+    """Whole texts with headings and figures that depend on the document."""
+    x, i, n = F.col("text"), F.col("doc_id"), F.lit("\n")
+    heads = F.array(*[F.lit(h) for h in ("Introduction", "2 Related work", "3 Methods used", "4 Method used", "RESULTS", "Discussion", "Conclusion")])
+    pick = F.filter(heads, lambda h, k: (i + k) % 3 > 0)
+    order = F.when(i % 4 == 0, F.reverse(pick)).otherwise(pick)
+    fig = F.concat(F.lit("see Figure "), (i % 5).cast("string"), F.lit(" and Table "), (i % 3).cast("string"))
+    return table(spark, d, "documents").select("doc_id", F.when(i % 10 == 9, x).otherwise(F.concat(F.array_join(order, "\n"), n, x, n, fig)).alias("text"))
+
+
+_HEADS = "['Introduction', '2 Related work', '3 Methods used', '4 Method used', 'RESULTS', 'Discussion', 'Conclusion']"
+_IS_HEAD = f"length(x) <= 70 AND ({q.rlike('x', t.HEADING_NAMES)} OR {q.rlike('x', t.HEADING_NUMBERED)} OR {q.rlike('x', t.HEADING_CAPITALS)})"
+STRUCTURE_SQL = f"""WITH p0 AS (SELECT doc_id, text, list_filter({_HEADS}, lambda h, k: (doc_id + k - 1) % 3 > 0) AS hs FROM documents),
+st AS (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN text ELSE array_to_string(CASE WHEN doc_id % 4 = 0 THEN list_reverse(hs) ELSE hs END, chr(10)) || chr(10) || text || chr(10) || 'see Figure ' || (doc_id % 5) || ' and Table ' || (doc_id % 3) END AS text FROM p0),
+hl AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[\\r\\n]+'), lambda x: {q.strip('x')}), lambda x: x <> '' AND {_IS_HEAD}) AS hs FROM st),
+hd AS (SELECT doc_id, unnest(hs) AS h, unnest(generate_series(1, len(hs))) AS i FROM hl), hn AS (SELECT doc_id, i, {q.norm('h')} AS h FROM hd),
+pr AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM documents a JOIN documents b ON b.doc_id % 20 = (a.doc_id + 3) % 20 AND b.doc_id // 200 = a.doc_id // 200 WHERE a.doc_id <> b.doc_id),
+sm AS (SELECT doc_a, doc_b, x.i, y.i AS j, CASE WHEN greatest(length(x.h), length(y.h)) = 0 THEN 100.0 ELSE {q.js1('(1 - levenshtein(x.h, y.h) / greatest(length(x.h), length(y.h))) * 100')} END AS sim FROM pr JOIN hn x ON x.doc_id = doc_a JOIN hn y ON y.doc_id = doc_b),
+be AS (SELECT doc_a, doc_b, i, j FROM (SELECT *, row_number() OVER (PARTITION BY doc_a, doc_b, i ORDER BY sim DESC, j) AS n FROM sm WHERE sim > 0) WHERE n = 1 AND sim >= 75),
+od AS (SELECT *, j > coalesce(max(j) OVER (PARTITION BY doc_a, doc_b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ordered FROM be),
+fo AS (SELECT doc_a, doc_b, count(*) AS matches, count(*) FILTER (ordered) AS in_order FROM od GROUP BY 1, 2),
+rf AS (SELECT doc_id, len(hs) AS n, list_distinct(list_transform(regexp_extract_all(text, '{t.FIGURES}'), lambda x: lower(x))) AS refs FROM hl),
+al AS (SELECT pr.doc_a, pr.doc_b, a.n AS n_a, b.n AS n_b, coalesce(matches, 0) AS matches, coalesce(in_order, 0) AS in_order, len(list_intersect(a.refs, b.refs)) AS shared_refs FROM pr JOIN rf a ON a.doc_id = doc_a JOIN rf b ON b.doc_id = doc_b LEFT JOIN fo ON fo.doc_a = pr.doc_a AND fo.doc_b = pr.doc_b)
+SELECT doc_a, doc_b, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, matches, in_order, shared_refs::BIGINT AS shared_refs,
+ CASE WHEN n_a = 0 OR n_b = 0 THEN 0 ELSE least(100, floor(matches / greatest(n_a, n_b) * 100 + CASE WHEN matches > 0 THEN in_order / matches * 10 ELSE 0 END + CASE WHEN shared_refs >= 2 THEN 5 ELSE 0 END + 0.5)) END::BIGINT AS structure,
+ n_a > 0 AND n_b > 0 AND matches = greatest(n_a, n_b) AND in_order = matches AS identical,
+ CASE WHEN n_a = 0 OR n_b = 0 THEN 'Insufficient distinct section headings detected for structural alignment.' WHEN matches = greatest(n_a, n_b) AND in_order = matches AND matches >= 4 THEN 'Identical ' || matches || '-stage section hierarchy and progression detected.' WHEN matches >= 3 THEN matches || ' corresponding section headings identified in parallel order.' END AS note FROM al"""
+
+
+@query("b01_b02_structure", STRUCTURE_SQL)
+def b01(spark, d):
+    from lapwing.operators.structure import compare_structure
+
+    i = table(spark, d, "documents").select("doc_id")
+
+    left = i.select(F.col("doc_id").alias("doc_a"), ((F.col("doc_id") + 3) % 20).alias("k"), F.floor(F.col("doc_id") / 200).alias("z"))
+    right = i.select(F.col("doc_id").alias("doc_b"), (F.col("doc_id") % 20).alias("k"), F.floor(F.col("doc_id") / 200).alias("z"))
+    return compare_structure(left.join(right, ["k", "z"]).where("doc_a <> doc_b").select("doc_a", "doc_b"), structured(spark, d))
+
+
+PHRASES_SQL = f"""WITH {SENTENCES_SQL}, s0 AS (SELECT doc_id, idx, text, {q.toks('text')} AS tokens, {_CT.format(q.toks('text'))} AS content, {q.fold("regexp_replace(lower(text), '[^a-zA-Z0-9_\\s]', ' ', 'g')")} AS p FROM spans WHERE idx % 3 = 0),
+gen AS (SELECT *, length(p) < 6 OR len(list_filter({q.array(lexicon.GENERIC_PHRASES)}, lambda x: contains(p, x))) > 0 AS generic FROM s0),
+s1 AS (SELECT *, list_sum(list_transform(content, lambda w: length(w))) / len(content) * 1.5 + len(content) + CASE WHEN len(list_filter(content, lambda w: length(w) >= 7 OR length(w) < 5 OR list_contains({q.array(lexicon.COMMON_PHRASES)}, w) OR contains({q.quoted(chr(10).join(lexicon.BOILERPLATE))}, w) OR regexp_matches(w, {q.quoted('|'.join(lexicon.BOILERPLATE))}))) > 0 THEN 4 ELSE 0 END AS weight FROM gen WHERE len(tokens) BETWEEN 5 AND 80 AND len(content) >= 3 AND NOT generic),
+ph AS (SELECT doc_id, idx, 0 AS o, array_to_string(list_slice(content, 1, 10), ' ') AS phrase, weight, 'salient_sentence' AS kind FROM s1
+ UNION ALL SELECT doc_id, idx, 1, array_to_string(list_slice(tokens, len(tokens) // 2 - 1, len(tokens) // 2 + 3), ' '), weight * 0.85, 'distinctive_phrase' FROM s1 WHERE len(tokens) >= 6
+ UNION ALL SELECT doc_id, idx, 2, array_to_string(list_transform(list_slice(list_filter(list_transform(content, lambda x, i: CASE WHEN i % 2 = 1 THEN x END), lambda x: x IS NOT NULL), 1, 6), lambda w: printf('%x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(w, ''), lambda x: ascii(x)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295))), '_'), 1.0, 'fingerprint' FROM s1),
+np AS (SELECT *, {q.fold("regexp_replace(lower(phrase), '[^a-zA-Z0-9_\\s]', ' ', 'g')")} AS norm FROM ph),
+ok AS (SELECT * FROM np WHERE kind = 'fingerprint' OR NOT (length(norm) < 6 OR len(list_filter({q.array(lexicon.GENERIC_PHRASES)}, lambda x: contains(norm, x))) > 0)),
+fi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, norm ORDER BY idx, o) AS n FROM ok) WHERE n = 1),
+ra AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, idx, o) AS rank FROM fi)
+SELECT doc_id, phrase, idx::BIGINT AS span, {q.js1('weight')} AS weight, kind, rank FROM ra WHERE rank <= 8"""
+
+
+@query("c03_distinctive_phrases", PHRASES_SQL.replace(" WHERE idx % 3 = 0)", ")"))
+def c03(spark, d):
+    from lapwing.operators.discovery import distinctive_phrases
+
+    s = segment.sentence_spans(table(spark, d, "documents"))
+    no = F.lit(False)
+    p = distinctive_phrases(s.withColumns({c: no for c in ("is_quoted", "is_cited", "is_prompt", "is_formula")}))
+    return p.select("doc_id", "phrase", F.col("span").cast("long").alias("span"), t.js_round(F.col("weight"), 1).alias("weight"), "kind", "rank")
+
+
+_COMPARED = ["doc_a", "doc_b", "overall", "strong", "moderate", "semantic", "level", "confidence"]
+
+
+@query("c15_discovery")
+def c15(spark, d):
+    """Every 20th document as a query against all documents."""
+    from lapwing.operators.discovery import discover
+
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return discover(docs.where("doc_id % 20 = 0"), docs).select(*_COMPARED, "best_quoted")
+
+
+@query("a16_cohorts")
+def a16(spark, d):
+    """The documents of each source are a cohort."""
+    from lapwing.operators.discovery import cohort
+
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    pairs, _ = likely_pairs(spark, d)
+    of = docs.select("doc_id", "source")
+    x = pairs.join(of.toDF("doc_a", "source"), "doc_a").join(of.toDF("doc_b", "other"), "doc_b").where("source = other").select("doc_a", "doc_b")
+    return cohort(x.union(x.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b"))), docs).select(*_COMPARED, "rank")
+
+
+EVAL_SQL = f"""WITH {LISTS_SQL}, {PAIRS_SQL}, {CONTAIN_SQL}, ov AS (SELECT doc_a, doc_b, {q.js1('100 * sum(CASE WHEN n >= 10 THEN 4 WHEN n >= 7 THEN 3 WHEN n >= 5 THEN 2 ELSE 1 END * containment) / sum(CASE WHEN n >= 10 THEN 4 WHEN n >= 7 THEN 3 WHEN n >= 5 THEN 2 ELSE 1 END)')} AS overlap FROM cont GROUP BY 1, 2),
+ca AS (SELECT ov.doc_a, ov.doc_b, overlap, quality = 1 AS expected, toxic, shared % 80 AS semantic FROM ov JOIN labels ON labels.doc_id = ov.doc_a JOIN pairs ON pairs.doc_a = ov.doc_a AND pairs.doc_b = ov.doc_b),
+oc AS (SELECT *, CASE WHEN expected AND overlap >= 25 THEN 'true_positive' WHEN expected THEN 'false_negative' WHEN overlap <= 25 THEN 'true_negative' ELSE 'false_positive' END AS outcome, overlap BETWEEN 5 AND 90 AS passed FROM ca)"""
+
+
+def evaluated(spark, d):
+    """Candidate pairs as cases: the label of the first document stands for what is expected of the pair."""
+    from lapwing.operators import evaluation
+
+    pairs, lists = likely_pairs(spark, d)
+    x = shingles.weighted_overlap(shingles.containment(pairs, lists)).join(pairs, ["doc_a", "doc_b"])
+    x = x.join(table(spark, d, "labels").select(F.col("doc_id").alias("doc_a"), (F.col("quality") == 1).alias("expected"), "toxic"), "doc_a").withColumn("semantic", F.col("shared") % 80)
+    return x.withColumns({"outcome": evaluation.outcome(F.col("expected"), F.col("overlap")), "passed": evaluation.in_band(F.col("overlap"), F.lit(5), F.lit(90))})
+
+
+@query("q01_q02_quality", f"{EVAL_SQL} SELECT count(*) AS n, count(*) FILTER (passed) AS passed, count(*) FILTER (outcome = 'true_positive') AS true_positive, count(*) FILTER (outcome = 'true_negative') AS true_negative, count(*) FILTER (outcome = 'false_positive') AS false_positive, count(*) FILTER (outcome = 'false_negative') AS false_negative, coalesce({q.js1('100 * true_positive / nullif(true_positive + false_positive, 0)')}, 100) AS precision, coalesce({q.js1('100 * true_positive / nullif(true_positive + false_negative, 0)')}, 100) AS recall, coalesce({q.js1('100 * false_positive / nullif(false_positive + true_negative, 0)')}, 0) AS false_positive_rate, coalesce({q.js1('100 * false_negative / nullif(false_negative + true_positive, 0)')}, 0) AS false_negative_rate FROM oc")
+def q01(spark, d):
+    from lapwing.operators import evaluation
+
+    return evaluation.quality(evaluated(spark, d))
+
+
+_KINDS = ("plagiarism", "paraphrase_misconduct", "independent_writing", "unrelated", "proper_quotation", "other")
+_LEVEL = "CASE WHEN overlap >= 70 THEN 'strong' WHEN overlap >= 40 THEN 'moderate' WHEN overlap >= 15 THEN 'weak' ELSE 'ignored' END"
+
+
+@query("q03_q04_outcomes", f"""{EVAL_SQL}, z AS (SELECT *, {_LEVEL} AS level, {list(_KINDS)}[doc_b % 6 + 1] AS kind, CASE WHEN doc_b % 7 = 0 THEN 'unclear' WHEN expected THEN 'misconduct' ELSE 'non_misconduct' END AS what FROM oc)
+SELECT doc_a, doc_b, CASE what WHEN 'misconduct' THEN CASE WHEN overlap >= 10 OR semantic >= 50 OR level IN ('strong', 'moderate') THEN 'true positive' ELSE 'false negative' END WHEN 'non_misconduct' THEN CASE WHEN overlap <= 15 AND level <> 'strong' THEN 'true negative' WHEN overlap > 30 THEN 'false positive' ELSE 'ambiguous' END ELSE 'ambiguous' END AS outcome,
+ CASE kind WHEN 'plagiarism' THEN CASE WHEN overlap >= 50 THEN 'CLEAN (Match Detected)' ELSE 'FALSE NEGATIVE' END WHEN 'paraphrase_misconduct' THEN CASE WHEN semantic >= 45 OR level IN ('moderate', 'strong') THEN 'CLEAN (Paraphrase Flagged)' ELSE 'FALSE NEGATIVE (Paraphrase Missed)' END WHEN 'independent_writing' THEN CASE WHEN overlap <= 50 THEN 'CLEAN (Appropriate Threshold)' ELSE 'SUSPECT FALSE POSITIVE' END WHEN 'unrelated' THEN CASE WHEN overlap = 0 AND semantic < 35 THEN 'CLEAN (No FP)' ELSE 'FALSE POSITIVE' END WHEN 'proper_quotation' THEN CASE WHEN overlap <= 10 THEN 'CLEAN (Quotation Respected)' ELSE 'FALSE POSITIVE (Quote Penalized)' END ELSE 'UNKNOWN' END AS verdict FROM z""")
+def q03(spark, d):
+    from lapwing.operators import evaluation
+
+    x, o, s, b = evaluated(spark, d), F.col("overlap"), F.col("semantic"), F.col("doc_b")
+    level = F.when(o >= 70, "strong").when(o >= 40, "moderate").when(o >= 15, "weak").otherwise("ignored")
+    what = F.when(b % 7 == 0, "unclear").when(F.col("expected"), "misconduct").otherwise("non_misconduct")
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), (b % 6).cast("int"))
+    return x.select("doc_a", "doc_b", evaluation.three_class_outcome(what, o, s, level).alias("outcome"), evaluation.audit_verdict(kind, o, s, level).alias("verdict"))
+
+
+@query("q05_providers", f"{EVAL_SQL} SELECT doc_a || '-' || doc_b AS case_id, overlap AS shingles, semantic::DOUBLE AS shared, greatest(overlap, semantic) - least(overlap, semantic) AS spread FROM oc")
+def q05(spark, d):
+    from lapwing.operators import evaluation
+
+    x = evaluated(spark, d).select(F.concat_ws("-", "doc_a", "doc_b").alias("case_id"), "overlap", F.col("semantic").cast("double").alias("semantic"))
+    both = x.select("case_id", F.lit("shingles").alias("provider"), F.col("overlap").alias("semantic")).union(x.select("case_id", F.lit("shared"), "semantic"))
+    return evaluation.providers_side_by_side(both, ["shingles", "shared"])
+
+
+@query("q06_invariants", f"{EVAL_SQL} SELECT unnest(['overlap', 'label', 'semantic']) AS rule, unnest([count(*) FILTER (NOT overlap BETWEEN 0 AND 100), count(*) FILTER (toxic NOT IN (0, 1)), count(*) FILTER (NOT semantic < 70)]) AS n FROM oc")
+def q06(spark, d):
+    from lapwing.operators import evaluation
+
+    return evaluation.invariants(evaluated(spark, d), {"overlap": F.col("overlap").between(0, 100), "label": F.col("toxic").isin(0, 1), "semantic": F.col("semantic") < 70})

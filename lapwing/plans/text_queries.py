@@ -29,31 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Segments of every kind, made of the documents' own texts.
 CASES_SQL = """SELECT doc_id, CASE doc_id % 9
-  WHEN 0 THEN substr(text, 1, 80) || ' in order to evaluate the performance of it'
-  WHEN 1 THEN 'Task 3: ' || substr(text, 1, 60)
-  WHEN 2 THEN 'O(n log n)'
-  WHEN 3 THEN 'She wrote "' || substr(text, 1, 60) || '" [1] according to (Brown, 2019)'
-  WHEN 4 THEN (doc_id % 7) || '.1 Methodology'
-  WHEN 5 THEN 'binary search tree'
-  WHEN 6 THEN 'Ohm''s law states that the current through a conductor between two points is directly proportional to the voltage across the two points'
-  WHEN 7 THEN substr(text, 1, 4)
-  ELSE substr(text, 1, 120) END AS text FROM documents"""
+  WHEN 0 THEN text || ' in order to evaluate the performance of it'
+  WHEN 1 THEN 'Task 3: ' || text
+  WHEN 2 THEN text || ' O(n log n)'
+  WHEN 3 THEN 'She wrote "' || text || '" [1] according to (Brown, 2019)'
+  WHEN 4 THEN (doc_id % 7) || '.1 ' || text
+  WHEN 5 THEN 'binary search tree ' || text
+  WHEN 6 THEN text || ' Ohm''s law states that the current through a conductor between two points is directly proportional to the voltage across the two points'
+  ELSE text END AS text FROM documents
+ UNION ALL SELECT -1 - doc_id, text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents)"""
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, i, x = table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text")
     parts = [
-        F.concat(F.substring(x, 1, 80), F.lit(" in order to evaluate the performance of it")),
-        F.concat(F.lit("Task 3: "), F.substring(x, 1, 60)),
-        F.lit("O(n log n)"),
-        F.concat(F.lit('She wrote "'), F.substring(x, 1, 60), F.lit('" [1] according to (Brown, 2019)')),
-        F.concat((i % 7).cast("string"), F.lit(".1 Methodology")),
-        F.lit("binary search tree"),
-        F.lit("Ohm's law states that the current through a conductor between two points is directly proportional to the voltage across the two points"),
-        F.substring(x, 1, 4),
-        F.substring(x, 1, 120),
+        F.concat(x, F.lit(" in order to evaluate the performance of it")),
+        F.concat(F.lit("Task 3: "), x),
+        F.concat(x, F.lit(" O(n log n)")),
+        F.concat(F.lit('She wrote "'), x, F.lit('" [1] according to (Brown, 2019)')),
+        F.concat((i % 7).cast("string"), F.lit(".1 "), x),
+        F.concat(F.lit("binary search tree "), x),
+        F.concat(x, F.lit(" Ohm's law states that the current through a conductor between two points is directly proportional to the voltage across the two points")),
     ]
-    return d.select("doc_id", F.get(F.array(*parts), (i % 9).cast("int")).alias("text"))
+    whole = d.select("doc_id", F.coalesce(F.get(F.array(*parts), (i % 9).cast("int")), x).alias("text"))
+    return whole.union(d.select((-1 - i).alias("doc_id"), F.explode(F.split(x, "\n"))))
 
 
 @query("t01_t02_tokens", f"SELECT doc_id, len({q.toks('text')})::BIGINT AS n_tokens, md5(array_to_string({q.toks('text')}, ' ')) AS digest FROM documents")
@@ -69,13 +68,14 @@ def content_(spark, d):
 
 _N, _P = q.norm("text"), q.fold("regexp_replace(lower(text), '[^a-zA-Z0-9_\\s]', ' ', 'g')")
 _FORMULA = " OR ".join(q.rlike(q.strip("text"), p) for p in t.FORMULA_PATTERNS)
+_PROMPT = " OR ".join(q.rlike("s", p) for p in t.PROMPT_PATTERNS)
 _SEGMENT_SQL = f"""
 WITH c AS ({CASES_SQL}), n AS (SELECT doc_id, text, {_N} AS n, {_P} AS p, {q.strip('text')} AS s FROM c)
 SELECT doc_id,
   length(p) < 6 OR len(list_filter({q.array(lexicon.GENERIC_PHRASES)}, lambda x: contains(p, x))) > 0 AS is_generic,
   length(n) < 5 OR list_contains({q.array(lexicon.COMMON_PHRASES)}, n) OR len(list_filter({q.array(lexicon.BOILERPLATE)}, lambda x: contains(n, x) OR contains(x, n))) > 0 AS is_common,
   length(n) >= 15 AND len(list_filter({q.array(lexicon.DEFINITIONS)}, lambda x: contains(n, x) OR contains(x, n))) > 0 AS is_definition,
-  s <> '' AND {q.rlike('s', t.PROMPT_PATTERN)} AS is_prompt,
+  s <> '' AND ({_PROMPT}) AS is_prompt,
   s <> '' AND len(regexp_split_to_array(s, '\\s+')) <= 8 AND ({_FORMULA}) AS is_formula,
   {q.rlike('text', t.QUOTED)} AND ({q.rlike('text', t.BRACKET)} OR {q.rlike('text', t.AUTHOR_DATE)} OR {q.rlike('text', t.ATTRIBUTION)} OR length(text) >= 25) AS is_quoted,
   length(s) <= 70 AND ({q.rlike('s', t.HEADING_NAMES)} OR {q.rlike('s', t.HEADING_NUMBERED)} OR {q.rlike('s', t.HEADING_CAPITALS)}) AS is_heading
@@ -89,7 +89,7 @@ def segment_tests(spark, d):
 
 
 @query("t08_mostly_common", f"""
-WITH c AS ({CASES_SQL}), w AS (SELECT doc_id, {q.toks('text')} AS a FROM c),
+WITH c AS (SELECT * FROM ({CASES_SQL}) WHERE doc_id >= 0), w AS (SELECT doc_id, {q.toks('text')} AS a FROM c),
 lex AS (SELECT unnest({q.array(p for p in (*lexicon.COMMON_PHRASES, *lexicon.BOILERPLATE) if ' ' in p)}) AS phrase),
 g AS (SELECT doc_id, i, n, array_to_string(list_slice(a, i, i + n - 1), ' ') AS phrase FROM (SELECT doc_id, a, n, unnest(generate_series(1, len(a) - n + 1)) AS i FROM w, generate_series(2, 12) AS s(n) WHERE len(a) >= n)),
 hit AS (SELECT doc_id, count(DISTINCT i + j) AS covered FROM (SELECT doc_id, i, unnest(generate_series(0, n - 1)) AS j FROM g JOIN lex USING (phrase)) GROUP BY 1)
@@ -98,7 +98,7 @@ def mostly_common(spark, d):
     from lapwing.operators.candidates import phrase_cover
 
     phrases = [p for p in (*lexicon.COMMON_PHRASES, *lexicon.BOILERPLATE) if " " in p]
-    return phrase_cover(shingles.token_lists(cases(spark, d)), spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+    return phrase_cover(shingles.token_lists(cases(spark, d).where("doc_id >= 0")), spark.createDataFrame([(p,) for p in phrases], "phrase string"))
 
 
 @query("t13_t14_t16_words", f"""
@@ -163,14 +163,52 @@ def spans_(spark, d):
     return s.select("doc_id", "text", *[F.col(c).cast("long").alias(c) for c in ("idx", "start_char", "end_char", "paragraph")])
 
 
-HEADED_SQL = r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '1. Introduction' || chr(10) ELSE '2 Methodology' || chr(10) END || substr(text, 1, 150) || chr(10) || chr(10) || 'RESULTS' || chr(10) || chr(10) || substr(text, 151, 100) || ' see Figure ' || (doc_id % 4) || ' and Table 2, figure ' || (doc_id % 4) || chr(10) || 'References' || chr(10) || '[1] ' || substr(text, 1, 30) AS text FROM documents"""
+@query("g03_rechunked", f"""WITH {SENTENCES_SQL}, x AS (SELECT *, string_split(text, ' ') AS w, len({q.toks('text')}) AS n FROM spans),
+k AS (SELECT *, unnest(CASE WHEN n > 50 THEN generate_series(0, greatest(0, ceil((len(w) - 10) / 30)::INT - 1)) WHEN length(text) > 250 AND n <= 3 THEN generate_series(0, greatest(0, ceil((length(text) - 30) / 150)::INT - 1)) ELSE [0] END) AS i FROM x),
+c AS (SELECT doc_id, idx, i, CASE WHEN n > 50 THEN array_to_string(list_slice(w, i * 30 + 1, i * 30 + 40), ' ') WHEN length(text) > 250 AND n <= 3 THEN substr(text, i * 150 + 1, 180) ELSE text END AS text, n > 50 OR length(text) > 250 AND n <= 3 AS is_cut,
+ CASE WHEN n > 50 THEN least(end_char, start_char + {q.js0('i * 30 / len(w) * (end_char - start_char)')}) WHEN length(text) > 250 AND n <= 3 THEN start_char + i * 150 ELSE start_char END AS s,
+ CASE WHEN n > 50 THEN least(end_char, start_char + {q.js0('least(len(w), i * 30 + 40) / len(w) * (end_char - start_char)')}) WHEN length(text) > 250 AND n <= 3 THEN start_char + least(length(text), i * 150 + 180) ELSE end_char END AS e FROM k)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx, i) - 1 AS idx, md5(text) AS digest, s::BIGINT AS start_char, e::BIGINT AS end_char FROM c WHERE NOT is_cut OR length(text) >= 5""")
+def g03(spark, d):
+    r = segment.rechunked(segment.sentence_spans(table(spark, d, "documents")))
+    return r.select("doc_id", F.col("idx").cast("long").alias("idx"), F.md5("text").alias("digest"), F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"))
+
+
+_QUOTE = q.quoted("(" + t.QUOTE_SPANS + ")")
+
+
+@query("g04_quoted_spans", f"""WITH {SENTENCES_SQL}, qp AS (SELECT doc_id, unnest(generate_series(1, len(a))) AS piece, unnest(a) AS p FROM (SELECT doc_id, string_split(regexp_replace(text, {_QUOTE}, chr(57345) || chr(57344) || '\\1' || chr(57345), 'g'), chr(57345)) AS a FROM documents)),
+qs AS (SELECT doc_id, p, length(p) - starts_with(p, chr(57344))::INT AS n, coalesce(sum(length(p) - starts_with(p, chr(57344))::INT) OVER (PARTITION BY doc_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM qp)
+SELECT spans.doc_id, idx::BIGINT AS idx, bool_or(coalesce(qs.s < end_char AND qs.s + qs.n > start_char, false)) AS in_quote FROM spans LEFT JOIN qs ON qs.doc_id = spans.doc_id AND starts_with(qs.p, chr(57344)) GROUP BY 1, 2""")
+def g04(spark, d):
+    docs = table(spark, d, "documents")
+    return segment.in_quotes(segment.sentence_spans(docs), segment.quote_spans(docs)).select("doc_id", F.col("idx").cast("long").alias("idx"), "in_quote")
+
+
+@query("g08_attributed", f"""WITH {SENTENCES_SQL}, bp AS (SELECT doc_id, unnest(generate_series(1, len(a))) AS piece, unnest(a) AS p FROM (SELECT doc_id, string_split(regexp_replace(text, '(\\n\\s*\\n)', chr(57345) || '\\1' || chr(57345), 'g'), chr(57345)) AS a FROM documents)),
+bo AS (SELECT doc_id, piece, p, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_char FROM bp),
+blk AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS idx, {q.strip('p')} AS text, at_char + length(p) - length(regexp_replace(p, '^\\s+', '')) AS s FROM bo WHERE {q.strip('p')} <> ''),
+psg AS (SELECT doc_id, idx AS passage, text, CASE WHEN idx % 3 > 0 THEN start_char END AS ps, CASE WHEN idx % 3 > 0 THEN end_char END AS pe FROM spans WHERE idx % 2 = 0),
+hit AS (SELECT blk.doc_id, blk.idx, passage FROM blk JOIN psg USING (doc_id) WHERE CASE WHEN ps IS NOT NULL THEN greatest(s, ps) < least(s + length(blk.text), pe) ELSE length({q.strip('psg.text')}) >= 15 AND (contains(lower(blk.text), substr(lower({q.strip('psg.text')}), 1, 35)) OR contains(lower({q.strip('psg.text')}), substr(lower(blk.text), 1, 35))) END)
+SELECT doc_id, idx, min(passage)::BIGINT AS passage FROM hit GROUP BY 1, 2""".replace("\\\\", "\\"))
+def g08(spark, d):
+    docs = table(spark, d, "documents")
+    s = segment.sentence_spans(docs).where("idx % 2 = 0")
+    at = F.col("idx") % 3 > 0
+    p = s.select("doc_id", F.col("idx").cast("long").alias("passage"), "text", F.when(at, F.col("start_char")).alias("start_char"), F.when(at, F.col("end_char")).alias("end_char"))
+    return segment.attributed(segment.placed(docs), p).withColumn("idx", F.col("idx").cast("long"))
+
+
+HEADED_SQL = r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '1. Introduction' || chr(10) ELSE '2 Methodology' || chr(10) END || substr(text, 1, length(text) // 2) || chr(10) || chr(10) || 'RESULTS' || chr(10) || chr(10) || substr(text, length(text) // 2 + 1) || ' see Figure ' || (doc_id % 4) || ' and Table IV, Fig. ' || (doc_id % 4) || CASE WHEN doc_id % 5 < 3 THEN chr(10) || 'References' || chr(10) || '[1] ' || text ELSE '' END AS text FROM documents"""
 
 
 def headed(spark, d):
     x, n, i = F.col("text"), F.lit("\n"), F.col("doc_id")
+    half = F.floor(F.length(x) / 2).cast("int")
     opening = F.when(i % 3 == 0, F.concat(F.lit("1. Introduction"), n)).otherwise(F.concat(F.lit("2 Methodology"), n))
     fig = (i % 4).cast("string")
-    return table(spark, d, "documents").select("doc_id", F.concat(opening, F.substring(x, 1, 150), n, n, F.lit("RESULTS"), n, n, F.substring(x, 151, 100), F.lit(" see Figure "), fig, F.lit(" and Table 2, figure "), fig, n, F.lit("References"), n, F.lit("[1] "), F.substring(x, 1, 30)).alias("text"))
+    refs = F.when(i % 5 < 3, F.concat(n, F.lit("References"), n, F.lit("[1] "), x)).otherwise("")
+    return table(spark, d, "documents").select("doc_id", F.concat(opening, F.substring(x, F.lit(1), half), n, n, F.lit("RESULTS"), n, n, F.substr(x, half + 1), F.lit(" see Figure "), fig, F.lit(" and Table IV, Fig. "), fig, refs).alias("text"))
 
 
 _REF = r"(?is)([\r\n]+|^)\s*(references|bibliography|works cited)\s*[\r\n]+.*$"
@@ -189,7 +227,7 @@ def paragraphs_(spark, d):
     return segment.paragraphs(headed(spark, d)).withColumn("idx", F.col("idx").cast("long"))
 
 
-@query("g06_g07_headings_figures", f"WITH h AS ({HEADED_SQL}), p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[\\r\\n]+'), lambda x: {q.strip('x')}), lambda x: x <> '' AND {_HEAD}) AS a FROM h) SELECT doc_id, array_to_string(a, '|') AS headings, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '(?i)\\b((figure|table)\\s+[0-9]+)\\b', 1), lambda x: lower(x)))), '|') AS figures FROM p")
+@query("g06_g07_headings_figures", f"WITH h AS ({HEADED_SQL}), p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[\\r\\n]+'), lambda x: {q.strip('x')}), lambda x: x <> '' AND {_HEAD}) AS a FROM h) SELECT doc_id, array_to_string(a, '|') AS headings, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '{t.FIGURES}'), lambda x: lower(x)))), '|') AS figures FROM p")
 def headings_(spark, d):
     h = headed(spark, d)
     x = segment.headings(h).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "heading"))), lambda s: s["heading"]), "|").alias("headings"))
@@ -206,8 +244,8 @@ def page_groups_(spark, d):
 LISTS_SQL = f"w AS (SELECT doc_id, {q.toks('text')} AS a FROM documents)"
 
 
-def shingles_sql(n: int) -> str:
-    return f"SELECT doc_id, {n} AS n, i - 1 AS pos, array_to_string(list_slice(a, i, i + {n - 1}), ' ') AS shingle FROM (SELECT doc_id, a, unnest(generate_series(1, len(a) - {n - 1})) AS i FROM w WHERE len(a) >= {n})"
+def shingles_sql(n: int, lists: str = "w") -> str:
+    return f"SELECT doc_id, {n} AS n, i - 1 AS pos, array_to_string(list_slice(a, i, i + {n - 1}), ' ') AS shingle FROM (SELECT doc_id, a, unnest(generate_series(1, len(a) - {n - 1})) AS i FROM {lists} WHERE len(a) >= {n})"
 
 
 @query("x01_shingles", f"WITH {LISTS_SQL}, s AS ({shingles_sql(5)}) SELECT doc_id, count(*) AS n, count(DISTINCT shingle) AS n_distinct, sum(pos)::BIGINT AS places FROM s GROUP BY 1")
@@ -216,7 +254,18 @@ def x01(spark, d):
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("shingle").alias("n_distinct"), F.sum("pos").alias("places"))
 
 
-MULTI_SQL = " UNION ALL ".join(f"SELECT doc_id, n, shingle, min(pos) AS pos FROM ({shingles_sql(n)}) GROUP BY 1, 2, 3" for n in (3, 4, 5, 7, 10))
+SIZES = (3, 4, 5, 7, 10)
+_HELD = q.quoted("\n".join(lexicon.BOILERPLATE))
+_HOLDS = q.quoted("|".join(lexicon.BOILERPLATE))
+COMMON_SQL = f"(length(shingle) < 5 OR shingle IN ({', '.join(map(q.quoted, lexicon.COMMON_PHRASES))}) OR contains({_HELD}, shingle) OR regexp_matches(shingle, {_HOLDS}))"
+
+
+def multi_sql(sizes=SIZES, lists: str = "w") -> str:
+    every = " UNION ALL ".join(f"SELECT doc_id, n, shingle, min(pos) AS pos FROM ({shingles_sql(n, lists)}) GROUP BY 1, 2, 3" for n in sizes)
+    return f"SELECT * FROM ({every}) WHERE NOT {COMMON_SQL}"
+
+
+MULTI_SQL = multi_sql()
 
 
 @query("x02_multi_scale", f"WITH {LISTS_SQL}, m AS ({MULTI_SQL}) SELECT doc_id, n, count(*) AS n_distinct, sum(pos)::BIGINT AS places FROM m GROUP BY 1, 2")
@@ -225,17 +274,27 @@ def x02(spark, d):
     return m.groupBy("doc_id", "n").agg(F.count("*").alias("n_distinct"), F.sum("pos").alias("places"))
 
 
-PAIRS_SQL = f"""s5 AS (SELECT DISTINCT doc_id, shingle FROM ({shingles_sql(5)})),
-k5 AS (SELECT shingle FROM s5 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50),
-pairs AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS shared FROM s5 x JOIN k5 USING (shingle) JOIN s5 y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 8)"""
-CONTAIN_SQL = f"""m AS ({MULTI_SQL}), tot AS (SELECT doc_id, n, count(*) AS total FROM m GROUP BY 1, 2),
+PAIRS_SQL = f"""cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(a, ' ')) AS class_id FROM w WHERE len(a) > 0),
+rep AS (SELECT w.* FROM w JOIN cls USING (doc_id) WHERE doc_id = class_id),
+s5 AS (SELECT DISTINCT doc_id, shingle FROM ({shingles_sql(5, "rep")})),
+pairs AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS shared FROM s5 x JOIN s5 y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= {shingles.MIN_SHARED})"""
+
+
+def contain_sql(sizes=SIZES) -> str:
+    """All shingles of a document may be common ones: then its containment is 0."""
+    listed = ", ".join(map(str, sizes))
+    return f"""m AS ({multi_sql(sizes, "rep")}), tot AS (SELECT doc_id, n, count(shingle) AS total FROM (SELECT doc_id, unnest([{listed}]) AS n, a FROM rep) LEFT JOIN m USING (doc_id, n) WHERE len(a) >= n GROUP BY 1, 2),
 same AS (SELECT doc_a, doc_b, x.n, count(*) AS same FROM pairs JOIN m x ON x.doc_id = doc_a JOIN m y ON y.doc_id = doc_b AND y.n = x.n AND y.shingle = x.shingle GROUP BY 1, 2, 3),
-cont AS (SELECT pairs.doc_a, pairs.doc_b, ta.n, coalesce(same, 0) / ta.total AS containment FROM pairs JOIN tot ta ON ta.doc_id = doc_a JOIN tot tb ON tb.doc_id = doc_b AND tb.n = ta.n LEFT JOIN same ON same.doc_a = pairs.doc_a AND same.doc_b = pairs.doc_b AND same.n = ta.n)"""
+cont AS (SELECT pairs.doc_a, pairs.doc_b, ta.n, coalesce(coalesce(same, 0) / nullif(ta.total, 0), 0) AS containment FROM pairs JOIN tot ta ON ta.doc_id = doc_a JOIN tot tb ON tb.doc_id = doc_b AND tb.n = ta.n LEFT JOIN same ON same.doc_a = pairs.doc_a AND same.doc_b = pairs.doc_b AND same.n = ta.n)"""
+
+
+CONTAIN_SQL = contain_sql()
 
 
 def likely_pairs(spark, d):
+    """Pairs of different texts with ``MIN_SHARED`` shingles in common, each text standing for its copies; and the token lists."""
     lists = shingles.token_lists(table(spark, d, "documents"))
-    return shingles.candidate_pairs(lists).where("shared >= 8"), lists
+    return shingles.candidate_pairs(lists), lists
 
 
 @query("c01_candidate_pairs", f"WITH {LISTS_SQL}, {PAIRS_SQL} SELECT doc_a, doc_b, shared FROM pairs")
@@ -243,9 +302,14 @@ def c01(spark, d):
     return likely_pairs(spark, d)[0]
 
 
-@query("x03_candidate_mass", f"WITH {LISTS_SQL}, m AS ({MULTI_SQL}) SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, sum(n)::BIGINT AS mass, max(n)::BIGINT AS longest FROM m x JOIN m y USING (n, shingle) WHERE x.doc_id % 20 = 0 AND n >= 5 AND x.doc_id <> y.doc_id GROUP BY 1, 2")
+@query("c01_classes", f"WITH {LISTS_SQL} SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(a, ' ')) AS class_id FROM w WHERE len(a) > 0")
+def c01_classes(spark, d):
+    return shingles.classes(shingles.token_lists(table(spark, d, "documents")))
+
+
+@query("x03_candidate_mass", f"WITH {LISTS_SQL}, m AS ({MULTI_SQL}) SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, sum(n)::BIGINT AS mass, max(n)::BIGINT AS longest FROM m x JOIN m y USING (n, shingle) WHERE x.doc_id % 20 = 0 AND x.doc_id <> y.doc_id GROUP BY 1, 2")
 def x03(spark, d):
-    m = shingles.multi_scale(shingles.token_lists(table(spark, d, "documents")), (5, 7, 10))
+    m = shingles.multi_scale(shingles.token_lists(table(spark, d, "documents")))
     r = shingles.rank_candidates(m.where("doc_id % 20 = 0"), m)
     return r.select("doc_a", "doc_b", F.col("mass").cast("long").alias("mass"), F.col("longest").cast("long").alias("longest"))
 
@@ -256,13 +320,13 @@ def x04(spark, d):
     return shingles.weighted_overlap(shingles.containment(pairs, lists))
 
 
-@query("x05_single_scale", f"WITH {LISTS_SQL}, {PAIRS_SQL}, {CONTAIN_SQL} SELECT doc_a, doc_b, {q.js1('100 * containment')} AS overlap FROM cont WHERE n = 4")
+@query("x05_single_scale", f"WITH {LISTS_SQL}, {PAIRS_SQL}, {contain_sql((4,))} SELECT doc_a, doc_b, {q.js1('100 * containment')} AS overlap FROM cont")
 def x05(spark, d):
     pairs, lists = likely_pairs(spark, d)
     return shingles.weighted_overlap(shingles.containment(pairs, lists, (4,)))
 
 
-@query("x06_x09_verbatim_runs", f"""WITH {LISTS_SQL}, {PAIRS_SQL}, s AS ({shingles_sql(5)}),
+@query("x06_x08_verbatim_runs", f"""WITH {LISTS_SQL}, {PAIRS_SQL}, s AS ({shingles_sql(5)}),
 h AS (SELECT doc_a, doc_b, x.pos AS a, y.pos AS b FROM pairs JOIN s x ON x.doc_id = doc_a JOIN s y ON y.doc_id = doc_b AND y.shingle = x.shingle),
 i AS (SELECT *, a - row_number() OVER (PARTITION BY doc_a, doc_b, a - b ORDER BY a) AS island FROM h),
 r AS (SELECT doc_a, doc_b, min(a) AS a_start, min(b) AS b_start, count(*) + 4 AS length FROM i GROUP BY doc_a, doc_b, a - b, island)
@@ -276,41 +340,66 @@ def x06(spark, d):
 
 # --- fuzzy and vectors ----------------------------------------------------
 
-SENTENCE_PAIRS_SQL = f"""WITH {SENTENCES_SQL.strip()}, f AS (SELECT doc_id, substr(text, 1, 160) AS text FROM spans WHERE idx = 0),
-g AS (SELECT x.doc_id, x.text AS a, y.text AS b FROM f x JOIN f y ON y.doc_id = x.doc_id + 20)"""
+_CT = "list_filter({0}, lambda x: length(x) > 1 AND NOT list_contains(%s, x))" % q.array(lexicon.STOPWORDS)
+
+#: Of each span of a pair's first text the spans of the second with most content tokens in common.
+CANDIDATES_SQL = f"""{SENTENCES_SQL.strip()}, {LISTS_SQL}, {PAIRS_SQL},
+tk AS (SELECT doc_id, idx, token, count(*) AS tf, min(k) AS k FROM (SELECT doc_id, idx, unnest(c) AS token, unnest(generate_series(1, len(c))) AS k FROM (SELECT doc_id, idx, {_CT.format(q.toks('text'))} AS c FROM spans)) GROUP BY 1, 2, 3),
+hits AS (SELECT doc_a, doc_b, x.idx AS a, y.idx AS b, sum(x.tf * y.tf)::BIGINT AS hits, min(x.k) AS k FROM pairs JOIN tk x ON x.doc_id = doc_a JOIN tk y ON y.doc_id = doc_b AND y.token = x.token GROUP BY 1, 2, 3, 4),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_a, doc_b, a ORDER BY hits DESC, k, b) AS rank FROM hits) WHERE rank <= 4)"""
+
+
+@query("c02_sentence_candidates", f"WITH {CANDIDATES_SQL} SELECT doc_a, doc_b, a::BIGINT AS a, b::BIGINT AS b, hits, rank FROM cand")
+def c02(spark, d):
+    from lapwing.operators.align import sentence_candidates
+
+    pairs, _ = likely_pairs(spark, d)
+    s = segment.sentence_spans(table(spark, d, "documents"))
+    return sentence_candidates(pairs, s, s).select("doc_a", "doc_b", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "hits", "rank")
+
+
+SENTENCE_PAIRS_SQL = f"""WITH {CANDIDATES_SQL},
+g AS (SELECT doc_a, doc_b, a AS span, x.text AS a, y.text AS b FROM cand JOIN spans x ON x.doc_id = doc_a AND x.idx = cand.a JOIN spans y ON y.doc_id = doc_b AND y.idx = cand.b WHERE rank = 1)"""
 
 
 def sentence_pairs(spark, d):
-    f = segment.sentence_spans(table(spark, d, "documents")).where("idx = 0").select("doc_id", F.substring("text", 1, 160).alias("a"))
-    return f.join(f.select((F.col("doc_id") - 20).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    """Every sentence of a candidate pair's first text beside the best one of the second, with what the measures take of
+    each, made once a sentence: normal form, tokens, content tokens."""
+    s = segment.sentence_spans(table(spark, d, "documents"))
+    c = F.col("text")
+    s = s.select("doc_id", F.col("idx").cast("long").alias("idx"), t.normalise(c).alias("norm"), t.tokens(c).alias("tokens"), t.content_tokens(c).alias("content"))
+    x = c02(spark, d).where("rank = 1").select("doc_a", "doc_b", "a", "b")
+    x = x.join(s.toDF("doc_a", "a", "norm_a", "tokens_a", "content_a"), ["doc_a", "a"]).join(s.toDF("doc_b", "b", "norm_b", "tokens_b", "content_b"), ["doc_b", "b"])
+    return x.withColumnRenamed("a", "span")
 
 
 def _sim(a: str, b: str) -> str:
     return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 100.0 ELSE {q.js1(f'(1 - levenshtein({a}, {b}) / greatest(length({a}), length({b}))) * 100')} END"
 
 
-_CT = "list_filter({0}, lambda x: length(x) > 1 AND NOT list_contains(%s, x))" % q.array(lexicon.STOPWORDS)
 _J = "array_to_string(%s, ' ')"
 
 
 @query("f01_f04_fuzzy", f"""{SENTENCE_PAIRS_SQL},
-x AS (SELECT doc_id, {q.norm('a')} AS na, {q.norm('b')} AS nb, {_CT.format(q.toks('a'))} AS ta, {_CT.format(q.toks('b'))} AS tb FROM g),
+x AS (SELECT doc_a, doc_b, span, {q.norm('a')} AS na, {q.norm('b')} AS nb, {_CT.format(q.toks('a'))} AS ta, {_CT.format(q.toks('b'))} AS tb FROM g),
 y AS (SELECT *, {_J % 'list_sort(ta)'} AS sa, {_J % 'list_sort(tb)'} AS sb, list_sort(list_filter(list_distinct(ta), lambda z: list_contains(tb, z))) AS i,
   list_sort(list_filter(list_distinct(ta), lambda z: NOT list_contains(tb, z))) AS da, list_sort(list_filter(list_distinct(tb), lambda z: NOT list_contains(ta, z))) AS db FROM x),
 z AS (SELECT *, {_J % 'i'} AS si, {_J % 'list_concat(i, da)'} AS s1, {_J % 'list_concat(i, db)'} AS s2 FROM y)
-SELECT doc_id, {_sim('na', 'nb')} AS edit, CASE WHEN sa = '' AND sb = '' THEN 100.0 WHEN sa = '' OR sb = '' THEN 0.0 ELSE {_sim('sa', 'sb')} END AS token_sort,
+SELECT doc_a, doc_b, span::BIGINT AS span, {_sim('na', 'nb')} AS edit, CASE WHEN sa = '' AND sb = '' THEN 100.0 WHEN sa = '' OR sb = '' THEN 0.0 ELSE {_sim('sa', 'sb')} END AS token_sort,
   CASE WHEN len(ta) = 0 AND len(tb) = 0 THEN 100.0 WHEN len(i) = 0 THEN 0.0 ELSE greatest({_sim('si', 's1')}, {_sim('si', 's2')}, CASE WHEN len(i) >= 2 THEN {_sim('s1', 's2')} ELSE 0.0 END) END AS token_set FROM z""")
 def f01(spark, d):
-    a, b = F.col("a"), F.col("b")
-    return sentence_pairs(spark, d).select("doc_id", fuzzy.text_similarity(a, b).alias("edit"), fuzzy.token_sort_ratio(a, b).alias("token_sort"), fuzzy.token_set_ratio(a, b).alias("token_set"))
+    x, y = F.col("content_a"), F.col("content_b")
+    return sentence_pairs(spark, d).select("doc_a", "doc_b", "span", fuzzy.edit_similarity(F.col("norm_a"), F.col("norm_b")).alias("edit"), fuzzy.token_sort_of(x, y).alias("token_sort"), fuzzy.token_set_of(x, y).alias("token_set"))
 
 
 @query("f05_f08_composite")
 def f05(spark, d):
-    a, b = F.col("a"), F.col("b")
-    x = sentence_pairs(spark, d).select("doc_id", fuzzy.token_set_ratio(a, b).alias("s"), fuzzy.token_sort_ratio(a, b).alias("o"), fuzzy.text_similarity(a, b).alias("e"), fuzzy.lcs_ratio(a, b).alias("l"), (t.normalise(a) == t.normalise(b)).alias("same"))
-    x = x.withColumn("fuzzy", F.when(F.col("same"), 100.0).otherwise(fuzzy.composite(F.col("s"), F.col("o"), F.col("e"), F.col("l"))))
-    return x.select("doc_id", F.col("l").alias("lcs"), "fuzzy", fuzzy.fuzzy_level(F.col("fuzzy")).alias("level"), fuzzy.fuzzy_confidence(F.col("fuzzy")).alias("confidence"))
+    x, y, n = F.col("content_a"), F.col("content_b"), F.greatest(F.size("tokens_a"), F.size("tokens_b"))
+    p = sentence_pairs(spark, d).withColumn("k", fuzzy.lcs_length("tokens_a", "tokens_b"))
+    lcs = F.when(n == 0, 100.0).otherwise(t.js_round(F.col("k") / n * 100, 1))
+    score = fuzzy.composite(fuzzy.token_set_of(x, y), fuzzy.token_sort_of(x, y), fuzzy.edit_similarity(F.col("norm_a"), F.col("norm_b")), lcs)
+    p = p.select("doc_a", "doc_b", "span", lcs.alias("lcs"), F.when(F.col("norm_a") == F.col("norm_b"), 100.0).otherwise(score).alias("fuzzy"))
+    return p.withColumns({"level": fuzzy.fuzzy_level(F.col("fuzzy")), "confidence": fuzzy.fuzzy_confidence(F.col("fuzzy"))})
 
 
 VECTORS_SQL = f"""tok AS (SELECT doc_id AS id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_CT.format(q.toks('text'))}) AS token FROM documents) GROUP BY 1, 2),
@@ -331,11 +420,11 @@ def v01(spark, d):
     return vectors.cosine(pairs, vectors.embed(docs.join(need, "doc_id", "left_semi")))
 
 
-@query("v04_dense_cosine", f"SELECT x.vec_id AS a, y.vec_id AS b, {q.js1('least(1, greatest(0, list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)))) * 100')} AS semantic FROM embeddings x JOIN embeddings y ON y.label = x.label WHERE x.vec_id % 20 = 0 AND x.vec_id <> y.vec_id")
+@query("v04_dense_cosine", f"SELECT x.vec_id AS a, y.vec_id AS b, {q.js1('least(1, greatest(0, list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)))) * 100')} AS semantic FROM embeddings x JOIN embeddings y ON x.vec_id % 20 = 0 AND x.vec_id <> y.vec_id")
 def v04(spark, d):
+    """The stated query set, every 20th vector, against all vectors."""
     e = table(spark, d, "embeddings")
-    x = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), "label")
-    return x.join(e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), "label"), "label").where("a <> b").select("a", "b", vectors.dense_cosine(F.col("ea"), F.col("eb")).alias("semantic"))
+    return vectors.search(e.where("vec_id % 20 = 0"), e).withColumnsRenamed({"query_id": "a", "vec_id": "b"})
 
 
 @query("v06_mean_pool", "WITH x AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, dim, avg(x) AS m FROM x GROUP BY 1, 2) SELECT label, dim, floor(m / sqrt(sum(m * m) OVER (PARTITION BY label)) * 1e6 + 0.5) / 1e6 AS w FROM m")

@@ -1 +1 @@
-
+"""Jobs over arriving documents and events."""
