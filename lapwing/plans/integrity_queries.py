@@ -393,3 +393,25 @@ def q06(spark, d):
     from lapwing.operators import evaluation
 
     return evaluation.invariants(evaluated(spark, d), {"overlap": F.col("overlap").between(0, 100), "label": F.col("toxic").isin(0, 1), "semantic": F.col("semantic") < 70})
+
+
+@query("g10_t09_evidence", f"""WITH {SENTENCES_SQL}, pm AS (SELECT doc_id, substr(text, 1, 400) AS prompt FROM documents), nt AS (SELECT spans.doc_id, idx, text, {q.norm('text')} AS n, {q.norm('prompt')} AS pn, length({q.strip('prompt')}) AS pl, idx * 13 % 101 AS score FROM spans JOIN pm USING (doc_id)),
+fl AS (SELECT *, ({' OR '.join(q.rlike(q.strip('text'), x) for x in t.PROMPT_PATTERNS)}) OR (pl > 10 AND (contains(pn, n) OR contains(n, pn))) AS is_prompt, {q.rlike('text', t.CITED)} AS is_cited FROM nt)
+SELECT doc_id, idx::BIGINT AS idx, is_prompt, CASE WHEN is_prompt THEN 'ignored' WHEN is_cited THEN 'weak' WHEN idx % 5 = 0 THEN CASE WHEN score >= 85 THEN 'weak' ELSE 'ignored' END WHEN score >= 75 THEN 'strong' WHEN score >= 45 THEN 'moderate' ELSE 'weak' END AS category FROM fl""")
+def g10(spark, d):
+    """Each sentence against its own text's opening as the task that was set."""
+    docs = table(spark, d, "documents")
+    s = segment.sentence_spans(docs).join(docs.select("doc_id", F.substring("text", 1, 400).alias("prompt")), "doc_id")
+    x = s.select("doc_id", F.col("idx").cast("long").alias("idx"), t.is_prompt(F.col("text"), F.col("prompt")).alias("is_prompt"), F.col("text").rlike(t.CITED).alias("is_cited"))
+    return x.select("doc_id", "idx", "is_prompt", segment.evidence_category(F.col("idx") * 13 % 101, F.col("is_prompt"), F.col("is_cited"), F.col("idx") % 5 == 0).alias("category"))
+
+
+@query("w11_external_scores", f"WITH {STYLE_SQL}, ff AS (SELECT *, (variation < 0.28 AND n_sentences >= 5)::INT AS u, (type_token < 0.38 AND n_words > 120)::INT AS p, (marker_density >= 12)::INT AS tr, (opener_ratio >= 0.45 AND n_sentences >= 8)::INT AS op FROM style), vv AS (SELECT doc_id, n_words, u + p + tr + op AS k, u, tr FROM ff), ww AS (SELECT doc_id, CASE WHEN n_words < 45 THEN 'insufficient' WHEN k >= 3 OR k >= 2 AND u = 1 AND tr = 1 THEN 'review' WHEN k = 1 THEN 'notable' ELSE 'typical' END AS status, CASE WHEN n_words < 45 THEN 0.0 WHEN k >= 3 OR k >= 2 AND u = 1 AND tr = 1 THEN 0.82 WHEN k = 1 THEN 0.74 ELSE 0.86 END::DOUBLE AS confidence, (doc_id % 25) / 24.0 AS score FROM vv) SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND score > 0.8 THEN 'review' ELSE status END AS status, CASE WHEN doc_id % 3 > 0 AND score > 0.8 THEN greatest(confidence, score) ELSE confidence END::DOUBLE AS confidence FROM ww")
+def w11(spark, d):
+    scores = table(spark, d, "documents").where("doc_id % 3 > 0").select("doc_id", ((F.col("doc_id") % 25) / 24.0).alias("score"))
+    return style.blend_external(style.style_verdict(style.style_statistics(styled(spark, d))), scores).select("doc_id", "status", "confidence")
+
+
+@query("w13_prose_words", f"WITH c AS ({CITED_SQL}), x AS (SELECT doc_id, text, regexp_replace(text, '{_REF}', '') AS b0 FROM c), y AS (SELECT doc_id, CASE WHEN length(b0) < length(text) THEN {q.strip('b0')} ELSE text END AS b FROM x) SELECT doc_id, len(list_filter(regexp_split_to_array({q.strip('b')}, '\\s+'), lambda w: w <> ''))::BIGINT AS prose_words FROM y")
+def w13(spark, d):
+    return cited(spark, d).select("doc_id", F.size(t.space_words(segment.body(F.col("text")))).cast("long").alias("prose_words"))
