@@ -36,6 +36,8 @@ def line_key(line: bytes) -> int:
 def _repeats(row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
     """Words of each row inside 3-word windows that the row holds twice or more."""
     s, at = bw.windows(h, row, 3)
+    if not len(at):
+        return np.zeros(rows, np.int64)
     key = bw.keyed(row[at], s, bw.bits_of(rows))
     order = np.argsort(key, kind="stable")
     k = key[order]

@@ -165,11 +165,13 @@ class RuleModel:
 
 
 def train_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
-    """One label only, or no rows: a model without rules that gives that label's share, 0.5 for no rows."""
+    """One label only, no rows, or no split: a model without rules that gives label 1's share, 0.5 for no rows."""
     share = (y.sum() + 1) / (len(y) + 2)
     if not len(y) or y.min() == y.max():
         return RuleModel([], [], float(np.log(share / (1 - share))))
     rules = tree_rules(x, y)
+    if not rules:  # too few rows, or none that statistics tell apart
+        return RuleModel([], [], float(np.log(share / (1 - share))))
     z = np.stack([holds(r, x) for r in rules], axis=1).astype(float)
     _, first = np.unique(z, axis=1, return_index=True)  # rules that hold on the same rows
     first = np.sort(first)
