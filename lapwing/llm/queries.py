@@ -49,6 +49,7 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null id has no remainder: its ``held_out`` is null, and its text is scored."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
     scored = toxicity(docs, fit_toxicity(docs, labels.where(~out)))
@@ -60,6 +61,7 @@ def op6_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null id has no remainder: its ``held_out`` is null, and its text is scored."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
     scored = quality(docs, labels, ~out)
@@ -71,6 +73,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table holds no tool calls: each user turn stands for a call, each assistant turn for the result of the turn before."""
     calls, results = calls_of_turns(table(spark, sf_dir, "conversations"))
     return link_tool_calls(calls, results, chat_schemas(spark)).withColumn("errors", F.array_join("errors", ";"))
 
