@@ -148,7 +148,7 @@ class Overlap:
         self.spans = segment.segmented(self.docs).persist()
         self.totals = lists.join(need, "doc_id", "left_semi").select("doc_id", F.size("tokens").alias("words"))
         self.aligned = align.align_spans(self.pairs, self.spans).persist()
-        self.passages = align.passage_level(align.merge_passages(self.aligned, self.spans))
+        self.passages = align.passage_level(align.merge_passages(self.aligned, self.spans)).persist()
 
 
 _PASSAGE = ["doc_a", "doc_b", "passage", "first_span", "last_span", "n_spans", "matched", "words", "exact", "fuzzy", "semantic", "similarity", "level", "confidence"]
