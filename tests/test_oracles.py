@@ -8,7 +8,7 @@ from lapwing.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["t01_t02_tokens", "t04_t12_segment_tests", "t08_mostly_common", "g02_sentence_spans", "g05_paragraphs", "x01_shingles", "x04_containment", "x06_x09_verbatim_runs", "f01_f04_fuzzy", "v01_v03_semantic", "w08_w09_style_verdict", "b05_b08_citation_issues", "c01_keyword_retrieval"]
+NAMES = ["t01_t02_tokens", "t04_t12_segment_tests", "t08_mostly_common", "g02_sentence_spans", "g05_paragraphs", "x01_shingles", "x04_containment", "x06_x08_verbatim_runs", "c03_distinctive_phrases", "b01_b02_structure", "r11_visible", "e02_current_state", "q01_q02_quality", "f01_f04_fuzzy", "v01_v03_semantic", "w08_w09_style_verdict", "b05_b08_citation_issues", "c01_keyword_retrieval"]
 
 
 def canonical(df: pd.DataFrame) -> list:
