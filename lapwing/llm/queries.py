@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from lapwing.llm.decontaminate import contamination
 from lapwing.llm.html_text import main_text
+from lapwing.llm.language_model import scores
 from lapwing.llm.line_quality import quality_rules
+from lapwing.llm.merkle import document_proofs
 from lapwing.llm.mixing import Mixture
 from lapwing.llm.near_dedup import near_duplicates
+from lapwing.llm.prefix_trie import prefix_trie
 from lapwing.llm.quality import quality
 from lapwing.llm.sharding import balanced_shards
 from lapwing.llm.token_ids import token_files
@@ -82,6 +85,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null id has no remainder: its row is not tampered with."""
+    return document_proofs(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 3 == 0)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base of a negative ``conv_id`` is that of SQL's remainder, which has the sign of the id."""
+    c = F.col("conv_id")
+    return prefix_trie(table(spark, sf_dir, "conversations"), c - c % 5, F.crc32(c.cast("string")) % 9, 8)
+
+
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null id has no remainder: its ``held_out`` is null, and its text is scored but not learnt from."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    x = scores(table(spark, sf_dir, "documents"), ~held_out)
+    return x.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -93,4 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_tool_call_linking": op9_tool_call_linking,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_language_model": op13_language_model,
 }
