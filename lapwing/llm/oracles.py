@@ -89,4 +89,106 @@ SELECT conv_id, call_id, status, "position", ordered, errors, errors = '' AND or
 FROM x
 """
 
-ORACLES: dict[str, str] = {"op1_html_extraction": OP1, "op2_minhash_near_dedup": OP2, "op4_line_quality": OP4, "op9_tool_call_linking": OP9, "op10_decontamination": OP10}
+
+def _crc32(text: str) -> str:
+    """SQL of the unsigned crc32 of a text of ASCII characters, bit by bit."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    turn = "lambda r, e: xor(xor(r, e) >> 1, 3988292384 * (xor(r, e) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), {turn}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR END"
+
+
+def _tree(first: str, rows: str, out: str, levels: int) -> str:
+    """CTEs that climb from ``first(g, i, h)`` by eights, and carry ``rows(.., g, i, proof, x)`` up along it into ``out``."""
+    sql, node, row = [], first, rows
+    for k in range(levels):
+        at = f"{first}_{k}"
+        sql.append(f"""{at}s AS (SELECT *, count(*) OVER (PARTITION BY g) AS c,
+  coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a,
+  coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b FROM {node}),
+{at}n AS (SELECT g, i // 8 AS i, CASE WHEN any_value(c) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {at}s GROUP BY g, i // 8),
+{at}r AS (SELECT r.* REPLACE (r.i // 8 AS i, CASE WHEN c > 1 THEN proof || a || b ELSE proof END AS proof, CASE WHEN c > 1 THEN sha256(a || x || b) ELSE x END AS x)
+  FROM {row} r JOIN {at}s s ON r.g = s.g AND r.i = s.i)""")
+        node, row = f"{at}n", f"{at}r"
+    return ",\n".join(sql) + f",\n{first}_root AS (SELECT g, h FROM {node}),\n{out} AS (SELECT * FROM {row})"
+
+
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_TEXT_LOWER = _ASCII_LOWER.replace("coalesce(text, '')", "text")
+
+#: Seven levels a lang and four above: enough for two million rows a lang and 4,096 langs.
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce('+' || lang, '') AS g, sha256({_LEAF} || {_field("text")}) AS h,
+  sha256({_LEAF} || {_field(_TEXT_LOWER)}) AS low, {_crc32("doc_id::VARCHAR")} % 3 = 0 AS tampered FROM documents),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d),
+r0 AS (SELECT doc_id, h AS leaf, g, i, '' AS proof, CASE WHEN tampered THEN low ELSE h END AS x FROM leaf),
+n0 AS (SELECT g, i, h FROM leaf),
+{_tree("n0", "r0", "r1", 7)},
+m0 AS (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h, g AS name FROM n0_root),
+r2 AS (SELECT r1.doc_id, leaf, m0.h AS subroot, '' AS g, m0.i AS i, proof, x FROM r1 JOIN m0 ON r1.g = m0.name),
+m1 AS (SELECT g, i, h FROM m0),
+{_tree("m1", "r2", "r3", 4)}
+SELECT doc_id, leaf, subroot, m.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = m.h AS verified FROM r3, m1_root m
+"""
+
+OP12 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32("conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+k AS (SELECT c.conv_id, count(t.p) AS k FROM c LEFT JOIN t ON t.conv_id = c.base AND t.p <= c.h GROUP BY 1),
+b AS (
+  SELECT c.conv_id, t.p AS depth, role, text FROM c JOIN t ON t.conv_id = c.base AND t.p <= h
+  UNION ALL SELECT c.conv_id, t.p - h + k.k, role, text FROM c JOIN k USING (conv_id) JOIN t ON t.conv_id = c.conv_id AND t.p > h),
+s AS (
+  SELECT conv_id, depth, text, string_agg(to_json([role, text])::VARCHAR, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM b
+  UNION ALL SELECT conv_id, 0, '', '' FROM c),
+e AS (SELECT conv_id, max(depth) AS length FROM s GROUP BY 1),
+u AS (SELECT s.*, coalesce(lag(path) OVER (PARTITION BY s.conv_id ORDER BY depth), '') AS up, depth = length AS last FROM s JOIN e USING (conv_id)),
+n AS (SELECT depth, path, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(strlen(text)) AS bytes,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM u GROUP BY depth, path),
+m AS (SELECT n.*, o.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND x.up = n.path) AS n_children
+  FROM n LEFT JOIN n o ON o.depth = n.depth - 1 AND o.path = n.up),
+w AS (SELECT a.depth, a.path, sum(CASE WHEN m.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((m.n_convs - 1) * m.bytes) AS saved_tokens
+  FROM m JOIN u a ON a.conv_id = m.conv_id AND a.depth <= m.depth GROUP BY 1, 2)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM m JOIN w USING (depth, path)
+"""
+
+_LEVEL = "CASE WHEN {0} < 8 THEN {0} ELSE 5 + floor(log2({0})) END"
+#: Begin marks and the end are texts of white space, which no word is.
+OP13 = rf"""
+WITH d AS (SELECT doc_id, {_crc32("doc_id::VARCHAR")} % 7 AS rest, list_concat(['   ', '  '], regexp_extract_all({_ASCII_LOWER}, {_SPACED}), [' ']) AS a, row_number() OVER () AS r FROM documents),
+t AS (SELECT r, coalesce(rest <> 2, false) AS learn, a[j - 2] AS u, a[j - 1] AS v, a[j] AS w FROM (SELECT *, unnest(generate_series(3, len(a))) AS j FROM d)),
+l AS (SELECT * FROM t WHERE learn),
+tot AS (SELECT count(*) AS big_n, count(DISTINCT w) AS big_v FROM l),
+c1 AS (SELECT w, count(*) AS c FROM l GROUP BY 1), h2 AS (SELECT v, count(*) AS h FROM l GROUP BY 1),
+c2 AS (SELECT v, w, count(*) AS c FROM l GROUP BY 1, 2), h3 AS (SELECT u, v, count(*) AS h FROM l GROUP BY 1, 2),
+c3 AS (SELECT u, v, w, count(*) AS c FROM l GROUP BY 1, 2, 3),
+x AS (SELECT t.r, t.learn, big_n AS n1, coalesce(c1.c, 0) AS k1, coalesce(h2.h, 0) AS n2, coalesce(c2.c, 0) AS k2, coalesce(h3.h, 0) AS n3, coalesce(c3.c, 0) AS k3, big_v
+  FROM t CROSS JOIN tot LEFT JOIN c1 ON c1.w = t.w LEFT JOIN h2 ON h2.v = t.v LEFT JOIN c2 ON c2.v = t.v AND c2.w = t.w
+  LEFT JOIN h3 ON h3.u = t.u AND h3.v = t.v LEFT JOIN c3 ON c3.u = t.u AND c3.v = t.v AND c3.w = t.w),
+y AS (SELECT *, {_LEVEL.format("n1")} AS l1, {_LEVEL.format("n2")} AS l2, {_LEVEL.format("n3")} AS l3 FROM x),
+m1 AS (SELECT l1, (count_if(k1 = 1) + 1) / (count(*) + 2) AS m1 FROM y WHERE learn GROUP BY 1),
+m2 AS (SELECT l2, (count_if(k2 = 1) + 1) / (count(*) + 2) AS m2 FROM y WHERE learn GROUP BY 1),
+m3 AS (SELECT l3, (count_if(k3 = 1) + 1) / (count(*) + 2) AS m3 FROM y WHERE learn GROUP BY 1),
+z AS (SELECT *, coalesce((1 - m1) * k1 / n1 + m1 / (big_v + 1), 1 / (big_v + 1)) AS p1 FROM y LEFT JOIN m1 USING (l1) LEFT JOIN m2 USING (l2) LEFT JOIN m3 USING (l3)),
+z2 AS (SELECT *, CASE WHEN n2 = 0 THEN p1 ELSE (1 - m2) * k2 / n2 + m2 * p1 END AS p2 FROM z),
+z3 AS (SELECT *, CASE WHEN n3 = 0 THEN p2 ELSE (1 - m3) * k3 / n3 + m3 * p2 END AS p3 FROM z2),
+s AS (SELECT r, count(*) AS n_tokens, count_if(k1 > 0) AS n_known, any_value(n1) AS train_tokens, sum(log10((k1 + 1) / (n1 + big_v + 1))) AS base_score, sum(log10(p3)) AS score FROM z3 GROUP BY 1)
+SELECT doc_id, rest = 2 AS held_out, n_tokens, n_known::BIGINT AS n_known, train_tokens, base_score, score FROM s JOIN d USING (r)
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op1_html_extraction": OP1,
+    "op2_minhash_near_dedup": OP2,
+    "op4_line_quality": OP4,
+    "op9_tool_call_linking": OP9,
+    "op10_decontamination": OP10,
+    "op11_merkle_manifest": OP11,
+    "op12_conversation_trie": OP12,
+    "op13_language_model": OP13,
+}
