@@ -32,7 +32,6 @@ ORDER = 3
 U = np.uint64
 #: The token at a text's end, and the marks before its first token.
 END, BEGIN = bw.mix([1])[0], bw.mix([2, 3])
-_LOW, _PAD = U(3), U(4)
 
 
 def _blocks(batches, size: int):
@@ -72,32 +71,38 @@ def _stream(text: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(tokens), np.concatenate(rows)
 
 
-def _grams(t: np.ndarray, row: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Keys of the n-grams that end at each token, by n; and which tokens are no begin marks.
+def _places(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a text begins, and where its words and its end are."""
+    head = np.ones(len(row), bool)
+    head[1:] = row[1:] != row[:-1]
+    real = ~head
+    real[1:] &= ~head[:-1]
+    return head, real
+
+
+def _grams(t: np.ndarray, row: np.ndarray, order: int):
+    """By n from 1: the places at which n-grams end, and the n-grams' hashes with a free lowest bit.
 
-    A key's low bits hold n, or 0 if the n-gram is all begin marks.
+    Single begin marks and pairs of them are n-grams too, since they are contexts.
     """
-    head = np.ones(len(t), bool)
-    head[1:] = row[1:] != row[:-1]
-    second = np.zeros_like(head)
-    second[1:] = head[:-1]
-    real = ~(head | second)
-    keys, h = [], np.zeros(len(t), U)
+    head, real = _places(row)
+    h = np.zeros(len(t), U)
     for n in range(1, order + 1):
         # the n-gram's hash grows to the left, one token a round
-        h = bw.mix(h * U(0xD1342543DE82EF95) + np.concatenate([np.zeros(min(n - 1, len(t)), U), t[: max(0, len(t) - n + 1)]]) + U(n))
-        k = (h & ~_LOW) | U(n)
-        k[~real] = h[~real] & ~_LOW
-        k[head if n <= 2 else ~real] = _PAD
-        if n > 3:  # fewer tokens than n before this one
-            short = np.zeros(len(t), bool)
-            starts = np.flatnonzero(head)
-            for j in range(2, n - 1):
-                at = starts + j
-                short[at[(at < len(t))]] = True
-            k[short] = _PAD
-        keys.append(k)
-    return keys, real
+        h[n - 1 :] = bw.mix(h[n - 1 :] * U(0xD1342543DE82EF95) + t[: len(t) - n + 1] + U(n))
+        at = np.flatnonzero(~head if n < 3 else real)
+        yield at, h[at] & ~U(1)
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the number of each key among them."""
+    order = np.argsort(keys)
+    k = keys[order]
+    first = np.ones(len(k), bool)
+    first[1:] = k[1:] != k[:-1]
+    number = np.empty(len(k), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return k[first], number
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -110,43 +115,57 @@ def _unplanes(b: bytes) -> np.ndarray:
 
 
 def _count_blocks(order: int, bits: int, size: int):
-    """Of each block and bucket: the sorted keys of its n-grams, as steps, and how often the training texts hold each."""
+    """Of each block and bucket: the sorted keys of its n-grams, as steps, and how often the training texts hold each.
+
+    A bucket is n and the upper bits of the keys.
+    """
 
     def run(batches):
         for i, x in enumerate(_blocks(batches, size)):
-            t, row = _stream(x.column("text"))
-            keys, _ = _grams(t, row, order)
-            learn = x.column("learn").to_numpy().astype(bool)[row]
-            uniq = np.unique(np.concatenate(keys))
-            known, n = np.unique(np.concatenate([k[learn] for k in keys]), return_counts=True)
-            count = np.zeros(len(uniq), U)
-            count[np.searchsorted(uniq, known)] = n
-            edge = np.searchsorted(uniq >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
-            used = np.flatnonzero(edge[1:] > edge[:-1])
             block = (TaskContext.get().partitionId() << 32) + i
-            steps = [_planes(np.diff(uniq[edge[b] : edge[b + 1]], prepend=U(0))) for b in used]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int64()), pa.array([block] * len(used), pa.int64()), pa.array(steps, pa.binary()), pa.array([_planes(count[edge[b] : edge[b + 1]]) for b in used], pa.binary())],
-                names=["bucket", "block", "keys", "counts"],
-            )
+            t, row = _stream(x.column("text"))
+            learn = x.column("learn").to_numpy().astype(U)[row]
+            for n, (at, k) in enumerate(_grams(t, row, order)):
+                k = np.sort(k | learn[at])  # one sort: the lowest bit tells training texts
+                first = np.ones(len(k), bool)
+                first[1:] = (k[1:] | U(1)) != (k[:-1] | U(1))
+                start = np.flatnonzero(first)
+                count = np.add.reduceat(k & U(1), start) if len(start) else np.zeros(0, U)
+                uniq = k[start] & ~U(1)
+                edge = np.searchsorted(uniq >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
+                used = np.flatnonzero(edge[1:] > edge[:-1])
+                steps = [_planes(np.diff(uniq[edge[b] : edge[b + 1]], prepend=U(0))) for b in used]
+                counts = [_planes(count[edge[b] : edge[b + 1]]) for b in used]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used + (n << bits), pa.int64()), pa.array([block] * len(used), pa.int64()), pa.array(steps, pa.binary()), pa.array(counts, pa.binary())],
+                    names=["bucket", "block", "keys", "counts"],
+                )
 
     return run
 
 
-def _add_up(x: pa.Table) -> pa.Table:
+#: The n-gram of a text's second begin mark alone: a context, but no token.
+_MARK = bw.mix(BEGIN[1:] + U(1))[0] & ~U(1)
+
+
+def _add_up(bits: int):
     """Of a bucket: the totals of each block's n-grams; and in a row of block -1 the tokens, and the distinct ones, of the training texts."""
-    parts = [np.cumsum(_unplanes(k), dtype=U) for k in x.column("keys").to_pylist()]
-    key, where = np.unique(np.concatenate(parts), return_inverse=True)
-    n = np.concatenate([_unplanes(c) for c in x.column("counts").to_pylist()])
-    total = np.bincount(where, weights=n, minlength=len(key)).astype(U)
-    single = total[((key & _LOW) == U(1)) & (total > 0)]
-    ends = np.cumsum([len(p) for p in parts])
-    out = [_planes(total[where[e - len(p) : e]]) for p, e in zip(parts, ends, strict=True)]
-    bucket, block = x.column("bucket").to_pylist(), x.column("block").to_pylist()
-    stats = [[int(single.sum()), len(single)]]
-    columns = {"block": pa.array([*block, -1], pa.int64()), "bucket": pa.array([*bucket, bucket[0]], pa.int64())}
-    columns |= {"totals": pa.array([*out, None], pa.binary()), "stats": pa.array([None] * len(out) + stats, pa.list_(pa.int64()))}
-    return pa.table(columns)
+
+    def run(x: pa.Table) -> pa.Table:
+        parts = [np.cumsum(_unplanes(k), dtype=U) for k in x.column("keys").to_pylist()]
+        key, number = _numbered(np.concatenate(parts))
+        n = np.concatenate([_unplanes(c) for c in x.column("counts").to_pylist()])
+        total = np.bincount(number, weights=n, minlength=len(key)).astype(U)
+        bucket, block = x.column("bucket").to_pylist(), x.column("block").to_pylist()
+        single = total[(key != _MARK) & (total > 0)] if bucket[0] >> bits == 0 else total[:0]
+        ends = np.cumsum([len(p) for p in parts])
+        out = [_planes(total[number[e - len(p) : e]]) for p, e in zip(parts, ends, strict=True)]
+        stats = [[int(single.sum()), len(single)]]
+        columns = {"block": pa.array([*block, -1], pa.int64()), "bucket": pa.array([*bucket, bucket[0]], pa.int64())}
+        columns |= {"totals": pa.array([*out, None], pa.binary()), "stats": pa.array([None] * len(out) + stats, pa.list_(pa.int64()))}
+        return pa.table(columns)
+
+    return run
 
 
 def _level(count: np.ndarray) -> np.ndarray:
@@ -160,26 +179,37 @@ LEVELS = 72
 class Reach:
     """A block's tokens with the totals of their n-grams.
 
-    ``index``: by n, the number of the n-gram that ends at each token; ``total``:
-    how often the training texts hold each n-gram; ``real``: the places of tokens
-    that are no begin marks; ``row``: the document of each of these.
+    By n: ``index``, the number of the n-gram that ends at each place; ``total``, how
+    often the training texts hold each n-gram.  ``real``: the places of tokens that
+    are no begin marks; ``row``: the document of each of these.
     """
 
     def __init__(self, docs: pa.Table, totals: pa.Table, order: int, tokens: int):
         t, row = _stream(docs.column("text"))
-        keys, real = _grams(t, row, order)
-        uniq, where = np.unique(np.concatenate(keys), return_inverse=True)
         totals = totals.sort_by("bucket")
-        self.total = np.concatenate([_unplanes(b) for b in totals.column("totals").to_pylist()] or [np.zeros(0, U)]).astype(np.float64)
-        if len(self.total) != len(uniq):
+        every = np.concatenate([_unplanes(b) for b in totals.column("totals").to_pylist()] or [np.zeros(0, U)])
+        self.index, self.total, self.tokens = [], [], tokens
+        for at, keys in _grams(t, row, order):
+            uniq, number = _numbered(keys)
+            index = np.zeros(len(t), np.int64)
+            index[at] = number
+            self.index.append(index)
+            self.total.append(every[: len(uniq)].astype(np.float64))
+            every = every[len(uniq) :] if len(every) >= len(uniq) else None
+            if every is None:
+                break
+        if every is None or len(every):
             raise RuntimeError("the documents changed between two reads: give a table that is read from files")
-        self.index, self.tokens = list(where.reshape(order, -1)), tokens
-        self.real = np.flatnonzero(real)
+        self.real = np.flatnonzero(_places(row)[1])
         self.row = row[self.real]
 
+    def seen(self, n: int, at: np.ndarray) -> np.ndarray:
+        """How often the training texts hold the n-gram that ends at each place."""
+        return self.total[n - 1][self.index[n - 1][at]]
+
     def context(self, n: int, at: np.ndarray) -> np.ndarray:
         """How often the training texts hold the n-1 tokens before each place."""
-        return np.full(len(at), float(self.tokens)) if n == 1 else self.total[self.index[n - 2][at - 1]]
+        return np.full(len(at), float(self.tokens)) if n == 1 else self.seen(n - 1, at - 1)
 
 
 def _seen_once(order: int, tokens: int):
@@ -191,7 +221,7 @@ def _seen_once(order: int, tokens: int):
         out = []
         for n in range(1, order + 1):
             level = _level(r.context(n, at))
-            once = r.total[r.index[n - 1][at]] == 1
+            once = r.seen(n, at) == 1
             out += [np.bincount(level, minlength=LEVELS), np.bincount(level, weights=once, minlength=LEVELS)]
         have, once = np.concatenate(out[::2]).astype(np.int64), np.concatenate(out[1::2]).astype(np.int64)
         cell = np.flatnonzero(have)
@@ -209,22 +239,23 @@ class Automaton:
     """
 
     def __init__(self, reach: Reach, fail: np.ndarray, types: int):
-        self.reach, self.fail = reach, fail
-        arc = np.zeros(len(reach.total))
-        place = np.zeros(len(arc), np.int64)
+        self.reach, self.fail, self.log_arc = reach, fail, []
         self.nothing = 1.0 / (types + 1)
+        lower = None
         for n in range(1, len(fail) + 1):
-            i = reach.index[n - 1]
-            place[i[reach.real]] = reach.real  # some place of each n-gram: all of its places give the same arc
-            arcs = np.unique(i[reach.real])
-            arcs = arcs[reach.total[arcs] > 0]
+            index, total = reach.index[n - 1], reach.total[n - 1]
+            place = np.full(len(total), -1)
+            place[index[reach.real]] = reach.real  # some place of each n-gram: all of its places give the same arc
+            arcs = np.flatnonzero((total > 0) & (place >= 0))
             at = place[arcs]
             state = reach.context(n, at)
             m = fail[n - 1][_level(state)]
-            lower = self.nothing if n == 1 else arc[reach.index[n - 2][at]]
-            arc[arcs] = (1 - m) * reach.total[arcs] / state + m * lower
-        with np.errstate(divide="ignore"):
-            self.log_arc = np.log10(arc)
+            below = self.nothing if n == 1 else lower[reach.index[n - 2][at]]
+            arc = np.zeros(len(total))
+            arc[arcs] = (1 - m) * total[arcs] / state + m * below
+            with np.errstate(divide="ignore"):
+                self.log_arc.append(np.log10(arc))
+            lower = arc
 
     def walk(self) -> np.ndarray:
         """The log-probability of each token: its state's arc or, where there is none, failure arcs until a state has one."""
@@ -232,9 +263,8 @@ class Automaton:
         score, left = np.zeros(len(r.real)), np.arange(len(r.real))
         for n in range(len(self.fail), 0, -1):
             at = r.real[left]
-            i = r.index[n - 1][at]
-            has = r.total[i] > 0
-            score[left[has]] += self.log_arc[i[has]]
+            has = r.seen(n, at) > 0
+            score[left[has]] += self.log_arc[n - 1][r.index[n - 1][at[has]]]
             left, at = left[~has], at[~has]
             score[left] += np.log10(self.fail[n - 1][_level(r.context(n, at))])
         score[left] += np.log10(self.nothing)
@@ -245,7 +275,7 @@ def _score_blocks(order: int, fail: list[list[float]], tokens: int, types: int):
     def run(docs: pa.Table, totals: pa.Table) -> pa.Table:
         r = Reach(docs, totals, order, tokens)
         log = Automaton(r, np.array(fail), types).walk()
-        count = r.total[r.index[0][r.real]]
+        count = r.seen(1, r.real)
         base = np.log10((count + 1) / (tokens + types + 1))
         add = lambda w: np.bincount(r.row, weights=w, minlength=docs.num_rows)
         whole = lambda x: pa.array(x.astype(np.int64))
@@ -269,10 +299,12 @@ def scores(docs: DataFrame, learn: Column, order: int = ORDER, block_bytes: int
     times and must be durable; a block that differs between reads is an error.
     """
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    if not 1 <= order <= 3:
+        raise ValueError("order must be 1, 2 or 3")
     size = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, int(size // bucket_bytes).bit_length())
     parts = x.mapInArrow(_count_blocks(order, bits, block_bytes), "bucket long, block long, keys binary, counts binary")
-    totals = parts.groupBy("bucket").applyInArrow(_add_up, "block long, bucket long, totals binary, stats array<long>")
+    totals = parts.groupBy("bucket").applyInArrow(_add_up(bits), "block long, bucket long, totals binary, stats array<long>")
     totals = cut(totals, "totals")
     tokens, types = totals.where("block = -1").select(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in (0, 1)]).first()
 
