@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lapwing.functions import text as t
+from lapwing.operators.phrases import mostly_common
 
 _DOT, _END = "\ue000", "\ue001"  # of a private range; dropped from the input
 REFERENCES = r"(?is)([\r\n]+|^)\s*(references|bibliography|works cited)\s*[\r\n]+.*$"
@@ -82,8 +83,9 @@ def span_flags(spans: DataFrame, prompt: Column | None = None) -> DataFrame:
     quoted = t.is_quoted_or_cited(c)
     if "in_quote" in spans.columns:
         quoted = quoted | F.col("in_quote")
-    common = t.is_mostly_common(c) | t.is_definition(c)
-    return spans.select("*", t.is_heading(c).alias("is_heading"), t.is_prompt(c, prompt).alias("is_prompt"), t.is_formula(c).alias("is_formula"), quoted.alias("is_quoted"), c.rlike(t.CITED).alias("is_cited"), common.alias("is_common"))
+    x = mostly_common(spans.withColumn("tokens", t.tokens(c)), ["doc_id", "idx"])
+    common = F.col("mostly") | t.is_definition(c)
+    return x.select(*spans.columns, t.is_heading(c).alias("is_heading"), t.is_prompt(c, prompt).alias("is_prompt"), t.is_formula(c).alias("is_formula"), quoted.alias("is_quoted"), c.rlike(t.CITED).alias("is_cited"), common.alias("is_common"))
 
 
 def rechunked(spans: DataFrame, most: int = 50, size: int = 40, overlap: int = 10, most_chars: int = 250, chars: int = 180, char_overlap: int = 30, least: int = 5) -> DataFrame:

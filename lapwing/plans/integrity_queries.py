@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lapwing.functions import lexicon
 from lapwing.functions import text as t
 from lapwing.operators import align, candidates, citations, segment, shingles, style
+from lapwing.operators.durable import durable
 from lapwing.plans import sql as q
 from lapwing.plans.text_queries import CONTAIN_SQL, LISTS_SQL, PAIRS_SQL, SENTENCES_SQL, _CT, contain_sql, likely_pairs, table
 
@@ -132,23 +133,30 @@ def c04(spark, d):
 
 
 class Overlap:
-    """The steps from documents to passages: pairs in both directions, spans, alignments, passages.
-
-    Those that feed several others are kept by Spark; ``spark.catalog.clearCache`` lets them go.
-    """
+    """The steps from documents to passages, each a stage table: pairs in both directions, spans, alignments, passages."""
 
     def __init__(self, spark, d):
         docs = table(spark, d, "documents")
         pairs, lists = likely_pairs(spark, d)
-        pairs = pairs.select("doc_a", "doc_b")
+        pairs = durable(pairs.select("doc_a", "doc_b"), "pairs")
         self.pairs = pairs.union(pairs.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b")))
-        self.pairs = self.pairs.persist()
         need = self.pairs.select(F.col("doc_a").alias("doc_id")).distinct()
         self.docs = docs.join(need, "doc_id", "left_semi")
-        self.spans = segment.segmented(self.docs).persist()
-        self.totals = lists.join(need, "doc_id", "left_semi").select("doc_id", F.size("tokens").alias("words"))
-        self.aligned = align.align_spans(self.pairs, self.spans).persist()
-        self.passages = align.passage_level(align.merge_passages(self.aligned, self.spans)).persist()
+        self.spans = durable(segment.segmented(self.docs), "spans", "doc_id")
+        self.totals = durable(lists.join(need, "doc_id", "left_semi").select("doc_id", F.size("tokens").alias("words")), "totals")
+        self.aligned = align.align_spans(self.pairs, self.spans)
+        self.passages = durable(align.passage_level(align.merge_passages(self.aligned, self.spans)), "passages", "doc_a")
+
+
+_MADE: dict[tuple[str, str], Overlap] = {}
+
+
+def overlap(spark, d) -> Overlap:
+    """The stage tables of a folder of tables: made once an application, read by all queries below."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _MADE:
+        _MADE[key] = Overlap(spark, d)
+    return _MADE[key]
 
 
 _PASSAGE = ["doc_a", "doc_b", "passage", "first_span", "last_span", "n_spans", "matched", "words", "exact", "fuzzy", "semantic", "similarity", "level", "confidence"]
@@ -156,32 +164,32 @@ _PASSAGE = ["doc_a", "doc_b", "passage", "first_span", "last_span", "n_spans", "
 
 @query("a01_a05_alignments")
 def a01(spark, d):
-    return Overlap(spark, d).aligned.select("doc_a", "doc_b", "a", "b", "rank", "exact", "exact_tokens", "fuzzy", "token_set", "semantic", "matched")
+    return overlap(spark, d).aligned.select("doc_a", "doc_b", "a", "b", "rank", "exact", "exact_tokens", "fuzzy", "token_set", "semantic", "matched")
 
 
 @query("a06_a08_passages")
 def a06(spark, d):
-    return Overlap(spark, d).passages.select(*_PASSAGE, F.array_join("reasons", "|").alias("reasons"))
+    return overlap(spark, d).passages.select(*_PASSAGE, F.array_join("reasons", "|").alias("reasons"))
 
 
 @query("a09_a12_overlap_by_scope")
 def a09(spark, d):
     from lapwing.plans.catalog_queries import sources
 
-    o = Overlap(spark, d)
+    o = overlap(spark, d)
     kinds = sources(spark, d).select(F.col("doc_id").alias("doc_b"), "source_type")
     return align.overlap_by_scope(o.passages.join(kinds, "doc_b"), o.spans, o.totals)
 
 
 @query("a13_a22_matches")
 def a13(spark, d):
-    return align.match_rows(align.dedupe_passages(Overlap(spark, d).passages))
+    return align.match_rows(align.dedupe_passages(overlap(spark, d).passages))
 
 
 def compared(spark, d):
     from lapwing.operators import vectors
 
-    o = Overlap(spark, d)
+    o = overlap(spark, d)
     return align.comparisons(o.passages, o.spans, o.totals, vectors.cosine(o.pairs, vectors.embed(o.docs)), o.aligned), o
 
 
@@ -194,7 +202,7 @@ def a14(spark, d):
 @query("a18_a20_reports")
 def a18(spark, d):
     """Each document against its sources: passages once, styles and citations of the text, level, routing and what is said of it."""
-    o = Overlap(spark, d)
+    o = overlap(spark, d)
     kept = align.dedupe_passages(o.passages)
     score = align.unique_overlap(kept, o.spans, o.totals)
     rolled = align.source_rollup(kept)
