@@ -8,7 +8,9 @@ from lapwing.functions import lexicon
 from lapwing.functions import text as t
 from lapwing.operators import align, candidates, citations, segment, shingles, style
 from lapwing.operators.durable import durable
+from lapwing.plans import alignment_sql
 from lapwing.plans import sql as q
+from lapwing.plans.catalog_queries import sources
 from lapwing.plans.text_queries import CONTAIN_SQL, LISTS_SQL, PAIRS_SQL, SENTENCES_SQL, _CT, contain_sql, likely_pairs, table
 
 QUERIES, ORACLES = {}, {}
@@ -162,26 +164,24 @@ def overlap(spark, d) -> Overlap:
 _PASSAGE = ["doc_a", "doc_b", "passage", "first_span", "last_span", "n_spans", "matched", "words", "exact", "fuzzy", "semantic", "similarity", "level", "confidence"]
 
 
-@query("a01_a05_alignments")
+@query("a01_a05_alignments", alignment_sql.A01)
 def a01(spark, d):
     return overlap(spark, d).aligned.select("doc_a", "doc_b", "a", "b", "rank", "exact", "exact_tokens", "fuzzy", "token_set", "semantic", "matched")
 
 
-@query("a06_a08_passages")
+@query("a06_a08_passages", alignment_sql.A06)
 def a06(spark, d):
     return overlap(spark, d).passages.select(*_PASSAGE, F.array_join("reasons", "|").alias("reasons"))
 
 
-@query("a09_a12_overlap_by_scope")
+@query("a09_a12_overlap_by_scope", alignment_sql.A09)
 def a09(spark, d):
-    from lapwing.plans.catalog_queries import sources
-
     o = overlap(spark, d)
     kinds = sources(spark, d).select(F.col("doc_id").alias("doc_b"), "source_type")
     return align.overlap_by_scope(o.passages.join(kinds, "doc_b"), o.spans, o.totals)
 
 
-@query("a13_a22_matches")
+@query("a13_a22_matches", alignment_sql.A13)
 def a13(spark, d):
     return align.match_rows(align.dedupe_passages(overlap(spark, d).passages))
 
@@ -193,13 +193,19 @@ def compared(spark, d):
     return align.comparisons(o.passages, o.spans, o.totals, vectors.cosine(o.pairs, vectors.embed(o.docs)), o.aligned), o
 
 
-@query("a14_a23_comparisons")
+@query("a14_a23_comparisons", alignment_sql.A14)
 def a14(spark, d):
     c, _ = compared(spark, d)
     return c.withColumn("summary", F.array_join("summary", "|"))
 
 
-@query("a18_a20_reports")
+_STATUS_SQL = f"""WITH {STYLE_SQL.replace(STYLED_SQL, "SELECT doc_id, text FROM documents")}, f AS (SELECT *, variation < 0.28 AND n_sentences >= 5 AS u, type_token < 0.38 AND n_words > 120 AS p, marker_density >= 12 AS tr, opener_ratio >= 0.45 AND n_sentences >= 8 AS op FROM style),
+n AS (SELECT *, u::INT + p::INT + tr::INT + op::INT AS k FROM f)
+SELECT doc_id, CASE WHEN n_words < 45 THEN 'insufficient' WHEN k >= 3 OR k >= 2 AND u AND tr THEN 'review' WHEN k = 1 THEN 'notable' ELSE 'typical' END AS status FROM n"""
+_ISSUES_SQL = f"""WITH {CITATION_SQL.replace(CITED_SQL, "SELECT doc_id, text FROM documents")}, n AS (SELECT doc_id, count(*) AS n FROM issues GROUP BY 1) SELECT doc_id, coalesce(n, 0) AS n_issues FROM sets LEFT JOIN n USING (doc_id)"""
+
+
+@query("a18_a20_reports", alignment_sql.report_sql(_STATUS_SQL, _ISSUES_SQL))
 def a18(spark, d):
     """Each document against its sources: passages once, styles and citations of the text, level, routing and what is said of it."""
     o = overlap(spark, d)
@@ -327,7 +333,7 @@ def c03(spark, d):
 _COMPARED = ["doc_a", "doc_b", "overall", "strong", "moderate", "semantic", "level", "confidence"]
 
 
-@query("c15_discovery")
+@query("c15_discovery", alignment_sql.C15)
 def c15(spark, d):
     """Every 20th document as a query against all documents."""
     from lapwing.operators.discovery import discover
@@ -336,7 +342,7 @@ def c15(spark, d):
     return discover(docs.where("doc_id % 20 = 0"), docs).select(*_COMPARED, "best_quoted")
 
 
-@query("a16_cohorts")
+@query("a16_cohorts", alignment_sql.A16)
 def a16(spark, d):
     """The documents of each source are a cohort."""
     from lapwing.operators.discovery import cohort
