@@ -17,8 +17,10 @@ from lapwing.functions import lexicon
 from lapwing.functions import text as t
 from lapwing.functions.text import js_round, tokens
 
-#: Documents of one shingle that meet in a task at a time, and shared shingles that make a pair a candidate.
-BLOCK, MIN_SHARED = 512, 8
+#: Documents of one shingle that meet in a task at a time.
+BLOCK = 512
+#: Share of the smaller text's shingles from which a pair counts: what the weak level asks of an overlap.
+LEAST_SHARE = 0.15
 WEIGHTS = ((10, 4.0), (7, 3.0), (5, 2.0), (0, 1.0))
 
 
@@ -60,21 +62,24 @@ def representatives(lists: DataFrame) -> DataFrame:
     return lists.join(classes(lists).where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
 
 
-def candidate_pairs(lists: DataFrame, n: int = 5, min_shared: int = MIN_SHARED, block: int = BLOCK) -> DataFrame:
-    """Pairs ``doc_a < doc_b`` of class representatives that share ``min_shared`` distinct shingles or more, and how many.
+def candidate_pairs(lists: DataFrame, n: int = 5, share: float = LEAST_SHARE, block: int = BLOCK) -> DataFrame:
+    """Pairs ``doc_a < doc_b`` of class representatives that share at least ``share`` of the smaller one's distinct shingles, and how many.
 
-    Exact: with :func:`classes`, no link between different texts is lost.  The
+    The bound is on the result, so texts of five tokens count as long ones do.  Exact: with :func:`classes`, no link between different texts is lost.  The
     documents of a frequent shingle are dealt over blocks, and each block meets
     all of them in a task of its own, so no key has more than a block's rows on
     one side of the join.
     """
     s = shingles(representatives(lists), n).select("doc_id", F.xxhash64("shingle").alias("h")).distinct()
+    size = s.groupBy("doc_id").agg(F.count("*").alias("n"))
     df = s.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h", F.ceil(F.col("df") / block).cast("int").alias("blocks"))
     s = s.join(df, "h")
     a = s.select(F.col("doc_id").alias("doc_a"), "h", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
     b = s.select(F.col("doc_id").alias("doc_b"), "h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     met = a.join(b, ["h", "block"]).where("doc_a < doc_b")
-    return met.groupBy("doc_a", "doc_b").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    met = met.groupBy("doc_a", "doc_b").agg(F.count("*").alias("shared"))
+    met = met.join(size.toDF("doc_a", "n_a"), "doc_a").join(size.toDF("doc_b", "n_b"), "doc_b")
+    return met.where(F.col("shared") >= share * F.least("n_a", "n_b")).select("doc_a", "doc_b", "shared")
 
 
 def rank_candidates(query: DataFrame, corpus: DataFrame) -> DataFrame:

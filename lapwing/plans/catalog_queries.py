@@ -12,7 +12,7 @@ from lapwing.functions import text as t
 from lapwing.operators import candidates, review, style
 from lapwing.operators import relational as r
 from lapwing.plans import sql as q
-from lapwing.plans.text_queries import table
+from lapwing.plans.text_queries import KEYWORD_SCORES_SQL, table
 from lapwing.sources import corpus, ingest
 
 QUERIES, ORACLES = {}, {}
@@ -120,7 +120,7 @@ def c17(spark, d):
     return corpus.provider_health(spark.createDataFrame([(p,) for p in (*PROVIDERS, "library")], "provider string"), once)
 
 
-PEER_SQL = f"""peer AS (SELECT doc_id, 'S' || doc_id AS id, 'Code-' || (doc_id % 500) AS code, doc_id % 150 AS student_id, CASE WHEN doc_id % 5 > 0 THEN doc_id % 3 END AS institution_id, CASE WHEN doc_id % 7 > 0 THEN doc_id % 2 END AS course_id, CASE WHEN doc_id % 11 > 0 THEN doc_id % 20 END AS assignment_id, CASE doc_id % 6 WHEN 0 THEN 'draft' WHEN 1 THEN NULL ELSE 'final' END AS status, text FROM documents)"""
+PEER_SQL = f"""peer AS (SELECT doc_id, 'S' || doc_id AS id, 'Code-' || (doc_id % 500) AS code, doc_id % 150 AS student_id, CASE WHEN doc_id % 5 > 0 THEN doc_id % 3 END AS institution_id, CASE WHEN doc_id % 7 > 0 THEN doc_id % 2 END AS course_id, CASE WHEN doc_id % 11 > 0 THEN doc_id // 40 END AS assignment_id, CASE doc_id % 6 WHEN 0 THEN 'draft' WHEN 1 THEN NULL ELSE 'final' END AS status, text FROM documents)"""
 
 
 def peers(spark, d):
@@ -131,7 +131,7 @@ def peers(spark, d):
         "student_id": i % 150,
         "institution_id": F.when(i % 5 > 0, i % 3),
         "course_id": F.when(i % 7 > 0, i % 2),
-        "assignment_id": F.when(i % 11 > 0, i % 20),
+        "assignment_id": F.when(i % 11 > 0, F.floor(i / 40)),
         "status": F.when(i % 6 == 0, "draft").when(i % 6 != 1, "final"),
     }
     return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in columns.items()], "text")
@@ -153,12 +153,15 @@ def c06(spark, d):
     return met.select(F.col("x.doc_id").alias("doc_id"), F.col("y.doc_id").alias("peer_id"), seen.alias("p")).select("doc_id", "peer_id", "p.*")
 
 
-@query("c14_capped", f"WITH {SOURCES_SQL}, c AS (SELECT a.doc_id AS query_id, b.provider, b.doc_id, (a.doc_id * 31 + b.doc_id * 17) % 101 AS score FROM documents a JOIN src b ON b.doc_id % 20 = a.doc_id % 20 AND b.doc_id <> a.doc_id WHERE a.doc_id % 20 = 0), p AS (SELECT *, row_number() OVER (PARTITION BY query_id, provider ORDER BY score DESC, doc_id) AS n FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE n <= CASE provider WHEN 'web' THEN 4 WHEN 'academic' THEN 4 WHEN 'local' THEN 8 ELSE 12 END) SELECT query_id, doc_id, rank FROM k WHERE rank <= 12")
+@query("c14_capped", f"""WITH {SOURCES_SQL}, {KEYWORD_SCORES_SQL}, c AS (SELECT query_id, provider, r.doc_id, score FROM r JOIN src ON src.doc_id = r.doc_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, provider ORDER BY score DESC, doc_id) AS n FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p WHERE n <= CASE provider WHEN 'web' THEN 4 WHEN 'academic' THEN 4 WHEN 'local' THEN 8 ELSE 12 END)
+SELECT query_id, doc_id, provider, rank FROM k WHERE rank <= 12""")
 def c14(spark, d):
-    a = table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"))
-    b = sources(spark, d).select("provider", "doc_id")
-    c = a.join(b, (F.col("query_id") % 20 == F.col("doc_id") % 20) & (F.col("query_id") != F.col("doc_id"))).withColumn("score", (F.col("query_id") * 31 + F.col("doc_id") * 17) % 101)
-    return corpus.capped(c, "query_id", [F.desc("score"), F.col("doc_id")], 12, {"web": 4, "academic": 4, "local": 8}).select("query_id", "doc_id", "rank")
+    """Every source that shares enough keywords with a query document, the best of each provider and of all."""
+    docs = table(spark, d, "documents")
+    c = candidates.keyword_scores(docs.where("doc_id % 20 = 0"), docs).join(sources(spark, d).select("doc_id", "provider"), "doc_id")
+    return corpus.capped(c, "query_id", [F.desc("score"), F.col("doc_id")], 12, {"web": 4, "academic": 4, "local": 8}).select("query_id", "doc_id", "provider", "rank")
 
 
 TAGS_SQL = r"""WITH x AS (SELECT p_partkey, '[Subject: ' || p_name || '] text [Batch:  ' || p_size || ' ] ' || p_type || ' (' || p_brand || ')' AS s, '{"section": "' || p_type || '", "batch": ' || p_size || '}' AS j FROM part)
@@ -245,7 +248,7 @@ def r09(spark, d):
     return r.work_of_student(a.select(((F.col("student_id") + F.col("i")) % 40).alias("assignment_id"), "student_id"), submissions(spark, d))
 
 
-@query("r11_visible", f"""WITH {SUB_SQL}, v AS (SELECT c_custkey AS viewer_id, CASE c_custkey % 10 WHEN 0 THEN 'admin' WHEN 1 THEN 'faculty' ELSE 'student' END AS role, c_custkey % 5 AS institution_id, 'r' || c_custkey AS roll FROM customer WHERE c_custkey < 60),
+@query("r11_visible", f"""WITH {SUB_SQL}, v AS (SELECT c_custkey AS viewer_id, CASE WHEN c_custkey % 100 = 0 THEN 'admin' WHEN c_custkey % 10 = 1 THEN 'faculty' ELSE 'student' END AS role, c_custkey % 5 AS institution_id, 'r' || c_custkey AS roll FROM customer),
 c AS (SELECT n_nationkey AS course_id, n_name AS course_code, n_nationkey % 3 * 10 + 1 AS faculty_id, n_regionkey AS institution_id FROM nation),
 x AS (SELECT viewer_id, submission_id FROM v JOIN c USING (institution_id) JOIN sub ON sub.course_id = c.course_id WHERE role = 'admin'
  UNION SELECT viewer_id, submission_id FROM v JOIN c ON faculty_id = viewer_id JOIN sub ON sub.course_id = c.course_id WHERE role = 'faculty'
@@ -255,7 +258,7 @@ x AS (SELECT viewer_id, submission_id FROM v JOIN c USING (institution_id) JOIN
 SELECT viewer_id, count(*) AS n, sum(submission_id)::BIGINT AS total FROM x GROUP BY 1""")
 def r11(spark, d):
     i = F.col("c_custkey")
-    v = table(spark, d, "customer").where("c_custkey < 60").select(i.alias("viewer_id"), F.when(i % 10 == 0, "admin").when(i % 10 == 1, "faculty").otherwise("student").alias("role"), (i % 5).alias("institution_id"), F.concat(F.lit("r"), i.cast("string")).alias("roll"))
+    v = table(spark, d, "customer").select(i.alias("viewer_id"), F.when(i % 100 == 0, "admin").when(i % 10 == 1, "faculty").otherwise("student").alias("role"), (i % 5).alias("institution_id"), F.concat(F.lit("r"), i.cast("string")).alias("roll"))
     k = F.col("n_nationkey")
     c = table(spark, d, "nation").select(k.alias("course_id"), F.col("n_name").alias("course_code"), (k % 3 * 10 + 1).alias("faculty_id"), F.col("n_regionkey").alias("institution_id"))
     return r.visible_to(v, submissions(spark, d), c).groupBy("viewer_id").agg(F.count("*").alias("n"), F.sum("submission_id").alias("total"))
@@ -459,12 +462,12 @@ def e09(spark, d):
     return review.unread(noted(spark, d))
 
 
-@query("e10_inbox", f"""WITH {NOTES_SQL}, s AS (SELECT c_custkey AS student_id, CASE WHEN c_custkey < 20 THEN 'z' ELSE (c_custkey % 45)::VARCHAR END AS roll FROM customer WHERE c_custkey < 60),
+@query("e10_inbox", f"""WITH {NOTES_SQL}, s AS (SELECT c_custkey AS student_id, CASE WHEN c_custkey < 20 THEN 'z' ELSE (c_custkey % 45)::VARCHAR END AS roll FROM customer),
 w AS (SELECT student_id AS "to", submission_id, type, ts FROM notes), x AS (SELECT s.student_id, w.* FROM w JOIN s ON w."to" = s.student_id::VARCHAR UNION SELECT s.student_id, w.* FROM w JOIN s ON lower(w."to") = lower(s.roll))
 SELECT student_id, submission_id, type, row_number() OVER (PARTITION BY student_id ORDER BY ts DESC, submission_id, type) AS rank FROM x""")
 def e10(spark, d):
     i = F.col("c_custkey")
-    s = table(spark, d, "customer").where("c_custkey < 60").select(i.alias("student_id"), F.when(i < 20, "z").otherwise((i % 45).cast("string")).alias("roll"))
+    s = table(spark, d, "customer").select(i.alias("student_id"), F.when(i < 20, "z").otherwise((i % 45).cast("string")).alias("roll"))
     return review.inbox(review.notices(actions(spark, d)), s).select("student_id", "submission_id", "type", "rank")
 
 

@@ -11,7 +11,7 @@ from lapwing.operators.durable import durable
 from lapwing.plans import alignment_sql
 from lapwing.plans import sql as q
 from lapwing.plans.catalog_queries import sources
-from lapwing.plans.text_queries import CONTAIN_SQL, LISTS_SQL, PAIRS_SQL, SENTENCES_SQL, _CT, contain_sql, likely_pairs, table
+from lapwing.plans.text_queries import CONTAIN_SQL, KEYWORD_SCORES_SQL, LISTS_SQL, PAIRS_SQL, SENTENCES_SQL, VECTORS_SQL, _CT, contain_sql, likely_pairs, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -82,20 +82,24 @@ def cited(spark, d):
 
 _REF = r"(?is)([\r\n]+|^)\s*(references|bibliography|works cited)\s*[\r\n]+.*$"
 _ENTRY = citations.ENTRY
+_G = [f"regexp_extract_all(r, '{_ENTRY}', {i})" for i in (1, 2, 3, 4)]
+_ENTRIES = f"""list_filter(list_transform(list_zip({", ".join(_G)}), lambda z: {{'number': coalesce(try_cast(z[1] AS BIGINT), try_cast(z[2] AS BIGINT), try_cast(z[3] AS BIGINT)), 'text': trim(z[4])}}), lambda e: e.number IS NOT NULL)"""
 CITATION_SQL = f"""c AS ({CITED_SQL}), x AS (SELECT doc_id, text, regexp_replace(text, '{_REF}', '') AS b0 FROM c),
 y AS (SELECT doc_id, CASE WHEN length(b0) < length(text) THEN {q.strip('b0')} ELSE text END AS b, CASE WHEN length(b0) < length(text) THEN {q.strip('substr(text, length(b0) + 1)')} ELSE '' END AS r FROM x),
-sets AS (SELECT doc_id, len(regexp_extract_all(b, '\\[(\\d+)\\]', 1))::BIGINT AS n_citations, list_sort(list_distinct(list_transform(regexp_extract_all(b, '\\[(\\d+)\\]', 1), lambda v: v::INT))) AS cited,
- list_sort(list_distinct(list_filter(list_concat(list_transform(regexp_extract_all(r, '{_ENTRY}', 1), lambda v: try_cast(v AS INT)), list_transform(regexp_extract_all(r, '{_ENTRY}', 2), lambda v: try_cast(v AS INT)), list_transform(regexp_extract_all(r, '{_ENTRY}', 3), lambda v: try_cast(v AS INT))), lambda v: v IS NOT NULL))) AS listed,
+sets AS (SELECT doc_id, len(regexp_extract_all(b, '\\[(\\d+)\\]', 1))::BIGINT AS n_citations, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(b, '\\[(\\d+)\\]', 1), lambda v: try_cast(v AS BIGINT)), lambda v: v IS NOT NULL))) AS cited,
+ list_sort(list_distinct(list_filter(list_concat(list_transform(regexp_extract_all(r, '{_ENTRY}', 1), lambda v: try_cast(v AS BIGINT)), list_transform(regexp_extract_all(r, '{_ENTRY}', 2), lambda v: try_cast(v AS BIGINT)), list_transform(regexp_extract_all(r, '{_ENTRY}', 3), lambda v: try_cast(v AS BIGINT))), lambda v: v IS NOT NULL))) AS listed,
+ {_ENTRIES} AS ent,
  greatest(len(list_filter(regexp_split_to_array(r, '[\\r\\n]+'), lambda v: length(trim(v)) > 3)) - 1, 0)::BIGINT AS raw_lines, r <> '' AS has_references FROM y),
 issues AS (SELECT doc_id, unnest(list_concat(list_transform(list_filter(listed, lambda v: NOT list_contains(cited, v)), lambda v: 'ci-uncited-' || v),
  list_transform(CASE WHEN has_references AND len(listed) > 0 THEN list_filter(cited, lambda v: NOT list_contains(listed, v)) ELSE [] END, lambda v: 'ci-missing-bib-' || v),
  list_filter([CASE WHEN len(listed) = 0 AND raw_lines > 0 THEN 'ci-format-unnumbered' END, CASE WHEN len(cited) = 0 AND has_references THEN 'ci-no-intext-citations' END, CASE WHEN len(cited) > 0 AND NOT has_references THEN 'ci-missing-references-section' END], lambda v: v IS NOT NULL))) AS issue FROM sets)"""
 
 
-@query("b03_b04_citation_sets", f"WITH {CITATION_SQL} SELECT doc_id, n_citations, array_to_string(cited, ',') AS cited, array_to_string(listed, ',') AS listed, raw_lines, has_references FROM sets")
+@query("b03_b04_citation_sets", f"WITH {CITATION_SQL} SELECT doc_id, n_citations, array_to_string(cited, ',') AS cited, array_to_string(listed, ',') AS listed, array_to_string(list_transform(list_sort(list_filter(ent, lambda e, i: NOT list_contains(list_transform(list_slice(ent, i + 1, len(ent)), lambda o: o.number), e.number))), lambda e: e.number || ' ' || e.text), '|') AS entries, raw_lines, has_references FROM sets")
 def b03(spark, d):
     s = citations.citation_sets(cited(spark, d))
-    return s.withColumns({c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",") for c in ("cited", "listed")})
+    entries = F.array_join(F.transform("entries", lambda e: F.concat(e["number"].cast("string"), F.lit(" "), e["text"])), "|")
+    return s.withColumns({**{c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",") for c in ("cited", "listed")}, "entries": entries})
 
 
 @query("b05_b08_citation_issues", f"WITH {CITATION_SQL} SELECT * FROM issues")
@@ -119,10 +123,7 @@ def b10(spark, d):
 # --- retrieval and alignment ----------------------------------------------
 
 
-@query("c01_keyword_retrieval", f"""WITH q AS (SELECT doc_id AS query_id, unnest(list_distinct({_CT.format(q.toks('text'))})) AS token FROM documents WHERE doc_id % 20 = 0),
-s AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_CT.format(q.toks('text'))}) AS token FROM documents) GROUP BY 1, 2),
-r AS (SELECT query_id, doc_id, sum(tf)::BIGINT AS score FROM q JOIN s USING (token) WHERE query_id <> doc_id GROUP BY 1, 2 HAVING sum(tf) >= 3)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 12""")
+@query("c01_keyword_retrieval", f"WITH {KEYWORD_SCORES_SQL} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 12")
 def c01(spark, d):
     docs = table(spark, d, "documents")
     return candidates.keyword_retrieval(docs.where("doc_id % 20 = 0"), docs)
@@ -231,11 +232,11 @@ def a18(spark, d):
     )
 
 
-@query("a15_a17_levels", f"WITH {LISTS_SQL}, {PAIRS_SQL}, x AS (SELECT doc_a, doc_b, least(100, shared) AS o, shared % 70 AS s FROM pairs) SELECT doc_a, doc_b, CASE WHEN o >= 75 OR o / 2 >= 60 THEN 'strong' WHEN o >= 40 OR o / 3 >= 35 OR s >= 55 THEN 'moderate' WHEN o >= 15 OR s >= 35 THEN 'weak' ELSE 'ignored' END AS level, CASE WHEN o >= 70 THEN 'strong' WHEN o >= 40 OR s >= 55 THEN 'moderate' WHEN o >= 15 OR s >= 35 THEN 'weak' ELSE 'ignored' END AS peer FROM x")
+@query("a15_a17_levels", alignment_sql.A15)
 def a15(spark, d):
-    pairs, _ = likely_pairs(spark, d)
-    o, s = F.least(F.lit(100), "shared"), F.col("shared") % 70
-    return pairs.select("doc_a", "doc_b", align.pair_level(o, o / 2, o / 3, s).alias("level"), align.peer_level(o, s).alias("peer"))
+    c, _ = compared(spark, d)
+    o, s = F.col("overall"), F.col("semantic")
+    return c.select("doc_a", "doc_b", align.pair_level(o, F.col("strong"), F.col("moderate"), s).alias("level"), align.peer_level(o, s).alias("peer"))
 
 
 @query("a28_drafts", f"WITH w AS (SELECT doc_id, {q.toks('text')} AS a FROM documents UNION ALL SELECT -1 - doc_id, {q.toks('substr(text, 1, (length(text) * 70) // 100)')} FROM documents), rep AS (SELECT * FROM w), pairs AS (SELECT -1 - doc_id AS doc_a, doc_id AS doc_b FROM documents), {contain_sql()} SELECT -1 - doc_a AS doc_id, {q.js1('100 * sum(CASE WHEN n >= 10 THEN 4 WHEN n >= 7 THEN 3 WHEN n >= 5 THEN 2 ELSE 1 END * containment) / sum(CASE WHEN n >= 10 THEN 4 WHEN n >= 7 THEN 3 WHEN n >= 5 THEN 2 ELSE 1 END)')} AS overlap FROM cont GROUP BY 1")
@@ -320,16 +321,25 @@ ra AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, id
 SELECT doc_id, phrase, idx::BIGINT AS span, {q.js1('weight')} AS weight, kind, rank FROM ra WHERE rank <= 8"""
 
 
-@query("c03_distinctive_phrases", PHRASES_SQL.replace(" WHERE idx % 3 = 0)", ")"))
+@query("c03_distinctive_phrases", PHRASES_SQL.replace(SENTENCES_SQL, f"{alignment_sql.FLAGGED_SQL}, unmarked AS (SELECT * FROM fl WHERE NOT (is_quoted OR is_cited OR is_prompt OR is_formula))").replace("FROM spans WHERE idx % 3 = 0)", "FROM unmarked)"))
 def c03(spark, d):
     from lapwing.operators.discovery import distinctive_phrases
 
-    s = segment.sentence_spans(table(spark, d, "documents"))
-    no = F.lit(False)
-    p = distinctive_phrases(s.withColumns({c: no for c in ("is_quoted", "is_cited", "is_prompt", "is_formula")}))
+    p = distinctive_phrases(flagged(spark, d))
     return p.select("doc_id", "phrase", F.col("span").cast("long").alias("span"), t.js_round(F.col("weight"), 1).alias("weight"), "kind", "rank")
 
 
+def flagged(spark, d):
+    """The spans of the flag cases: quoted, cited, common and otherwise marked text among the documents' own."""
+    docs = table(spark, d, "documents").select("doc_id", alignment_sql.marked(F.col("doc_id"), F.col("text")).alias("text"))
+    return segment.span_flags(segment.in_quotes(segment.sentence_spans(docs), segment.quote_spans(docs)))
+
+
+@query("g02_span_flags", f"WITH {alignment_sql.FLAGGED_SQL} SELECT doc_id, idx::BIGINT AS idx, is_heading, is_prompt, is_formula, is_quoted, is_cited, is_common, in_quote FROM fl")
+def g02_flags(spark, d):
+    return flagged(spark, d).select("doc_id", F.col("idx").cast("long").alias("idx"), "is_heading", "is_prompt", "is_formula", "is_quoted", "is_cited", "is_common", "in_quote")
+
+
 _COMPARED = ["doc_a", "doc_b", "overall", "strong", "moderate", "semantic", "level", "confidence"]
 
 
@@ -354,18 +364,24 @@ def a16(spark, d):
     return cohort(x.union(x.select(F.col("doc_b").alias("doc_a"), F.col("doc_a").alias("doc_b"))), docs).select(*_COMPARED, "rank")
 
 
-EVAL_SQL = f"""WITH {LISTS_SQL}, {PAIRS_SQL}, {CONTAIN_SQL}, ov AS (SELECT doc_a, doc_b, {q.js1('100 * sum(CASE WHEN n >= 10 THEN 4 WHEN n >= 7 THEN 3 WHEN n >= 5 THEN 2 ELSE 1 END * containment) / sum(CASE WHEN n >= 10 THEN 4 WHEN n >= 7 THEN 3 WHEN n >= 5 THEN 2 ELSE 1 END)')} AS overlap FROM cont GROUP BY 1, 2),
-ca AS (SELECT ov.doc_a, ov.doc_b, overlap, quality = 1 AS expected, toxic, shared % 80 AS semantic FROM ov JOIN labels ON labels.doc_id = ov.doc_a JOIN pairs ON pairs.doc_a = ov.doc_a AND pairs.doc_b = ov.doc_b),
+EVAL_SQL = f"""WITH {LISTS_SQL}, {PAIRS_SQL}, {CONTAIN_SQL}, dvec AS (WITH {VECTORS_SQL} SELECT * FROM vec),
+dsm AS (SELECT doc_a, doc_b, {q.js1('least(1, greatest(0, coalesce(sum(x.w * y.w), 0))) * 100')} AS semantic FROM pairs LEFT JOIN dvec x ON x.id = doc_a LEFT JOIN dvec y ON y.id = doc_b AND y.bucket = x.bucket GROUP BY 1, 2),
+ov AS (SELECT doc_a, doc_b, {q.js1('100 * sum(CASE WHEN n >= 10 THEN 4 WHEN n >= 7 THEN 3 WHEN n >= 5 THEN 2 ELSE 1 END * containment) / sum(CASE WHEN n >= 10 THEN 4 WHEN n >= 7 THEN 3 WHEN n >= 5 THEN 2 ELSE 1 END)')} AS overlap FROM cont GROUP BY 1, 2),
+ca AS (SELECT ov.doc_a, ov.doc_b, overlap, quality = 1 AS expected, toxic, semantic FROM ov JOIN labels ON labels.doc_id = ov.doc_a JOIN dsm ON dsm.doc_a = ov.doc_a AND dsm.doc_b = ov.doc_b),
 oc AS (SELECT *, CASE WHEN expected AND overlap >= 25 THEN 'true_positive' WHEN expected THEN 'false_negative' WHEN overlap <= 25 THEN 'true_negative' ELSE 'false_positive' END AS outcome, overlap BETWEEN 5 AND 90 AS passed FROM ca)"""
 
 
 def evaluated(spark, d):
     """Candidate pairs as cases: the label of the first document stands for what is expected of the pair."""
-    from lapwing.operators import evaluation
+    from lapwing.operators import evaluation, vectors
 
     pairs, lists = likely_pairs(spark, d)
-    x = shingles.weighted_overlap(shingles.containment(pairs, lists)).join(pairs, ["doc_a", "doc_b"])
-    x = x.join(table(spark, d, "labels").select(F.col("doc_id").alias("doc_a"), (F.col("quality") == 1).alias("expected"), "toxic"), "doc_a").withColumn("semantic", F.col("shared") % 80)
+    pairs = durable(pairs.select("doc_a", "doc_b"), "pairs")
+    docs = table(spark, d, "documents")
+    need = pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")).distinct()
+    semantic = vectors.cosine(pairs, vectors.embed(docs.join(need, "doc_id", "left_semi")))
+    x = shingles.weighted_overlap(shingles.containment(pairs, lists)).join(semantic, ["doc_a", "doc_b"])
+    x = x.join(table(spark, d, "labels").select(F.col("doc_id").alias("doc_a"), (F.col("quality") == 1).alias("expected"), "toxic"), "doc_a")
     return x.withColumns({"outcome": evaluation.outcome(F.col("expected"), F.col("overlap")), "passed": evaluation.in_band(F.col("overlap"), F.lit(5), F.lit(90))})
 
 
@@ -393,20 +409,20 @@ def q03(spark, d):
     return x.select("doc_a", "doc_b", evaluation.three_class_outcome(what, o, s, level).alias("outcome"), evaluation.audit_verdict(kind, o, s, level).alias("verdict"))
 
 
-@query("q05_providers", f"{EVAL_SQL} SELECT doc_a || '-' || doc_b AS case_id, overlap AS shingles, semantic::DOUBLE AS shared, greatest(overlap, semantic) - least(overlap, semantic) AS spread FROM oc")
+@query("q05_providers", f"{EVAL_SQL} SELECT doc_a || '-' || doc_b AS case_id, overlap AS shingles, semantic AS vectors, greatest(overlap, semantic) - least(overlap, semantic) AS spread FROM oc")
 def q05(spark, d):
     from lapwing.operators import evaluation
 
-    x = evaluated(spark, d).select(F.concat_ws("-", "doc_a", "doc_b").alias("case_id"), "overlap", F.col("semantic").cast("double").alias("semantic"))
-    both = x.select("case_id", F.lit("shingles").alias("provider"), F.col("overlap").alias("semantic")).union(x.select("case_id", F.lit("shared"), "semantic"))
-    return evaluation.providers_side_by_side(both, ["shingles", "shared"])
+    x = evaluated(spark, d).select(F.concat_ws("-", "doc_a", "doc_b").alias("case_id"), "overlap", "semantic")
+    both = x.select("case_id", F.lit("shingles").alias("provider"), F.col("overlap").alias("semantic")).union(x.select("case_id", F.lit("vectors"), "semantic"))
+    return evaluation.providers_side_by_side(both, ["shingles", "vectors"])
 
 
-@query("q06_invariants", f"{EVAL_SQL} SELECT unnest(['overlap', 'label', 'semantic']) AS rule, unnest([count(*) FILTER (NOT overlap BETWEEN 0 AND 100), count(*) FILTER (toxic NOT IN (0, 1)), count(*) FILTER (NOT semantic < 70)]) AS n FROM oc")
+@query("q06_invariants", f"{EVAL_SQL} SELECT unnest(['overlap', 'label', 'semantic']) AS rule, unnest([count(*) FILTER (NOT overlap BETWEEN 0 AND 100), count(*) FILTER (toxic NOT IN (0, 1)), count(*) FILTER (NOT semantic BETWEEN 0 AND 100)]) AS n FROM oc")
 def q06(spark, d):
     from lapwing.operators import evaluation
 
-    return evaluation.invariants(evaluated(spark, d), {"overlap": F.col("overlap").between(0, 100), "label": F.col("toxic").isin(0, 1), "semantic": F.col("semantic") < 70})
+    return evaluation.invariants(evaluated(spark, d), {"overlap": F.col("overlap").between(0, 100), "label": F.col("toxic").isin(0, 1), "semantic": F.col("semantic").between(0, 100)})
 
 
 @query("g10_t09_evidence", f"""WITH {SENTENCES_SQL}, pm AS (SELECT doc_id, substr(text, 1, 400) AS prompt FROM documents), nt AS (SELECT spans.doc_id, idx, text, {q.norm('text')} AS n, {q.norm('prompt')} AS pn, length({q.strip('prompt')}) AS pl, idx * 13 % 101 AS score FROM spans JOIN pm USING (doc_id)),

@@ -277,7 +277,9 @@ def x02(spark, d):
 PAIRS_SQL = f"""cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY array_to_string(a, ' ')) AS class_id FROM w WHERE len(a) > 0),
 rep AS (SELECT w.* FROM w JOIN cls USING (doc_id) WHERE doc_id = class_id),
 s5 AS (SELECT DISTINCT doc_id, shingle FROM ({shingles_sql(5, "rep")})),
-pairs AS (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS shared FROM s5 x JOIN s5 y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= {shingles.MIN_SHARED})"""
+s5n AS (SELECT doc_id, count(*) AS n FROM s5 GROUP BY 1),
+pairs AS (SELECT doc_a, doc_b, shared FROM (SELECT x.doc_id AS doc_a, y.doc_id AS doc_b, count(*) AS shared FROM s5 x JOIN s5 y USING (shingle) WHERE x.doc_id < y.doc_id GROUP BY 1, 2)
+  JOIN s5n na ON na.doc_id = doc_a JOIN s5n nb ON nb.doc_id = doc_b WHERE shared >= {shingles.LEAST_SHARE} * least(na.n, nb.n))"""
 
 
 def contain_sql(sizes=SIZES) -> str:
@@ -292,7 +294,7 @@ CONTAIN_SQL = contain_sql()
 
 
 def likely_pairs(spark, d):
-    """Pairs of different texts with ``MIN_SHARED`` shingles in common, each text standing for its copies; and the token lists."""
+    """Pairs of different texts with enough shingles in common, each text standing for its copies; and the token lists."""
     lists = shingles.token_lists(table(spark, d, "documents"))
     return shingles.candidate_pairs(lists), lists
 
@@ -342,6 +344,11 @@ def x06(spark, d):
 
 _CT = "list_filter({0}, lambda x: length(x) > 1 AND NOT list_contains(%s, x))" % q.array(lexicon.STOPWORDS)
 
+#: Sources by the content tokens that they share with every 20th document.
+KEYWORD_SCORES_SQL = f"""q AS (SELECT doc_id AS query_id, unnest(list_distinct({_CT.format(q.toks('text'))})) AS token FROM documents WHERE doc_id % 20 = 0),
+s AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_CT.format(q.toks('text'))}) AS token FROM documents) GROUP BY 1, 2),
+r AS (SELECT query_id, doc_id, sum(tf)::BIGINT AS score FROM q JOIN s USING (token) WHERE query_id <> doc_id GROUP BY 1, 2 HAVING sum(tf) >= 3)"""
+
 #: Of each span of a pair's first text the spans of the second with most content tokens in common.
 CANDIDATES_SQL = f"""{SENTENCES_SQL.strip()}, {LISTS_SQL}, {PAIRS_SQL},
 tk AS (SELECT doc_id, idx, token, count(*) AS tf, min(k) AS k FROM (SELECT doc_id, idx, unnest(c) AS token, unnest(generate_series(1, len(c))) AS k FROM (SELECT doc_id, idx, {_CT.format(q.toks('text'))} AS c FROM spans)) GROUP BY 1, 2, 3),

@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from lapwing.operators import shingles
 
-INDEX = "batch long, doc_id long, h long"
+INDEX = "batch long, doc_id long, h long, n long"
 
 
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,7 +21,7 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def screen_batch(batch: DataFrame, batch_id: int, index: str, matches: str, n: int = 5, min_shared: int = shingles.MIN_SHARED) -> None:
+def screen_batch(batch: DataFrame, batch_id: int, index: str, matches: str, n: int = 5, share: float = shingles.LEAST_SHARE) -> None:
     """Match the documents ``doc_id, text`` of one micro-batch with all that came before them and with each other.
 
     Writes ``doc_id, source_id, shared, shingles`` and the batch's postings to
@@ -31,13 +31,14 @@ def screen_batch(batch: DataFrame, batch_id: int, index: str, matches: str, n: i
     spark = batch.sparkSession
     lists = shingles.token_lists(batch)
     new = shingles.shingles(lists, n).select("doc_id", F.xxhash64("shingle").alias("h")).distinct()
+    new = new.join(new.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
     new.write.mode("overwrite").parquet(f"{index}/batch={batch_id}")
-    new = spark.read.schema("doc_id long, h long").parquet(f"{index}/batch={batch_id}")
-    old = _stored(spark, index, INDEX).where(F.col("batch") < batch_id).select(F.col("doc_id").alias("source_id"), "h")
-    every = old.union(new.select(F.col("doc_id").alias("source_id"), "h"))
-    size = new.groupBy("doc_id").agg(F.count("*").alias("shingles"))
-    hit = new.join(every, "h").where("source_id <> doc_id").groupBy("doc_id", "source_id").agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
-    hit.join(size, "doc_id").write.mode("overwrite").parquet(f"{matches}/batch={batch_id}")
+    new = spark.read.schema("doc_id long, h long, n long").parquet(f"{index}/batch={batch_id}")
+    named = (F.col("doc_id").alias("source_id"), "h", F.col("n").alias("source_n"))
+    old = _stored(spark, index, INDEX).where(F.col("batch") < batch_id).select(*named)
+    every = old.union(new.select(*named))
+    hit = new.join(every, "h").where("source_id <> doc_id").groupBy("doc_id", "source_id").agg(F.count("*").alias("shared"), F.first("n").alias("shingles"), F.first("source_n").alias("source_n"))
+    hit.where(F.col("shared") >= share * F.least("shingles", "source_n")).drop("source_n").write.mode("overwrite").parquet(f"{matches}/batch={batch_id}")
 
 
 def screen_stream(arriving: DataFrame, index: str, matches: str, checkpoint: str, **options) -> StreamingQuery:

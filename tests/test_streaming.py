@@ -17,7 +17,9 @@ def test_arriving_documents_meet_all_earlier_ones(spark, tmp_path):
     got = {(min(r["doc_id"], r["source_id"]), max(r["doc_id"], r["source_id"]), r["shared"]) for r in screening.read_matches(spark, f"{tmp_path}/matches").collect()}
     s = shingles.shingles(shingles.token_lists(docs), 5).select("doc_id", "shingle").distinct()
     t = s.withColumnRenamed("doc_id", "other")
-    want = s.join(t, "shingle").where("doc_id < other").groupBy("doc_id", "other").count().where(f"count >= {shingles.MIN_SHARED}")
+    n = s.groupBy("doc_id").agg(F.count("*").alias("n"))
+    want = s.join(t, "shingle").where("doc_id < other").groupBy("doc_id", "other").count().join(n, "doc_id").join(n.toDF("other", "m"), "other")
+    want = want.where(f"count >= {shingles.LEAST_SHARE} * least(n, m)").select("doc_id", "other", "count")
     assert got == {tuple(r) for r in want.collect()} and got
     before = screening.read_matches(spark, f"{tmp_path}/matches").count()
     last = docs.where("doc_id % 3 = 2")  # a batch that is run again writes the same rows
