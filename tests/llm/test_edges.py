@@ -115,3 +115,18 @@ def test_columns_of_clashing_names(spark):
         more = [F.lit(1).alias(c) for c in ("at", "level", "status", "rules")]
         out.append(key(tool_calls.link_tool_calls(calls.select("*", *more), results.select("*", *more), tool_calls.chat_schemas(spark))))
     assert out[0] == out[1]
+
+
+def test_mirrored_pages_keep_their_text(spark):
+    """Three urls with one undeclared article are copies; runs that pages of different streams share still go."""
+    from lapwing.llm import html_text
+
+    article = " ".join(f"word{i}" for i in range(30))
+    footer = " ".join(f"common{i}" for i in range(12))
+    rows = [(i, f"https://a.example/{i}", f"<body><div>{article}</div></body>") for i in range(3)]
+    rows += [(10 + i, f"https://b.example/{i}", f"<body><div>own{i} text{i} here{i}</div><div>{footer}</div></body>") for i in range(3)]
+    rows += [(20, "https://b.example/only", f"<body><div>{footer}</div></body>")]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == [article] * 3
+    assert [got[10 + i] for i in range(3)] == [f"own{i} text{i} here{i}" for i in range(3)]
+    assert got[20] == footer

@@ -338,11 +338,11 @@ def test_repeated_runs_against_a_plain_search(spark):
         for a in range(len(own)):
             for b in range(a + 8, len(own) + 1):
                 part = own[a:b]
-                n = sum(host(v) == host(u) and any(x[k : k + len(part)] == part for k in range(len(x))) for (_, v), x in streams.items())
+                n = len({tuple(x) for (_, v), x in streams.items() if host(v) == host(u) and any(x[k : k + len(part)] == part for k in range(len(x)))})
                 if n < 3:
                     break
                 gone.update(range(a, b))
-        return " ".join(t for k, t in enumerate(own) if k not in gone)
+        return " ".join(t for k, t in enumerate(own) if k not in gone or len(gone) == len(own))
 
     df = spark.createDataFrame([(i, u, make_page(p), "c", "d") for i, u, p in pages], "page_id long, url string, html string, text string, host string")
     got = html_text.main_text(df.repartition(5)).collect()

@@ -95,3 +95,37 @@ def test_decontamination_judges_rows_apart(spark, tmp_path):
     want = [r for r in rows if not any(tuple(w[i : i + 10]) in windows for w in [(r[1] or "").split()] for i in range(len(w)))]
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.decontamination_stage(spark, make(spark, rows), str(tmp_path)).collect()]
     assert sorted(got, key=key) == sorted(want, key=key) and len(want) == 6
+
+
+CLASHING = DOCS + ", _key string, _rk string, _bits string, _part string, key string, row string, rk string, n long"
+
+
+def test_stages_with_clashing_columns_nulls_and_empty_tables(spark, tmp_path):
+    """Columns of the helpers' names stay; null ids, sources and texts, empty and very long texts pass; an empty table gives none."""
+    rng = random.Random(9)
+    spark.createDataFrame([(1, " ".join(words(rng, 12)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [" ".join(words(rng, 40)) for _ in range(6)] + [None, "", " ".join(words(rng, 60_000))]
+    rows = [(i if i != 2 else None, t, "en", None if i == 3 else "s", None, "k", "r", "b", "p", "x", "y", "z", i) for i, t in enumerate(texts)]
+    rows.append((100, texts[0], *rows[0][2:]))  # a copy
+    docs = spark.createDataFrame(rows, CLASHING)
+    stages = [corpus_pipeline.near_dedup_stage, corpus_pipeline.decontamination_stage, corpus_pipeline.mixing_stage]
+    for stage in stages:
+        assert stage(spark, docs.limit(0), str(tmp_path)).columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        docs = stage(spark, docs, str(tmp_path))
+        assert {tuple(r)[5:12] for r in docs.collect()} == {("k", "r", "b", "p", "x", "y", "z")}
+    assert {r["doc_id"] for r in docs.collect()} == {0, 1, None, 3, 4, 5, 8}
+    out = corpus_pipeline.token_stage(spark, docs, str(tmp_path)).collect()
+    assert len(out) == 7 and sorted(r["start"] for r in out)[0] == 0
+    assert corpus_pipeline.token_stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_run_keeps_clean_documents(spark):
+    """All stages in a row on the smallest tables: ids that stay are the table's, and copies, leaks and toxic texts are fewer."""
+    sf = "/root/testdata/sf0.001"
+    before = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    got = corpus_pipeline.run(spark, sf).collect()
+    ids = [r["doc_id"] for r in got]
+    assert len(ids) == len(set(ids)) and set(ids) < before and len(ids) > len(before) / 2
+    starts = sorted((r["start"], r["n_tokens"]) for r in got)
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
