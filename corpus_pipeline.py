@@ -24,14 +24,18 @@ from lapwing.llm.toxicity import fit_toxicity, without_toxic
 SIMILARITY, ROWS = 80, 7
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``key, row``: the rows of ``docs`` in one column, so that their own columns may have any names."""
+    return docs.select(row_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose :func:`row_key` is in the one column of ``keys``."""
-    keys = keys.toDF("_rk").distinct()
-    return docs.withColumn("_key", row_key()).join(keys, F.col("_key") == F.col("_rk"), "left_semi").drop("_key")
+    return _keyed(docs).join(keys.toDF("key").distinct(), "key", "left_semi").select("row.*")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; null and empty texts are scored like others, repeated rows alike."""
     labels = table(spark, sf_dir, "labels").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) != 1)
     return without_toxic(docs, fit_toxicity(docs, labels))
 
@@ -50,23 +54,26 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rk", (F.when(F.col("n_shingles") > 0, F.col("n")).otherwise(1) > 1).alias("again")))
     stay = cut(found.join(ids, "rk").groupBy("component").agg(first.alias("c")).select("c.rk", "c.again"), "stay")
     once = _only(docs, stay.where("not again").select("rk"))
-    again = rows_of(docs.withColumn("_key", row_key()), "_key", stay.where("again").select("rk")).dropDuplicates(["_key"]).drop("_key")
+    again = rows_of(_keyed(docs), "key", stay.where("again").select("rk")).dropDuplicates(["key"]).select("row.*")
     return once.union(again)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and wordless texts hold none and stay, and rows of one id are judged apart."""
     return _only(docs, contamination(docs, table(spark, sf_dir, "benchmark"), key=True).where("not contaminated").select("rk"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts become the words that the mix takes of them."""
+    """Texts become the words that the mix takes of them; those of which it takes none, null and wordless ones among them, are left out.
+
+    A null source is one like others.  Repeated rows are each packed.
+    """
     out = Mixture(docs).texts(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left, and what they hold of each document."""
+    """Token files of what is left, and what they hold of each document: ids ascending, null first, repeated ids by text."""
     return token_files(docs, vocabulary())
 
 
