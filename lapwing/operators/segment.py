@@ -120,19 +120,50 @@ def segmented(docs: DataFrame, prompt: Column | None = None) -> DataFrame:
     return rechunked(s).withColumn("tokens", t.tokens(F.col("text")))
 
 
-def attributed(blocks: DataFrame, passages: DataFrame, shown: int = 35, least: int = 15) -> DataFrame:
+def _overlapping(b: DataFrame, p: DataFrame, width: int) -> DataFrame:
+    """``doc_id, idx, passage`` of blocks and placed passages that share characters.
+
+    Both lie in bins of ``width`` characters of their document, and meet in each
+    that they share; the first of these decides, so that a pair comes once.
+    """
+    def binned(x, first, last):
+        return x.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(first) / width), F.floor((F.col(last) - 1) / width))))
+
+    x = binned(b.where("_bs < _be"), "_bs", "_be").select("doc_id", "_bin", "idx", "_bs", "_be")
+    y = binned(p.where("start_char < end_char"), "start_char", "end_char").select("doc_id", "_bin", "passage", "start_char", "end_char")
+    met = x.join(y, ["doc_id", "_bin"]).where(F.col("_bin") == F.floor(F.greatest("_bs", "start_char") / width))
+    return met.where(F.greatest("_bs", "start_char") < F.least("_be", "end_char")).select("doc_id", "idx", "passage")
+
+
+def _holding(texts: DataFrame, openings: DataFrame, gram: int = 15) -> DataFrame:
+    """``doc_id, t, o`` of ``texts(doc_id, t, text)`` that hold one of their document's ``openings(doc_id, o, opening)``.
+
+    An opening is looked up by its first ``gram`` characters among all stretches of
+    that length in the texts, or by all of it where it is shorter; then the whole decides.
+    """
+    o = openings.withColumn("_n", F.least(F.length("opening"), F.lit(gram))).withColumn("_key", F.substring("opening", F.lit(1), F.col("_n")))
+    sizes = o.groupBy("doc_id").agg(F.collect_set("_n").alias("_sizes"))  # `gram` numbers at most
+    x = texts.join(sizes, "doc_id").withColumn("_n", F.explode("_sizes"))
+    places = F.when(F.length("text") >= F.col("_n"), F.sequence(F.lit(1), F.length("text") - F.greatest("_n", F.lit(1)) + 1)).otherwise(F.array().cast("array<int>"))
+    x = x.withColumn("_key", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col("text"), i, F.col("_n"))))))
+    return x.join(o, ["doc_id", "_n", "_key"]).where(F.contains("text", "opening")).select("doc_id", "t", "o")
+
+
+def attributed(blocks: DataFrame, passages: DataFrame, shown: int = 35, least: int = 15, width: int = 1024) -> DataFrame:
     """``doc_id, idx, passage``: of each block the first passage that overlaps its characters or, if a passage has no
     place, whose opening the block holds, or the other way round.
 
     ``blocks``: doc_id, idx, text, start_char, end_char.  ``passages``: doc_id, passage, start_char, end_char, text.
+    Neither way compares all blocks of a document with all of its passages.
     """
-    b = blocks.select("doc_id", "idx", F.col("text").alias("_b"), F.col("start_char").alias("_bs"), F.col("end_char").alias("_be"))
-    x = b.join(passages, "doc_id")
-    p, q = F.lower(t.strip_space(F.col("_b"))), F.lower(t.strip_space(F.col("text")))
+    b = blocks.select("doc_id", "idx", F.lower(t.strip_space(F.col("text"))).alias("_b"), F.col("start_char").alias("_bs"), F.col("end_char").alias("_be"))
     placed = F.col("start_char").isNotNull() & F.col("end_char").isNotNull()
-    overlap = F.greatest("_bs", "start_char") < F.least("_be", "end_char")
-    alike = (F.length(q) >= least) & (F.contains(p, F.substring(q, 1, shown)) | F.contains(q, F.substring(p, 1, shown)))
-    hit = x.where(F.when(placed, overlap).otherwise(F.coalesce(alike, F.lit(False))))
+    hit = _overlapping(b, passages.where(placed), width)
+    q = passages.where(~placed).select("doc_id", "passage", F.lower(t.strip_space(F.col("text"))).alias("_q")).where(F.length("_q") >= least)
+    held = _holding(b.select("doc_id", F.col("idx").alias("t"), F.col("_b").alias("text")), q.select("doc_id", F.col("passage").alias("o"), F.substring("_q", 1, shown).alias("opening")))
+    hit = hit.union(held.select("doc_id", F.col("t").alias("idx"), F.col("o").alias("passage")))
+    held = _holding(q.select("doc_id", F.col("passage").alias("t"), F.col("_q").alias("text")), b.select("doc_id", F.col("idx").alias("o"), F.substring("_b", 1, shown).alias("opening")))
+    hit = hit.union(held.select("doc_id", F.col("o").alias("idx"), F.col("t").alias("passage")))
     return hit.groupBy("doc_id", "idx").agg(F.min("passage").alias("passage"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lapwing.functions.text import content_tokens, fnv1a_abs, js_round, stem, synonym
+from lapwing.operators.durable import durable
 
 BUCKETS = 8192
 
@@ -37,7 +40,7 @@ def cosine(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def dense_cosine(a: Column, b: Column) -> Column:
     """Of two dense unit vectors, in per cent; 0 if their lengths differ."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    dot = _dot(a, b)
     return F.when(F.size(a) != F.size(b), 0.0).otherwise(js_round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), dot)) * 100, 1))
 
 
@@ -47,18 +50,69 @@ def mean_pool(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFr
     return x.select(key, "dim", (F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(Window.partitionBy(key)))).alias("w"))
 
 
-def search(queries: DataFrame, vectors: DataFrame, block: int = 64) -> DataFrame:
-    """``query_id, vec_id, semantic`` of each query with every other vector: a stated query set against all rows.
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+#: What rounding may add to distances of unit vectors, whose squares are exact to some millionths.
+_SLACK = 5e-3
 
-    Queries are gathered in blocks, and each block meets all vectors by a
-    repartition of them over the blocks, so that a task holds a block of queries.
+
+class VectorIndex:
+    """Exact search by similarity among unit vectors ``vec_id, embedding``.
+
+    Each vector belongs to the nearest of at most ``pivots`` vectors, picked by hash,
+    and keeps its distance to it.  The triangle inequality tells of a query which
+    pivots' vectors, and which of these, can be as near as the ``k`` nearest that
+    the query's own pivots give; only they are compared.  A pivot's vectors are
+    dealt over blocks, so that no pivot is a task of its own.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    v = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    met = q.join(v, "block").where("query_id <> vec_id")
-    return met.select("query_id", "vec_id", dense_cosine(F.col("q"), F.col("embedding")).alias("semantic"))
+
+    def __init__(self, vectors: DataFrame, pivots: int = 256, block: int = 4096):
+        n = vectors.count()
+        few = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(pivots, math.isqrt(n))))
+        one = few.agg(F.collect_list(F.struct(F.col("vec_id").alias("pivot"), "embedding")).alias("pivots"))  # `pivots` vectors at most
+        self.pivots = durable(one, "pivots")
+        v = vectors.select("vec_id", "embedding").crossJoin(F.broadcast(self.pivots))  # one row
+        near = F.array_max(F.transform("pivots", lambda p: F.struct(_dot(F.col("embedding"), p["embedding"]).alias("dot"), p["pivot"].alias("pivot"))))
+        v = durable(v.select("vec_id", "embedding", near.alias("near")), "near").select("vec_id", "embedding", F.col("near.pivot").alias("pivot"), _distance(F.col("near.dot")).alias("away"))
+        size = v.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.min("away").alias("inner"), F.max("away").alias("outer"))
+        self.cells = durable(size, "cells")
+        v = v.join(self.cells.select("pivot", "blocks"), "pivot").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
+        self.vectors = durable(v, "vectors", "pivot", "block")
+
+    def _met(self, visits: DataFrame) -> DataFrame:
+        """``query_id, vec_id, dot`` of ``visits(query_id, q, pivot, away, bound)``: vectors of these pivots that the bound admits."""
+        x = visits.join(self.cells.select("pivot", "blocks"), "pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        v = self.vectors.withColumnRenamed("away", "v_away")
+        x = x.join(v, ["pivot", "block"]).where((F.col("query_id") != F.col("vec_id")) & (F.abs(F.col("away") - F.col("v_away")) <= F.col("bound") + _SLACK))
+        return x.select("query_id", "vec_id", _dot(F.col("q"), F.col("embedding")).alias("dot"))
+
+    def search(self, queries: DataFrame, k: int = 10) -> tuple[DataFrame, DataFrame]:
+        """The ``k`` nearest other vectors of each of ``queries(vec_id, embedding)``: ``query_id, vec_id, semantic, rank``; and
+        ``query_id, scored``, with how many each was compared.
+
+        Nearest first, of equal ones the smaller id.  Queries of another length than the vectors' find nothing.
+        """
+        q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).crossJoin(F.broadcast(self.pivots))  # one row
+        q = q.select("query_id", "q", F.explode(F.transform("pivots", lambda p: F.struct(p["pivot"].alias("pivot"), _distance(_dot(F.col("q"), p["embedding"])).alias("away")))).alias("p"))
+        q = q.select("query_id", "q", "p.*").join(F.broadcast(self.cells.select("pivot", "inner", "outer")), "pivot")  # a row a pivot
+        q = durable(q.withColumn("least", F.greatest(F.lit(0.0), F.col("away") - F.col("outer"), F.col("inner") - F.col("away"))), "queries")
+        order = Window.partitionBy("query_id").orderBy("away", "pivot")  # a row a pivot
+        first = q.withColumn("nth", F.row_number().over(order)).where("nth <= 2").withColumn("bound", F.lit(2.0))
+        best = Window.partitionBy("query_id").orderBy(F.desc("dot"), "vec_id")
+        seen = self._met(first).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        bound = seen.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max(_distance(F.col("dot")))).otherwise(2.0).alias("bound"))
+        left = q.join(bound, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(2.0))).where(F.col("least") <= F.col("bound") + _SLACK)
+        met = durable(self._met(left), "compared")
+        found = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        semantic = js_round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("dot"))) * 100, 1)
+        return found.select("query_id", "vec_id", semantic.alias("semantic"), "rank"), met.groupBy("query_id").agg(F.count("*").alias("scored"))
+
+
+def _distance(dot: Column) -> Column:
+    """Of unit vectors with this dot product."""
+    return F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot))
 
 
 def embed_distinct(texts: DataFrame, id_col: str, text: str, batch) -> DataFrame:
