@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lapwing.operators.durable import durable
+
 from lapwing.functions.text import js_round
 
 
@@ -319,10 +321,15 @@ def resolve_alias(keys: DataFrame, rows: DataFrame, ident: str) -> DataFrame:
     """``key`` and the row that it names: by id whatever the case, else ``sub-N`` as the N-th row in the order of ids."""
     k = keys.select("key", F.lower("key").alias("k")).distinct()
     by_id = k.join(rows.select(F.lower(F.col(ident).cast("string")).alias("k"), F.col(ident).cast("string").alias("id")), "k").select("key", "id", F.lit(0).alias("by"))
-    # numbered rows are only as many as the largest alias asks for
-    most = k.agg(F.max(F.regexp_extract("k", r"^sub-(\d+)$", 1).try_cast("int")).alias("n")).first()["n"] or 0
-    nth = rows.select(ident).orderBy(ident).limit(most).select(F.col(ident).cast("string").alias("id"), F.row_number().over(Window.orderBy(ident)).alias("n"))
-    by_alias = k.withColumn("n", F.regexp_extract("k", r"^sub-(\d+)$", 1).try_cast("int")).join(nth, "n").select("key", "id", F.lit(1).alias("by"))
+    # the N-th row is the one at some place of one of the ranges that the ids are dealt by
+    x = durable(rows.select(F.col(ident).alias("i")).repartitionByRange("i").withColumn("range", F.spark_partition_id()), "ranges")
+    size = x.groupBy("range").agg(F.count("*").alias("size"))
+    upto = Window.orderBy("range")  # a row a range
+    size = size.withColumn("base", F.sum("size").over(upto) - F.col("size"))
+    n = k.withColumn("n", F.regexp_extract("k", r"^sub-(\d+)$", 1).try_cast("long")).where("n is not null")
+    n = n.join(F.broadcast(size), (F.col("n") > F.col("base")) & (F.col("n") <= F.col("base") + F.col("size"))).select("key", "range", (F.col("n") - F.col("base")).alias("place"))
+    nth = x.select("range", F.col("i").cast("string").alias("id"), F.row_number().over(Window.partitionBy("range").orderBy("i")).cast("long").alias("place"))
+    by_alias = n.join(nth, ["range", "place"]).select("key", "id", F.lit(1).alias("by"))
     return by_id.union(by_alias).groupBy("key").agg(F.min_by("id", "by").alias("id"))
 
 

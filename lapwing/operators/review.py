@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lapwing.operators.durable import durable
+
 #: The states that may follow each; a state may always repeat.
 TRANSITIONS = {
     "pending": ("in_review", "explanation_requested", "reviewed", "dismissed", "escalated"),
@@ -32,22 +34,41 @@ def audit_trail(events: DataFrame) -> DataFrame:
     return x.withColumn("legal", is_legal(F.col("previous"), F.col("state")))
 
 
-def current_state(events: DataFrame) -> DataFrame:
+#: Events that are folded in one list.
+CHUNK = 4096
+
+
+def current_state(events: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The latest *accepted* event of each case: those of steps that the table forbids from the state before leave the state as it is.
 
-    Whether a step is accepted depends on the last accepted one, so a case's
-    events are folded in their order; they are as many as one case has.
+    Whether a step is accepted depends on the last accepted one, but what a stretch
+    of events does is a map from the few states before it to those after, and such
+    maps compose.  Events are sorted by ranges; each ``chunk`` of a case is folded
+    from every state at once, and a case's chunks are put together in their order.
     """
     legal = F.create_map(*[F.lit(v) for a, bs in TRANSITIONS.items() for v in (f"{a}", "|".join((a, *bs)))])
-    start = F.struct(F.lit("pending").alias("state"), F.lit(None).cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("accepted"))
+    when, none = F.lit(None).cast("timestamp"), F.lit(0).cast("long")
 
     def step(acc, e):
         ok = F.array_contains(F.split(F.try_element_at(legal, acc["state"]), r"\|"), e["state"])
         new = F.struct(e["state"].alias("state"), e["ts"].cast("timestamp").alias("ts"), (acc["accepted"] + 1).alias("accepted"))
         return F.when(F.coalesce(ok, F.lit(False)), new).otherwise(acc)
 
-    x = events.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "state"))).alias("e"))
-    return x.select("case_id", F.aggregate("e", start, step).alias("s"), F.size("e").cast("long").alias("n_events")).select("case_id", "s.state", "s.ts", "s.accepted", "n_events")
+    order = ["case_id", "ts", "event_id"]
+    x = durable(events.select(*order, "state").repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "events")
+    nth = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    x = x.withColumn("part", F.floor(nth / chunk)).groupBy("case_id", "range", "part").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "state"))).alias("e"))
+    effects = [F.aggregate("e", F.struct(F.lit(s).alias("state"), when.alias("ts"), none.alias("accepted")), step) for s in TRANSITIONS]
+    x = x.select("case_id", "range", "part", F.create_map(*[v for s, f in zip(TRANSITIONS, effects, strict=True) for v in (F.lit(s), f)]).alias("effect"), F.size("e").cast("long").alias("n"))
+
+    def join(acc, c):
+        f = F.element_at(c["effect"], acc["state"])
+        return F.struct(f["state"].alias("state"), F.coalesce(f["ts"], acc["ts"]).alias("ts"), (acc["accepted"] + f["accepted"]).alias("accepted"))
+
+    x = x.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("range", "part", F.map_entries("effect").alias("effect")))).alias("c"), F.sum("n").alias("n_events"))
+    parts = F.transform("c", lambda c: F.struct(F.map_from_entries(c["effect"]).alias("effect")))
+    start = F.struct(F.lit("pending").alias("state"), when.alias("ts"), none.alias("accepted"))
+    return x.select("case_id", F.aggregate(parts, start, join).alias("s"), "n_events").select("case_id", "s.state", "s.ts", "s.accepted", "n_events")
 
 
 def notifications(events: DataFrame, rules: DataFrame) -> DataFrame:

@@ -284,7 +284,7 @@ STRUCTURE_SQL = f"""WITH p0 AS (SELECT doc_id, text, list_filter({_HEADS}, lambd
 st AS (SELECT doc_id, CASE WHEN doc_id % 10 = 9 THEN text ELSE array_to_string(CASE WHEN doc_id % 4 = 0 THEN list_reverse(hs) ELSE hs END, chr(10)) || chr(10) || text || chr(10) || 'see Figure ' || (doc_id % 5) || ' and Table ' || (doc_id % 3) END AS text FROM p0),
 hl AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[\\r\\n]+'), lambda x: {q.strip('x')}), lambda x: x <> '' AND {_IS_HEAD}) AS hs FROM st),
 hd AS (SELECT doc_id, unnest(hs) AS h, unnest(generate_series(1, len(hs))) AS i FROM hl), hn AS (SELECT doc_id, i, {q.norm('h')} AS h FROM hd),
-pr AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM documents a JOIN documents b ON b.doc_id % 20 = (a.doc_id + 3) % 20 AND b.doc_id // 200 = a.doc_id // 200 WHERE a.doc_id <> b.doc_id),
+{LISTS_SQL}, {PAIRS_SQL}, pr AS (SELECT doc_a, doc_b FROM pairs),
 sm AS (SELECT doc_a, doc_b, x.i, y.i AS j, CASE WHEN greatest(length(x.h), length(y.h)) = 0 THEN 100.0 ELSE {q.js1('(1 - levenshtein(x.h, y.h) / greatest(length(x.h), length(y.h))) * 100')} END AS sim FROM pr JOIN hn x ON x.doc_id = doc_a JOIN hn y ON y.doc_id = doc_b),
 be AS (SELECT doc_a, doc_b, i, j FROM (SELECT *, row_number() OVER (PARTITION BY doc_a, doc_b, i ORDER BY sim DESC, j) AS n FROM sm WHERE sim > 0) WHERE n = 1 AND sim >= 75),
 od AS (SELECT *, j > coalesce(max(j) OVER (PARTITION BY doc_a, doc_b ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ordered FROM be),
@@ -301,11 +301,8 @@ SELECT doc_a, doc_b, n_a::BIGINT AS n_a, n_b::BIGINT AS n_b, matches, in_order,
 def b01(spark, d):
     from lapwing.operators.structure import compare_structure
 
-    i = table(spark, d, "documents").select("doc_id")
-
-    left = i.select(F.col("doc_id").alias("doc_a"), ((F.col("doc_id") + 3) % 20).alias("k"), F.floor(F.col("doc_id") / 200).alias("z"))
-    right = i.select(F.col("doc_id").alias("doc_b"), (F.col("doc_id") % 20).alias("k"), F.floor(F.col("doc_id") / 200).alias("z"))
-    return compare_structure(left.join(right, ["k", "z"]).where("doc_a <> doc_b").select("doc_a", "doc_b"), structured(spark, d))
+    pairs, _ = likely_pairs(spark, d)
+    return compare_structure(pairs.select("doc_a", "doc_b"), structured(spark, d))
 
 
 PHRASES_SQL = f"""WITH {SENTENCES_SQL}, s0 AS (SELECT doc_id, idx, text, {q.toks('text')} AS tokens, {_CT.format(q.toks('text'))} AS content, {q.fold("regexp_replace(lower(text), '[^a-zA-Z0-9_\\s]', ' ', 'g')")} AS p FROM spans WHERE idx % 3 = 0),

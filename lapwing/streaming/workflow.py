@@ -2,50 +2,99 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.utils import AnalysisException
 
 from lapwing.operators import review
+from lapwing.operators.durable import durable
 
 STATE = "case_id long, state string, accepted long, rejected long"
+_HELD = "state string, accepted long, rejected long, held string"
 
 
-def review_states(events: DataFrame) -> DataFrame:
-    """A row of each case after every batch that touches it: its state after the last accepted event.
+def review_states(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """A row of each case whenever events of it are settled: its state after the last accepted one.
 
-    ``events``: case_id, event_id, ts, state.  A case's events of one batch are
-    folded in their order; batches come in theirs.
+    ``events``: case_id, event_id, ts (timestamp), state.  Events may come up to
+    ``delay`` behind the newest one: each waits in its case's state until the
+    watermark has passed it, a timer wakes the case then, and what waited is folded in
+    the order of time.  Later ones than that are left out.
     """
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, accepted, rejected = state.get if state.exists else ("pending", 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for new in rows["state"]:
+        now, accepted, rejected, held = state.get if state.exists else ("pending", 0, 0, "[]")
+        waiting = [tuple(e) for e in json.loads(held)]
+        if not state.hasTimedOut:
+            for rows in batches:
+                at = rows["ts"].astype("datetime64[us]").astype("int64")
+                waiting += zip(at.tolist(), rows["event_id"].tolist(), rows["state"].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting.sort()
+        settled = [e for e in waiting if e[0] <= passed]
+        waiting = waiting[len(settled) :]
+        for _, _, new in settled:
             if new == now or new in review.TRANSITIONS.get(now, ()):
                 now, accepted = new, accepted + 1
             else:
                 rejected += 1
-        state.update((now, accepted, rejected))
-        yield pd.DataFrame({"case_id": [key[0]], "state": [now], "accepted": [accepted], "rejected": [rejected]})
+        state.update((now, accepted, rejected, json.dumps(waiting)))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, state.getCurrentWatermarkMs()) + 1)
+        if settled:
+            yield pd.DataFrame({"case_id": [key[0]], "state": [now], "accepted": [accepted], "rejected": [rejected]})
 
-    return events.groupBy("case_id").applyInPandasWithState(step, STATE, "state string, accepted long, rejected long", "update", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark("ts", delay).groupBy("case_id")
+    return timed.applyInPandasWithState(step, STATE, _HELD, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Parts of the table of notices; a batch rewrites those that its students are in.
+BUCKETS = 64
+_NOTICE = "student_id string, submission_id long, type string, title string, ts timestamp, read boolean"
+
+
+def _newest(spark: SparkSession, target: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """The newest version of each part, among those ``before`` a batch if given."""
+    try:
+        x = spark.read.schema(f"{_NOTICE}, bucket int, version long").parquet(target)
+    except AnalysisException:  # nothing was written yet
+        return spark.createDataFrame([], _NOTICE)
+    if before is not None:
+        x = x.where(F.col("version") < before)
+    if buckets is not None:
+        x = x.where(F.col("bucket").isin(buckets))
+    last = x.groupBy("bucket").agg(F.max("version").alias("version"))  # of the parts' names
+    return x.join(F.broadcast(last), ["bucket", "version"]).drop("bucket", "version")  # a row a part
 
 
 def merge_notices(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest notice of each student, submission and type in ``target``: every batch writes a new version of the table."""
+    """Keep the newest notice of each student, submission and type in ``target``.
+
+    The table is dealt by student; a batch reads the newest version of the parts that
+    it touches and writes new ones, all others stay as they are.  A batch that is run
+    again only reads versions before it and replaces its own.
+    """
     keys = ["student_id", "submission_id", "type"]
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        new = review.notices(batch)
-        if batch_id:
-            old = batch.sparkSession.read.parquet(f"{target}/version={batch_id - 1}")
-            every = old.unionByName(new.select(*old.columns))
-            new = every.groupBy(*keys).agg(F.max_by(F.struct("title", "ts", "read"), F.col("ts")).alias("n")).select(*keys, "n.*")
-        new.write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        spark = batch.sparkSession
+        new = durable(review.notices(batch).withColumn("submission_id", F.col("submission_id").cast("long")), "notices")
+        bucket = F.pmod(F.xxhash64("student_id"), F.lit(BUCKETS)).cast("int")
+        touched = [r[0] for r in new.select(bucket).distinct().collect()]  # `BUCKETS` numbers at most
+        old = _newest(spark, target, batch_id, touched)
+        every = old.unionByName(new.select(*old.columns))
+        merged = every.groupBy(*keys).agg(F.max_by(F.struct("title", "ts", "read"), F.col("ts")).alias("n")).select(*keys, "n.*")
+        merged = merged.withColumn("bucket", bucket).withColumn("version", F.lit(batch_id).cast("long")).repartition("bucket")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(target)
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_notices(spark: SparkSession, target: str) -> DataFrame:
+    return _newest(spark, target)
