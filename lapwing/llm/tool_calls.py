@@ -93,29 +93,76 @@ def _levels(node: DataFrame, edges: DataFrame) -> tuple[DataFrame | None, DataFr
     """``conv_id, call_id, late, level`` of the calls in conversations where the order by turn is not topological, and those that no order suits.
 
     A call is due at its turn, or at the latest turn at which one that it needs
-    is, and then one level above it.  Rounds of joins raise calls until none
-    moves.  Levels beyond the number of a conversation's calls tell a cycle.
-    Both are None where every call only needs calls of earlier turns.
+    is, and then one level above it.  Both are None where every call only needs
+    calls of earlier turns.
+
+    Calls that need one other are pointers, which are doubled: chains and simple
+    cycles of n calls take log n rounds, and a pointer that never ends has passed a
+    cycle.  What is left are calls that need several, of which rounds of joins raise
+    those that must be; a call that still moves when there have been more rounds than such
+    calls stands behind a cycle.  Levels as high as a conversation has calls tell the lost.
     """
     key = ["conv_id", "call_id"]
     odd = cut(edges.where("needs_at >= at").select("conv_id").distinct(), "odd")
     if not odd.limit(1).count():
         return None, None
     edges = cut(edges.join(odd, "conv_id", "left_semi").select(*key, "needs"), "edges")
-    calls = node.join(odd, "conv_id", "left_semi")
-    most = calls.groupBy("conv_id").agg(F.count("*").cast("int").alias("most"))
-    state = cut(calls.join(most, "conv_id").select(*key, F.col("at").alias("late"), F.lit(0).alias("level"), "most"), "state")
+    calls = node.join(odd, "conv_id", "left_semi").select(*key, F.col("at").alias("late"))
+    most = calls.groupBy("conv_id").agg(F.count("*").alias("most"))
+    n = edges.groupBy(*key).agg(F.count("*").alias("n"), F.first("needs").alias("to"))
+    calls = cut(calls.join(most, "conv_id").join(n, key, "left").fillna(0, ["n"]).withColumn("level", F.lit(0).cast("long")), "calls")
+
+    value = F.struct("late", "level")
+    chain = cut(calls.where("n = 1").select(*key, "late", "level", "to", F.lit(1).cast("long").alias("length"), "most"), "chains")
+    while True:
+        on = chain.select("conv_id", F.col("call_id").alias("to"), F.col("late").alias("l"), F.col("level").alias("v"), F.col("to").alias("far"), F.col("length").alias("more"))
+        x = chain.join(on, ["conv_id", "to"], "left")
+        x = x.withColumn("goes", F.col("far").isNotNull() & (F.col("length") < 2 * F.col("most")))
+        far = F.struct(F.col("l").alias("late"), (F.col("v") + F.col("length")).alias("level"))
+        new = F.when(F.col("goes"), F.greatest(value, far)).otherwise(value)
+        x = x.select(*key, new["late"].alias("late"), new["level"].alias("level"), F.when(F.col("goes"), F.col("far")).otherwise(F.col("to")).alias("to"), (F.col("length") + F.when(F.col("goes"), F.col("more")).otherwise(0)).alias("length"), "most", "goes")
+        chain = cut(x, "chains")
+        if not chain.where("goes").limit(1).count():
+            break
+        chain = chain.drop("goes")
+    endless = F.col("length") >= 2 * F.col("most")
+    ends = chain.select("conv_id", F.col("call_id").alias("needs"), F.col("late").alias("l"), F.col("level").alias("v"), F.when(~endless, F.col("to")).alias("far"), F.col("length").alias("more"))
+
+    # calls of several needs: what chains and calls without needs give them at once, and what they wait for
+    several = calls.where("n > 1").select(*key, "late", "level", "most")
+    need = edges.join(several.select(*key), key, "left_semi").join(ends, ["conv_id", "needs"], "left")
+    need = need.withColumn("target", F.when(F.col("more").isNull(), F.col("needs")).otherwise(F.col("far"))).withColumn("length", F.coalesce("more", F.lit(0)) + 1)
+    plain = calls.where("n = 0").select("conv_id", F.col("call_id").alias("target"), F.col("late").alias("root"))
+    need = cut(need.join(plain, ["conv_id", "target"], "left"), "needs")
+    given = need.select(*key, F.explode(F.array(F.struct(F.col("l").alias("late"), (F.col("v") + 1).alias("level")), F.struct(F.col("root").alias("late"), F.col("length").alias("level")))).alias("g")).where("g.late is not null")
+    given = given.groupBy(*key).agg(F.max("g").alias("g"))
+    best = F.greatest(value, F.col("g"))
+    state = several.join(given, key, "left").select(*key, F.coalesce(best["late"], F.col("late")).alias("late"), F.coalesce(best["level"], F.col("level")).alias("level"), "most")
+    count = several.groupBy("conv_id").agg(F.count("*").alias("several"))
+    state = cut(state.join(count, "conv_id"), "state")
+    waits = need.where("root is null and target is not null").select(*key, "target", "length")
+    rounds = 0
     while True:
-        above = state.select("conv_id", F.col("call_id").alias("needs"), "late", F.least(F.col("level") + 1, F.col("most") + 1).alias("level"))
-        least = edges.join(above, ["conv_id", "needs"]).groupBy(*key).agg(F.max(F.struct("late", "level")).alias("least"))
-        now = F.struct("late", "level")
-        state = state.join(least, key, "left").withColumn("moves", F.coalesce(F.col("least") > now, F.lit(False)))
-        raised = [F.when(F.col("moves"), F.col("least")[c]).otherwise(F.col(c)).alias(c) for c in ("late", "level")]
-        state = cut(state.select(*key, *raised, "most", "moves"), "state")
+        above = state.select("conv_id", F.col("call_id").alias("target"), F.col("late").alias("l"), F.col("level").alias("v"))
+        least = waits.join(above, ["conv_id", "target"]).groupBy(*key).agg(F.max(F.struct(F.col("l").alias("late"), (F.col("v") + F.col("length")).alias("level"))).alias("least"))
+        rounds += 1
+        moves = F.coalesce(F.col("least") > value, F.lit(False)) & (F.col("level") < 4 * F.col("most"))
+        x = state.join(least, key, "left").withColumn("moves", moves)
+        # whoever moves after so many rounds does so for ever: far above all others, which they then raise once
+        raised = F.when(F.lit(rounds) > F.col("several"), 4 * F.col("most")).otherwise(F.col("least")["level"])
+        x = x.select(*key, F.when(F.col("moves"), F.col("least")["late"]).otherwise(F.col("late")).alias("late"), F.when(F.col("moves"), raised).otherwise(F.col("level")).alias("level"), "most", "several", "moves")
+        state = cut(x, "state")
         if not state.where("moves").limit(1).count():
             break
         state = state.drop("moves")
-    return state.select(*key, "late", "level"), state.where("level > most").select(*key)
+
+    done = state.select(*key, "late", "level", "most").union(calls.where("n = 0").select(*key, "late", "level", "most"))
+    far = done.select("conv_id", F.col("call_id").alias("to"), F.col("late").alias("l"), F.col("level").alias("v"))
+    x = chain.join(far, ["conv_id", "to"], "left")
+    own = F.when(endless | F.col("l").isNull(), value).otherwise(F.greatest(value, F.struct(F.col("l").alias("late"), (F.col("v") + F.col("length")).alias("level"))))
+    done = cut(done.union(x.select(*key, own["late"].alias("late"), own["level"].alias("level"), "most")), "levels")
+    lost = done.where("level >= most").select(*key)
+    return done.select(*key, "late", F.least("level", F.col("most") + 1).cast("int").alias("level")), lost
 
 
 def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:

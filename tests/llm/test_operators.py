@@ -394,3 +394,46 @@ def test_classifiers(spark):
     got = {r["doc_id"]: r["score"] for r in quality(docs, labels, F.col("doc_id") < 160).collect()}
     assert all((got[i] >= 0.3) == (i % 5 != 0) for i in range(240))
     assert train_rules(np.zeros((0, 13)), np.zeros(0)).rules == []
+
+
+def plain_levels(calls):
+    """(late, level) of each call of one conversation, raised one by one, and the calls of endless ones."""
+    value = {c: (t, 0) for c, t, _ in calls}
+    needs = {c: [n for n in ns if n in value] for c, _, ns in calls}
+    for r in range(3 * len(calls) + 3):
+        raised = {c: max([value[c]] + [(value[n][0], value[n][1] + 1) for n in needs[c]]) for c in value}
+        if raised == value:
+            return value, set()
+        value = raised
+    # endless: a level that the number of calls cannot give
+    return value, {c for c in value if value[c][1] >= len(calls)}
+
+
+def test_levels_of_random_needs(spark, monkeypatch):
+    """Chains, cycles of calls with one need and with several, and what stands behind them."""
+    rng = random.Random(12)
+    convs = {}
+    for c in range(40):
+        n = rng.randint(2, 12)
+        names = [f"c{i}" for i in range(n)]
+        convs[c] = [(x, rng.randint(0, 4), rng.sample(names, rng.choice([0, 1, 1, 1, 2, 3]) if n > 2 else 1)) for x in names]
+    calls = [(c, t, x, "search", "{}", ns) for c, rows in convs.items() for x, t, ns in rows]
+    calls += [(100, i, f"c{i}", "search", "{}", [f"c{(i + 1) % 1000}"]) for i in range(1000)]  # one cycle
+    calls += [(101, 1000 - i, f"c{i}", "search", "{}", [f"c{i - 1}"] if i else []) for i in range(1000)]  # one chain against the turns
+    df = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string, depends_on array<string>")
+    results = spark.createDataFrame([], "conv_id long, turn long, call_id string, content string")
+    cuts = []
+    real = tool_calls.cut
+    monkeypatch.setattr(tool_calls, "cut", lambda d, name="": cuts.append(name) or real(d, name))
+    got = {}
+    for r in tool_calls.link_tool_calls(df, results, tool_calls.chat_schemas(spark)).collect():
+        got.setdefault(r["conv_id"], {})[r["call_id"]] = (r["position"], r["ordered"])
+    assert cuts.count("chains") <= 13 and cuts.count("state") <= 15  # rounds
+    for c, rows in convs.items():
+        value, lost = plain_levels(rows)
+        assert {x for x, (_, ok) in got[c].items() if not ok} == lost
+        fine = [x for x in value if x not in lost]
+        order = sorted(fine, key=lambda x: (value[x], next(t for y, t, _ in rows if y == x), x))
+        assert sorted(fine, key=lambda x: got[c][x][0]) == order
+    assert not any(ok for _, ok in got[100].values())
+    assert [x for x, _ in sorted(got[101].items(), key=lambda e: e[1][0])] == [f"c{i}" for i in range(1000)] and all(ok for _, ok in got[101].values())
