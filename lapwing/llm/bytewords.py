@@ -102,6 +102,14 @@ def find_words(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray = SPACED,
     return np.searchsorted(offs, begin, side="right") - 1, begin, np.concatenate(sizes), np.concatenate(hashes)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order: one sort, several times as fast as numpy's hash table of large arrays."""
+    x = np.sort(x)
+    first = np.ones(len(x), dtype=bool)
+    first[1:] = x[1:] != x[:-1]
+    return x[first]
+
+
 def row_bounds(row: np.ndarray, rows: int) -> np.ndarray:
     """Where each row's words begin and end in an array sorted by row."""
     return np.searchsorted(row, np.arange(rows + 1))

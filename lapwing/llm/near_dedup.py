@@ -77,7 +77,7 @@ def shingle_sets(col: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarra
             bounds = bw.row_bounds(row, rows)
             whole = np.array([bw.windows(h[bounds[r] : bounds[r + 1]], row[bounds[r] : bounds[r + 1]], int(count[r]))[0][0] for r in short], dtype=np.uint64)
             s, srow = np.concatenate([s, whole]), np.concatenate([srow, short])
-        key = np.unique(bw.keyed(srow, s))
+        key = bw.distinct(bw.keyed(srow, s))
         srow = (key >> np.uint64(64 - bw.ROW_BITS)).astype(np.int64)
         yield a, b, row, h, bw.mix(key << np.uint64(bw.ROW_BITS)), srow, np.bincount(srow, minlength=rows)
 

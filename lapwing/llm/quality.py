@@ -50,7 +50,7 @@ def statistics(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
 
     def unequal(hashes, where):
         bits = bw.bits_of(rows)
-        return np.bincount((np.unique(bw.keyed(where, hashes, bits)) >> np.uint64(64 - bits)).astype(np.int64), minlength=rows)
+        return np.bincount((bw.distinct(bw.keyed(where, hashes, bits)) >> np.uint64(64 - bits)).astype(np.int64), minlength=rows)
 
     tri, at = bw.windows(h, row, 3)
     n_tri = np.bincount(row[at], minlength=rows)
