@@ -341,8 +341,8 @@ def audit_rows(submissions: DataFrame) -> DataFrame:
 
 
 def write_audit_csv(rows: DataFrame, path: str) -> None:
-    """Write the list as CSV with a header, every value in quotes, in one ordered set of files."""
-    audit_rows(rows).write.mode("errorifexists").option("header", True).option("quoteAll", True).csv(path)
+    """Write the list as CSV with a header, every value in quotes and quotes in values doubled, in one ordered set of files."""
+    audit_rows(rows).write.mode("errorifexists").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def audit_report(submissions: DataFrame, matches: DataFrame, passages: DataFrame, reviews: DataFrame, role: Column, n_matches: int = 8, n_passages: int = 4) -> DataFrame:

@@ -6,10 +6,14 @@ course; region: institution), line items for matches, events for review actions.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lapwing.functions import text as t
 from lapwing.operators import candidates, review, style
+from lapwing.operators.durable import shared_dir
+from lapwing.operators.stored import KeyedTable
 from lapwing.operators import relational as r
 from lapwing.plans import sql as q
 from lapwing.plans.text_queries import KEYWORD_SCORES_SQL, table
@@ -338,7 +342,10 @@ def io13(spark, d):
     target = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), "o_orderdate", "o_orderkey")
     new = r.latest_by_key(rows, ["key"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("key", "value")
-    return r.upsert(target, new, ["key"], [F.col("value")])
+    stored = KeyedTable(spark, f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}", "key long, value double", ["key"])
+    for version, batch in enumerate((target, new)):
+        stored.upsert(batch, [], version)
+    return stored.read()
 
 
 @query("io14_io17_children", "SELECT l_orderkey AS parent, count(*) AS n FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY 1 UNION ALL SELECT o_orderkey, 1 FROM orders WHERE o_orderkey % 4 = 0 UNION ALL SELECT -c_custkey - 1, 1 FROM customer")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.functions import text as t
@@ -31,6 +31,14 @@ def document_profile(docs: DataFrame, least: int = 15, words_per_page: int = 450
     return docs.select("doc_id", n.cast("long").alias("word_count"), F.greatest(F.lit(1), F.ceil(n / words_per_page)).cast("long").alias("page_count"), F.when(F.length(s) < least, "failed").otherwise("ok").alias("status"), t.checksum(F.col("text")).alias("checksum"), t.snippet(F.col("text")).alias("snippet"))
 
 
+def scan_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, name, size, reason, media_type`` of every file below a folder, from its listing: no content is read.  Spark lists no empty files."""
+    x = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    x = x.select("path", name.alias("name"), F.col("length").alias("size"))
+    return x.select("*", reject_reason(F.col("name"), F.col("size")).alias("reason"), media_type(F.col("name")).alias("media_type"))
+
+
 def reject_reason(name: Column, size: Column, types: tuple[str, ...] = tuple(MEDIA_TYPES)) -> Column:
     """Why a file is not taken: ``too_large``, ``empty``, ``type``; null if it is."""
     n = F.lower(name)

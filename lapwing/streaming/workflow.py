@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.utils import AnalysisException
 
 from lapwing.operators import review
-from lapwing.operators.durable import durable
+from lapwing.operators.stored import KeyedTable
 
 STATE = "case_id long, state string, accepted long, rejected long"
 _HELD = "state string, accepted long, rejected long, held string"
@@ -54,47 +53,21 @@ def review_states(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return timed.applyInPandasWithState(step, STATE, _HELD, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-#: Parts of the table of notices; a batch rewrites those that its students are in.
-BUCKETS = 64
 _NOTICE = "student_id string, submission_id long, type string, title string, ts timestamp, read boolean"
 
 
-def _newest(spark: SparkSession, target: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
-    """The newest version of each part, among those ``before`` a batch if given."""
-    try:
-        x = spark.read.schema(f"{_NOTICE}, bucket int, version long").parquet(target)
-    except AnalysisException:  # nothing was written yet
-        return spark.createDataFrame([], _NOTICE)
-    if before is not None:
-        x = x.where(F.col("version") < before)
-    if buckets is not None:
-        x = x.where(F.col("bucket").isin(buckets))
-    last = x.groupBy("bucket").agg(F.max("version").alias("version"))  # of the parts' names
-    return x.join(F.broadcast(last), ["bucket", "version"]).drop("bucket", "version")  # a row a part
+def _notices(spark: SparkSession, target: str) -> KeyedTable:
+    return KeyedTable(spark, target, _NOTICE, ["student_id", "submission_id", "type"], ["student_id"])
 
 
 def merge_notices(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep the newest notice of each student, submission and type in ``target``.
-
-    The table is dealt by student; a batch reads the newest version of the parts that
-    it touches and writes new ones, all others stay as they are.  A batch that is run
-    again only reads versions before it and replaces its own.
-    """
-    keys = ["student_id", "submission_id", "type"]
-
+    """Keep the newest notice of each student, submission and type in ``target``, a :class:`KeyedTable` whose parts go by student."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = durable(review.notices(batch).withColumn("submission_id", F.col("submission_id").cast("long")), "notices")
-        bucket = F.pmod(F.xxhash64("student_id"), F.lit(BUCKETS)).cast("int")
-        touched = [r[0] for r in new.select(bucket).distinct().collect()]  # `BUCKETS` numbers at most
-        old = _newest(spark, target, batch_id, touched)
-        every = old.unionByName(new.select(*old.columns))
-        merged = every.groupBy(*keys).agg(F.max_by(F.struct("title", "ts", "read"), F.col("ts")).alias("n")).select(*keys, "n.*")
-        merged = merged.withColumn("bucket", bucket).withColumn("version", F.lit(batch_id).cast("long")).repartition("bucket")
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(target)
+        new = review.notices(batch).withColumn("submission_id", F.col("submission_id").cast("long"))
+        _notices(batch.sparkSession, target).upsert(new, [F.desc("ts")], batch_id)
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_notices(spark: SparkSession, target: str) -> DataFrame:
-    return _newest(spark, target)
+    return _notices(spark, target).read()

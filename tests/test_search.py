@@ -1,10 +1,12 @@
-"""Vector search, interval joins and writers against plain versions."""
+"""Vector search, interval joins, stored tables, files and writers against plain versions."""
 
 import random
 
 from pyspark.sql import functions as F
 
-from lapwing.operators import segment, vectors
+from lapwing.operators import relational, segment, vectors
+from lapwing.operators.stored import KeyedTable
+from lapwing.sources import ingest
 
 
 def unit(v):
@@ -77,3 +79,41 @@ def test_attributed_blocks_of_one_long_document(spark):
     p = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("passage"), (F.col("id") * 500 + 10).alias("start_char"), (F.col("id") * 500 + 90).alias("end_char"), F.lit("x").alias("text"))
     got = segment.attributed(b, p)
     assert got.count() == 20_000 and got.where("idx div 10 <> passage").count() == 0
+
+
+def test_stored_table_by_key(spark, tmp_path):
+    """Batches against a dictionary; only touched parts get a new version, and a batch that is offered again changes nothing."""
+    rng = random.Random(4)
+    table = KeyedTable(spark, f"{tmp_path}/t", "k long, v long", ["k"], buckets=8)
+    want = {}
+    for version in range(4):
+        rows = [(rng.randint(0, 30), rng.randint(0, 1000)) for _ in range(40 if version < 3 else 1)]
+        for _ in range(2):
+            table.upsert(spark.createDataFrame(rows, "k long, v long"), [F.desc("v")], version)
+        for k, v in rows:
+            want[k] = max(v, want.get(k, -1))
+    assert {r["k"]: r["v"] for r in table.read().collect()} == want
+    parts = spark.read.parquet(f"{tmp_path}/t").where("version = 3").select("bucket").distinct().count()
+    assert parts == 1 and table.read().count() == len(want)
+    assert KeyedTable(spark, f"{tmp_path}/none", "k long, v long", ["k"]).read().count() == 0
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    files = {"a.txt": b"some text", "deep/b.PDF": b"%PDF", "c.exe": b"x", "d.md": b""}
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = {r["name"]: (r["size"], r["reason"], r["media_type"]) for r in ingest.scan_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": (9, None, "text/plain"), "b.PDF": (4, None, "application/pdf"), "c.exe": (1, "type", "application/octet-stream")}
+
+
+def test_audit_list_as_csv(spark, tmp_path):
+    """Quotes, commas and line ends come back as they were."""
+    rows = [("1", 'He said "no", twice', "R,1", "C", "A\nB", 40, "E", "open", 2), ("2", "Ö", None, "C", "A", 0, "E", "open", 0)]
+    names = "submission_id string, student_name string, student_roll string, course_code string, assignment string, similarity int, evidence string, review_status string, citation_issues int"
+    submissions = spark.createDataFrame(rows, names)
+    list_ = relational.audit_rows(submissions)
+    relational.write_audit_csv(submissions, f"{tmp_path}/audit")
+    back = spark.read.csv(f"{tmp_path}/audit", header=True, multiLine=True, escape='"')
+    assert back.columns == list_.columns
+    assert sorted(tuple(v or "" for v in r) for r in back.collect()) == sorted(tuple(v or "" for v in r) for r in list_.collect())
