@@ -117,3 +117,18 @@ def test_audit_list_as_csv(spark, tmp_path):
     back = spark.read.csv(f"{tmp_path}/audit", header=True, multiLine=True, escape='"')
     assert back.columns == list_.columns
     assert sorted(tuple(v or "" for v in r) for r in back.collect()) == sorted(tuple(v or "" for v in r) for r in list_.collect())
+
+
+def test_embedding_by_a_users_model(spark):
+    """Each distinct text is embedded once, in batches of 16 at most; nulls are empty texts."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        assert 0 < len(texts) <= 16
+        seen.add(len(texts))
+        return [[float(len(t)), float(t.count("a"))] for t in texts]
+
+    rows = [(i, ["a", "bab", None, ""][i % 4] if i < 40 else f"text {i}") for i in range(80)]
+    got = {r["id"]: r["vector"] for r in vectors.embed_distinct(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", model).collect()}
+    assert got == {i: [float(len(t or "")), float((t or "").count("a"))] for i, t in rows}
+    assert seen.value == len({t or "" for _, t in rows})

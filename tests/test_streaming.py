@@ -27,6 +27,9 @@ def test_arriving_documents_meet_all_earlier_ones(spark, tmp_path):
     last = docs.where("doc_id % 3 = 2")  # a batch that is run again writes the same rows
     screening.screen_batch(last, 2, f"{tmp_path}/index", f"{tmp_path}/matches")
     assert screening.read_matches(spark, f"{tmp_path}/matches").count() == before
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    all_ = files(screening.postings(spark, f"{tmp_path}/index", 3, list(range(screening.BUCKETS))))
+    assert files(screening.postings(spark, f"{tmp_path}/index", 3, [5, 9])) <= 6 < all_
 
 
 def test_review_states_of_a_stream(spark, tmp_path):
