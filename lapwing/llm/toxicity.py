@@ -12,6 +12,7 @@ trained on labelled sentences.  A document's score is that of its worst one.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -364,16 +365,29 @@ def _scores(model: ToxicityModel, keep_below: float | None = None):
     return run
 
 
+def _trained(batches):
+    """The model of all rows (h, text, toxic), in one task; a text of several ids counts once, as not toxic if one label says so."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    rows.sort(key=lambda r: (-r["toxic"], r["h"], r["text"]))
+    rows = list({r["text"]: r for r in rows}.values())
+    model = train([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], dtype=bool))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> ToxicityModel:
-    """Fit on labelled rows ``labels(doc_id, toxic)``: at most ``max_toxic`` and ``max_other`` of either label, in hash order."""
+    """Fit on labelled rows ``labels(doc_id, toxic)``: at most ``max_toxic`` and ``max_other`` of either label, in hash order.
+
+    Null ids, labels and texts are left out; a document labelled twice counts as
+    toxic if one label says so.  Without toxic rows, or without others, the
+    model finds nothing.  One task trains; the driver gets the model alone.
+    """
     one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     picked = hash_sample(one.where("toxic = 1"), max_toxic, "doc_id").union(hash_sample(one.where("toxic <> 1"), max_other, "doc_id")).withColumn("h", F.xxhash64("doc_id"))
     # the picked ids are bounded by the two limits, and so are the texts of ids that rows repeat
     x = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("h", "text", "toxic")
     x = hash_sample(x.distinct(), max_toxic + max_other, "text")
-    rows = sorted(x.collect(), key=lambda r: (-r["toxic"], r["h"], r["text"]))
-    rows = list({r["text"]: r for r in rows}.values())
-    return train([r["text"] for r in rows], np.array([r["toxic"] == 1 for r in rows], dtype=bool))
+    made = x.repartition(1).mapInArrow(_trained, "model binary").first()
+    return pickle.loads(made[0]) if made else train([], np.zeros(0, dtype=bool))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
