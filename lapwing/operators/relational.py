@@ -72,12 +72,11 @@ def attention_items(submissions: DataFrame) -> DataFrame:
 
 def top_matches(matches: DataFrame, k: int = 8) -> DataFrame:
     """Of each submission the ``k`` best matches, as rows."""
-    w = Window.partitionBy("submission_id").orderBy(F.desc("similarity"), "match_id")
-    return matches.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return first_k(matches, "submission_id", [F.desc("similarity"), F.col("match_id")], k)
 
 
 def latest_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Keyed upsert: the last row of each key."""
+    """The first row of each key in an explicit order: a keyed upsert where that puts the latest first."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
@@ -131,11 +130,6 @@ def nested(parent: DataFrame, child: DataFrame, key: str, name: str, columns: li
     return x.withColumn(name, F.coalesce(name, F.array().cast(many.schema[name].dataType)))
 
 
-def first_by(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key in an explicit order."""
-    return latest_by_key(rows, keys, order)
-
-
 def with_at_least(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Keys with ``n`` rows or more, and how many."""
     return rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= n)
@@ -151,10 +145,6 @@ def work_of_student(assignments: DataFrame, submissions: DataFrame, student: str
     return x.select(*assignments.columns, F.col("s.submission_id").alias("submission_id"), F.coalesce("s.status", F.lit("not_submitted")).alias("status"))
 
 
-def sorted_rows(rows: DataFrame, *order: Column) -> DataFrame:
-    return rows.orderBy(*order)
-
-
 def merged_over(preferred: DataFrame, defaults: DataFrame, key: str) -> DataFrame:
     """All preferred rows, and the defaults whose key they lack."""
     return preferred.unionByName(defaults.join(preferred.select(key), key, "left_anti"))

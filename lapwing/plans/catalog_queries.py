@@ -238,7 +238,7 @@ def r04(spark, d):
 
 @query("r06_first_match", f"WITH {SUB_SQL} SELECT student_id, submission_id FROM (SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY created_at DESC, submission_id) AS n FROM sub) WHERE n = 1")
 def r06(spark, d):
-    return r.first_by(submissions(spark, d), ["student_id"], [F.desc("created_at"), F.col("submission_id")]).select("student_id", "submission_id")
+    return r.latest_by_key(submissions(spark, d), ["student_id"], [F.desc("created_at"), F.col("submission_id")]).select("student_id", "submission_id")
 
 
 @query("r07_busy_assignments", f"WITH {SUB_SQL} SELECT assignment_id * 100 + similarity % 100 AS assignment, count(*) AS n FROM sub GROUP BY 1 HAVING count(*) >= 2")
@@ -328,7 +328,7 @@ def r24(spark, d):
 @query("r25_io15_audit_list", f"WITH {SUB_SQL} SELECT submission_id::VARCHAR AS ID, student_name AS Student, student_roll AS Roll, course_code AS Course, assignment_id::VARCHAR AS Assignment, similarity || '%' AS Similarity, CASE WHEN similarity >= 40 THEN 'strong' WHEN similarity >= 20 THEN 'moderate' WHEN similarity > 0 THEN 'weak' ELSE 'none' END AS Evidence, review_status AS \"Review Status\", citation_issues::VARCHAR AS Citations FROM sub")
 def r25(spark, d):
     s = submissions(spark, d).withColumn("evidence", r.evidence_bucket(F.col("similarity"))).withColumn("assignment", F.col("assignment_id"))
-    return r.audit_rows(r.sorted_rows(s, F.desc("similarity"), F.col("submission_id")))
+    return r.audit_rows(s.orderBy(F.desc("similarity"), F.col("submission_id")))
 
 
 @query("r27_merge_union", "SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT o_custkey, 'default' FROM (SELECT DISTINCT o_custkey FROM orders) WHERE NOT (o_custkey % 3 = 0 AND o_custkey IN (SELECT c_custkey FROM customer))")
