@@ -135,11 +135,24 @@ def _overlapping(b: DataFrame, p: DataFrame, width: int) -> DataFrame:
     return met.where(F.greatest("_bs", "start_char") < F.least("_be", "end_char")).select("doc_id", "idx", "passage")
 
 
-def _holding(texts: DataFrame, openings: DataFrame, gram: int = 15) -> DataFrame:
+#: Texts times openings of a document up to which each is held against each.
+FEW = 10_000
+
+
+def _holding(texts: DataFrame, openings: DataFrame, few: int = FEW) -> DataFrame:
     """``doc_id, t, o`` of ``texts(doc_id, t, text)`` that hold one of their document's ``openings(doc_id, o, opening)``.
 
-    An opening is looked up by its first ``gram`` characters among all stretches of
-    that length in the texts, or by all of it where it is shorter; then the whole decides.
+    A document of ``few`` pairs is looked through pair by pair, one of more by :func:`_holding_by_grams`.
+    """
+    n = texts.groupBy("doc_id").agg(F.count("*").alias("_n")).join(openings.groupBy("doc_id").agg(F.count("*").alias("_m")), "doc_id")
+    small, large = (n.where((F.col("_n") * F.col("_m") <= few) == F.lit(v)).select("doc_id") for v in (True, False))
+    near = texts.join(small, "doc_id").join(openings, "doc_id").where(F.contains("text", "opening")).select("doc_id", "t", "o")
+    return near.union(_holding_by_grams(texts.join(large, "doc_id"), openings.join(large, "doc_id")))
+
+
+def _holding_by_grams(texts: DataFrame, openings: DataFrame, gram: int = 15) -> DataFrame:
+    """An opening is looked up by its first ``gram`` characters among all stretches of that length in the texts, or by all of
+    it where it is shorter; then the whole decides.
     """
     o = openings.withColumn("_n", F.least(F.length("opening"), F.lit(gram))).withColumn("_key", F.substring("opening", F.lit(1), F.col("_n")))
     sizes = o.groupBy("doc_id").agg(F.collect_set("_n").alias("_sizes"))  # `gram` numbers at most
@@ -149,20 +162,20 @@ def _holding(texts: DataFrame, openings: DataFrame, gram: int = 15) -> DataFrame
     return x.join(o, ["doc_id", "_n", "_key"]).where(F.contains("text", "opening")).select("doc_id", "t", "o")
 
 
-def attributed(blocks: DataFrame, passages: DataFrame, shown: int = 35, least: int = 15, width: int = 1024) -> DataFrame:
+def attributed(blocks: DataFrame, passages: DataFrame, shown: int = 35, least: int = 15, width: int = 1024, few: int = FEW) -> DataFrame:
     """``doc_id, idx, passage``: of each block the first passage that overlaps its characters or, if a passage has no
     place, whose opening the block holds, or the other way round.
 
     ``blocks``: doc_id, idx, text, start_char, end_char.  ``passages``: doc_id, passage, start_char, end_char, text.
-    Neither way compares all blocks of a document with all of its passages.
+    Neither way compares all blocks of a large document with all of its passages.
     """
     b = blocks.select("doc_id", "idx", F.lower(t.strip_space(F.col("text"))).alias("_b"), F.col("start_char").alias("_bs"), F.col("end_char").alias("_be"))
     placed = F.col("start_char").isNotNull() & F.col("end_char").isNotNull()
     hit = _overlapping(b, passages.where(placed), width)
     q = passages.where(~placed).select("doc_id", "passage", F.lower(t.strip_space(F.col("text"))).alias("_q")).where(F.length("_q") >= least)
-    held = _holding(b.select("doc_id", F.col("idx").alias("t"), F.col("_b").alias("text")), q.select("doc_id", F.col("passage").alias("o"), F.substring("_q", 1, shown).alias("opening")))
+    held = _holding(b.select("doc_id", F.col("idx").alias("t"), F.col("_b").alias("text")), q.select("doc_id", F.col("passage").alias("o"), F.substring("_q", 1, shown).alias("opening")), few)
     hit = hit.union(held.select("doc_id", F.col("t").alias("idx"), F.col("o").alias("passage")))
-    held = _holding(q.select("doc_id", F.col("passage").alias("t"), F.col("_q").alias("text")), b.select("doc_id", F.col("idx").alias("o"), F.substring("_b", 1, shown).alias("opening")))
+    held = _holding(q.select("doc_id", F.col("passage").alias("t"), F.col("_q").alias("text")), b.select("doc_id", F.col("idx").alias("o"), F.substring("_b", 1, shown).alias("opening")), few)
     hit = hit.union(held.select("doc_id", F.col("o").alias("idx"), F.col("t").alias("passage")))
     return hit.groupBy("doc_id", "idx").agg(F.min("passage").alias("passage"))
 

@@ -69,8 +69,9 @@ def test_attributed_blocks(spark):
             passages.append((d, k, s if placed else None, s + rng.randint(0, 90) if placed else None, rng.choice([src, src[5:], "Alpha beta nothing like it"])))
     b = spark.createDataFrame(blocks, "doc_id long, idx long, text string, start_char long, end_char long")
     p = spark.createDataFrame(passages, "doc_id long, passage long, start_char long, end_char long, text string")
-    got = {(r["doc_id"], r["idx"]): r["passage"] for r in segment.attributed(b, p, width=16).collect()}
-    assert got == plain_attributed(blocks, passages)
+    for few in (0, 400, 10_000):  # all by grams, some, none
+        got = {(r["doc_id"], r["idx"]): r["passage"] for r in segment.attributed(b, p, width=16, few=few).collect()}
+        assert got == plain_attributed(blocks, passages)
 
 
 def test_attributed_blocks_of_one_long_document(spark):
