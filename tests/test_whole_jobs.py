@@ -22,3 +22,17 @@ def test_pseudo_perplexity_takes_the_value_as_it_is(spark, tmp_path):
     got, want = both(spark, tmp_path, "w10_w12_derived", events=events)
     assert canonical(got) == canonical(want)
     assert got.set_index("event_id")["perplexity"][72798] == 58
+
+
+def long_texts(spark):
+    """Two texts of 100 tokens with a sentence of twelve in common, 8 of 96 shingles, and a short one of its own."""
+    same = "Harvest moons rise over quiet marble harbours while seven old ferries sleep."
+    own = [" ".join(f"w{k}x{i}" for i in range(44)) + "." for k in range(4)]
+    rows = [(1, f"{own[0]} {same} {own[1]}"), (2, f"{own[2]} {same} {own[3]}"), (3, "Nothing here is like them.")]
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_sentences_of_long_texts_with_a_small_share_meet(spark, tmp_path):
+    got, want = both(spark, tmp_path, "c02_sentence_candidates", documents=long_texts(spark))
+    assert canonical(got) == canonical(want)
+    assert {(r.doc_a, r.doc_b, r.a, r.b) for r in got.itertuples()} == {(1, 2, 1, 1)}
