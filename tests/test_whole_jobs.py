@@ -36,3 +36,9 @@ def test_sentences_of_long_texts_with_a_small_share_meet(spark, tmp_path):
     got, want = both(spark, tmp_path, "c02_sentence_candidates", documents=long_texts(spark))
     assert canonical(got) == canonical(want)
     assert {(r.doc_a, r.doc_b, r.a, r.b) for r in got.itertuples()} == {(1, 2, 1, 1)}
+
+
+def test_best_sentences_of_long_texts_are_scored(spark, tmp_path):
+    got, want = both(spark, tmp_path, "f01_f04_fuzzy", documents=long_texts(spark))
+    assert canonical(got) == canonical(want)
+    assert [(r.doc_a, r.doc_b, r.span, r.edit) for r in got.itertuples()] == [(1, 2, 1, 100.0)]
