@@ -42,3 +42,12 @@ def test_best_sentences_of_long_texts_are_scored(spark, tmp_path):
     got, want = both(spark, tmp_path, "f01_f04_fuzzy", documents=long_texts(spark))
     assert canonical(got) == canonical(want)
     assert [(r.doc_a, r.doc_b, r.span, r.edit) for r in got.itertuples()] == [(1, 2, 1, 100.0)]
+
+
+def test_peers_of_an_assignment_are_found_all_over_the_table(spark, tmp_path):
+    """Assignments have as many peers as there are texts, not 40 neighbours; every assignment has queries."""
+    docs = spark.range(1000).selectExpr("id AS doc_id", "'a text that is long enough to be compared ' || id AS text")
+    got, want = both(spark, tmp_path, "c06_c12_peers", documents=docs, benchmark=spark.createDataFrame([(7, "x")], "item_id long, text string"))
+    assert canonical(got) == canonical(want)
+    assert (20, 422) in set(zip(got["doc_id"], got["peer_id"], strict=True))
+    assert {d // 20 % 20 for d in got["doc_id"]} == set(range(20))
