@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from lapwing.operators import vectors
 from lapwing.plans import registry
 from test_oracles import canonical
 
@@ -51,3 +52,14 @@ def test_peers_of_an_assignment_are_found_all_over_the_table(spark, tmp_path):
     assert canonical(got) == canonical(want)
     assert (20, 422) in set(zip(got["doc_id"], got["peer_id"], strict=True))
     assert {d // 20 % 20 for d in got["doc_id"]} == set(range(20))
+
+
+def test_every_vector_is_compared_with_each_query(spark, tmp_path):
+    """All cosines, not the nearest ten; copies, opposite, null and short vectors are there, too."""
+    rows = [(i, [float((i * k) % 7 - 3) / 6 for k in range(1, 6)]) for i in range(41)] + [(41, None), (42, [0.5]), (43, [0.5, None, 0.5]), (44, [])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got, want = both(spark, tmp_path, "v04_dense_cosine", embeddings=e)
+    assert canonical(got) == canonical(want)
+    assert len(got) == 3 * (len(rows) - 1)
+    few = vectors.all_cosines(e.where("vec_id % 20 = 0"), e, of=2, by=7).toDF("a", "b", "semantic").toPandas()
+    assert canonical(few) == canonical(want)
