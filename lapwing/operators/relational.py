@@ -205,6 +205,21 @@ def visible_to(viewers: DataFrame, submissions: DataFrame, courses: DataFrame) -
     return out.distinct()
 
 
+def visible_totals(viewers: DataFrame, submissions: DataFrame, courses: DataFrame) -> DataFrame:
+    """``viewer_id, n, total``: how many submissions :func:`visible_to` shows to each viewer, and the sum of their ids.
+
+    Admins of the same institutions see the same, which is counted once for all
+    of them; no row is made for an admin and a submission.  Viewers of several roles meet their submissions pair by pair.
+    """
+    figures = (F.count("*").alias("n"), F.sum("submission_id").alias("total"))
+    admins = viewers.groupBy("viewer_id").agg(F.bool_and(F.coalesce(F.col("role") == "admin", F.lit(False))).alias("_only"), F.array_sort(F.collect_set("institution_id")).alias("_of"))
+    admins = admins.where("_only").select("viewer_id", "_of")
+    others = visible_to(viewers.join(admins.select("viewer_id"), "viewer_id", "left_anti"), submissions, courses).groupBy("viewer_id").agg(*figures)
+    within = admins.select("_of").distinct().select("_of", F.explode("_of").alias("institution_id")).join(courses.select("institution_id", "course_id"), "institution_id")
+    seen = within.select("_of", "course_id").distinct().join(submissions.select("submission_id", "course_id"), "course_id").select("_of", "submission_id").distinct()
+    return admins.join(seen.groupBy("_of").agg(*figures), "_of").select("viewer_id", "n", "total").union(others)
+
+
 #: Fixed texts that stand for what a student may not see.
 PROTECTED_PATH, PROTECTED_PEER = "[PROTECTED_STORAGE_URI]", "Peer Student Submission (Protected)"
 

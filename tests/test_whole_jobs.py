@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lapwing.operators import vectors
+from lapwing.operators import relational, vectors
 from lapwing.plans import registry
 from test_oracles import canonical
 
@@ -63,3 +63,16 @@ def test_every_vector_is_compared_with_each_query(spark, tmp_path):
     assert len(got) == 3 * (len(rows) - 1)
     few = vectors.all_cosines(e.where("vec_id % 20 = 0"), e, of=2, by=7).toDF("a", "b", "semantic").toPandas()
     assert canonical(few) == canonical(want)
+
+
+def test_totals_of_viewers_are_those_of_the_pairs(spark):
+    """Admins of one and of several institutions, of none, and with a second role; no pair is made for an admin alone."""
+    v = [(1, "admin", 0, "a"), (2, "admin", 0, "b"), (2, "admin", 1, "b"), (3, "admin", None, "c"), (4, "admin", 1, "d"), (4, "student", 1, "r7"), (5, "faculty", 0, "e"), (6, "student", 0, "R7"), (7, None, 0, "f")]
+    viewers = spark.createDataFrame(v, "viewer_id long, role string, institution_id long, roll string")
+    courses = spark.createDataFrame([(10, "X", 5, 0), (10, "X", 5, 1), (11, "Y", 6, 1), (12, "x", 5, 2)], "course_id long, course_code string, faculty_id long, institution_id long")
+    s = [(i, i % 9, f"r{i % 10}", 10 + i % 3 if i % 4 else None, "x" if i % 5 else None) for i in range(60)]
+    submissions = spark.createDataFrame(s, "submission_id long, student_id long, student_roll string, course_id long, course_code string")
+    got = relational.visible_totals(viewers, submissions, courses).toPandas()
+    pairs = relational.visible_to(viewers, submissions, courses).toPandas()
+    want = pairs.groupby("viewer_id")["submission_id"].agg(n="count", total="sum").reset_index()
+    assert canonical(got) == canonical(want) and {1, 2, 4, 5, 6} == set(got["viewer_id"])
