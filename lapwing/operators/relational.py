@@ -37,12 +37,15 @@ def optional_filters(df: DataFrame, search: str | None = None, search_in: tuple[
 
 
 def identity_join(left: DataFrame, people: DataFrame) -> DataFrame:
-    """``left(key, id, roll, name)`` to ``people(person_id, roll, name)`` by id, else roll, else name: three equi-joins, the best one kept."""
+    """``left(key, id, roll, name)`` to ``people(person_id, roll, name)`` by id, else roll, else name: three equi-joins, the best one kept.
+
+    Of people with one roll or name only the least id can be kept, so the others are left out before they meet anyone.
+    """
     a = left.select("key", "id", F.col("roll").alias("r"), F.lower("name").alias("n"))
     legs = [
         a.join(people.select("person_id"), F.col("id") == F.col("person_id")).select("key", "person_id", F.lit(1).alias("by")),
-        a.join(people.select("person_id", "roll"), F.col("r") == F.col("roll")).select("key", "person_id", F.lit(2).alias("by")),
-        a.join(people.select("person_id", F.lower("name").alias("pn")), F.col("n") == F.col("pn")).select("key", "person_id", F.lit(3).alias("by")),
+        a.join(people.groupBy("roll").agg(F.min("person_id").alias("person_id")), F.col("r") == F.col("roll")).select("key", "person_id", F.lit(2).alias("by")),
+        a.join(people.groupBy(F.lower("name").alias("pn")).agg(F.min("person_id").alias("person_id")), F.col("n") == F.col("pn")).select("key", "person_id", F.lit(3).alias("by")),
     ]
     every = legs[0].unionByName(legs[1]).unionByName(legs[2])
     return every.groupBy("key").agg(F.min(F.struct("by", "person_id")).alias("m")).select("key", "m.person_id", "m.by")

@@ -76,3 +76,13 @@ def test_totals_of_viewers_are_those_of_the_pairs(spark):
     pairs = relational.visible_to(viewers, submissions, courses).toPandas()
     want = pairs.groupby("viewer_id")["submission_id"].agg(n="count", total="sum").reset_index()
     assert canonical(got) == canonical(want) and {1, 2, 4, 5, 6} == set(got["viewer_id"])
+
+
+def test_many_people_of_one_roll_do_not_multiply_rows(spark):
+    """A roll and a name of 20,000 people and as many rows: 800 million matches, of which one a row counts."""
+    left = spark.range(20000).selectExpr("id AS key", "-1L - id AS id", "'r' AS roll", "'Name' AS name")
+    people = spark.range(20000).selectExpr("id + 5 AS person_id", "if(id = 0, null, 'r') AS roll", "'nAme' AS name")
+    got = relational.identity_join(left, people)
+    assert [tuple(r) for r in got.select("person_id", "by").distinct().collect()] == [(6, 2)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min(person_id") == 2  # people are one a roll and one a name before they are joined
