@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lapwing.operators import relational, vectors
+from lapwing.operators import relational, review, vectors
 from lapwing.plans import registry
 from test_oracles import canonical
 
@@ -86,3 +86,22 @@ def test_many_people_of_one_roll_do_not_multiply_rows(spark):
     assert [tuple(r) for r in got.select("person_id", "by").distinct().collect()] == [(6, 2)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("min(person_id") == 2  # people are one a roll and one a name before they are joined
+
+
+def test_notices_of_many_students_of_a_roll_are_not_gathered(spark):
+    """A notice found by id and by roll comes once, and what the join gives is not grouped: a task would hold all that a roll's students get."""
+    s = [(i, "Z" if i < 20 else str(i % 45)) for i in range(200)] + [(7, "z"), (46, "1"), (300, None), (5, "5"), (None, "9")]
+    n = [("z", 1, "a", 5), ("Z", 2, "b", 6), ("7", 1, "a", 7), ("5", 3, "c", 4), ("30", 1, "a", 3), ("30", 1, "a", 3), ("nobody", 1, "a", 1), (None, 2, "a", 1), ("9", 8, "d", 9)]
+    students = spark.createDataFrame(s, "student_id long, roll string")
+    notes = spark.createDataFrame(n, "student_id string, submission_id long, type string, ts long")
+    got = review.inbox(notes, students)
+    con = duckdb.connect()
+    con.register("s", students.toPandas().astype({"student_id": "Int64"}))
+    con.register("n", notes.toPandas())
+    want = con.sql("""WITH x AS (SELECT s.student_id, n.student_id AS "to", submission_id, type, ts FROM n JOIN s ON n.student_id = s.student_id::VARCHAR
+     UNION SELECT s.student_id, n.student_id, submission_id, type, ts FROM n JOIN s ON lower(n.student_id) = lower(roll))
+     SELECT "to", submission_id, type, ts, student_id, row_number() OVER (PARTITION BY student_id ORDER BY ts DESC, submission_id, type) AS rank FROM x""").df()
+    whole = {"student_id": "Int64"}
+    assert canonical(got.toPandas().astype(whole)) == canonical(want.astype(whole))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rfind("Join") > plan.find("Join") > 0 and "Aggregate" not in plan[: plan.find("Join")]
