@@ -83,6 +83,18 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+#: Parts over which rows are dealt for several joins on one key.
+PARTS = 128
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by ``key`` over a fixed number of parts, which the joins on it then share.
+
+    All of them sort in one task a part. Parts of a few packed keys look small, so Spark would put many together if it chose their number.
+    """
+    return rows.repartition(PARTS, key)
+
+
 def insert_absent(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return target.unionByName(rows.join(target.select(key), key, "left_anti"))
 

@@ -105,3 +105,18 @@ def test_notices_of_many_students_of_a_roll_are_not_gathered(spark):
     assert canonical(got.toPandas().astype(whole)) == canonical(want.astype(whole))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.rfind("Join") > plan.find("Join") > 0 and "Aggregate" not in plan[: plan.find("Join")]
+
+
+def test_children_are_dealt_once_over_a_fixed_number_of_parts(spark, tmp_path):
+    """Joins on one key follow one another in a task: all their rows are dealt over as many parts, and children are not joined with the same new ones again."""
+    tables = {
+        "lineitem": spark.createDataFrame([(k,) for k in (1, 1, 2, 4, 4, 8, 9)], "l_orderkey long"),
+        "orders": spark.createDataFrame([(k,) for k in (1, 2, 4, 8, 9, 12)], "o_orderkey long"),
+        "customer": spark.createDataFrame([(0,), (3,)], "c_custkey long"),
+    }
+    got, want = both(spark, tmp_path, "io14_io17_children", **tables)
+    assert canonical(got) == canonical(want)
+    plan = registry.QUERIES["io14_io17_children"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "RepartitionByExpression" in x]
+    assert len(dealt) >= plan.count("Relation [") >= 7 and all(f", {relational.PARTS}" in x for x in dealt)
+    assert plan.count("Join") <= 5
