@@ -120,3 +120,21 @@ def test_children_are_dealt_once_over_a_fixed_number_of_parts(spark, tmp_path):
     dealt = [x for x in plan.splitlines() if "RepartitionByExpression" in x]
     assert len(dealt) >= plan.count("Relation [") >= 7 and all(f", {relational.PARTS}" in x for x in dealt)
     assert plan.count("Join") <= 5
+
+
+def test_style_is_made_in_the_row_of_each_text(spark, tmp_path):
+    """Neither sentences nor 3-grams are dealt out; repeats that overlap, odd letters and empty texts count as in the SQL."""
+    texts = [
+        "",
+        " \n ",
+        "word",
+        "a b c a b c a b c a b c. x y z! x y z? x y z",
+        "One two three. One two four. One five.\n\n\nOne two six\n \nİstanbul ΣΑΣ K2 don't stop. Don't stop now! don't stop. 'Tis -- --.",
+        "Moreover, MOREOVER. moreovers; furthermore testament serves as a testament. In conclusion: it is worth noting\tthat. delves delve delving",
+        "Ha ha ha ha ha ha. Ha ha ha ha. End of it all here. Ha ha so it goes on. Ha ha once more it goes. Well then it ends. Here we are at last",
+    ]
+    docs = spark.createDataFrame([(5 * i + k, x) for i, x in enumerate(texts) for k in (0, 2)], "doc_id long, text string")
+    got, want = both(spark, tmp_path, "w01_w07_style", documents=docs)
+    assert canonical(got) == canonical(want)
+    plan = registry.QUERIES["w01_w07_style"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and not any(x in plan for x in ("Generate", "Window", "Aggregate", "Join"))
