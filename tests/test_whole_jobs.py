@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lapwing.operators import relational, review, vectors
+from lapwing.operators import meetings, relational, review, shingles, vectors
 from lapwing.plans import registry
 from test_oracles import canonical
 
@@ -138,3 +138,17 @@ def test_style_is_made_in_the_row_of_each_text(spark, tmp_path):
     assert canonical(got) == canonical(want)
     plan = registry.QUERIES["w01_w07_style"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Repartition") == 1 and not any(x in plan for x in ("Generate", "Window", "Aggregate", "Join"))
+
+
+def test_pairs_of_a_frequent_passage_are_no_rows_of_a_shuffle(spark, tmp_path):
+    """A passage's shingles of the same documents are one item, whatever its length; pairs equal the SQL over several tiles."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{passage} " + " ".join(f"own{i}x{k}" for k in range(i % 9 * 40))) for i in range(60)] + [(100, passage), (101, "a b c d e"), (102, "z a b c d e"), (103, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lists = shingles.token_lists(docs)
+    items = meetings.shared_items(shingles.distinct_hashes(shingles.representatives(lists), 5)).collect()
+    assert {r["doc_id"]: r["weights"] for r in items if r["doc_id"] not in (101, 102)} == {r["doc_id"]: [56] for r in items if r["doc_id"] < 100}
+    got, want = both(spark, tmp_path, "c01_candidate_pairs", documents=docs)
+    assert len(want) > 1000 and canonical(got) == canonical(want)
+    tiled = shingles.candidate_pairs(lists, block=5).toPandas()
+    assert canonical(tiled) == canonical(want)
