@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lapwing.operators import meetings, relational, review, shingles, vectors
+from lapwing.operators import meetings, relational, review, shingles, structure, vectors
 from lapwing.plans import registry
 from test_oracles import canonical
 
@@ -152,3 +152,14 @@ def test_pairs_of_a_frequent_passage_are_no_rows_of_a_shuffle(spark, tmp_path):
     assert len(want) > 1000 and canonical(got) == canonical(want)
     tiled = shingles.candidate_pairs(lists, block=5).toPandas()
     assert canonical(tiled) == canonical(want)
+
+
+def test_structures_are_compared_once_for_all_pairs_that_have_them(spark, tmp_path, monkeypatch):
+    asked = []
+    compare = structure._compare
+    monkeypatch.setattr(structure, "_compare", lambda pairs, *rest: asked.append(pairs) or compare(pairs, *rest))
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs = spark.createDataFrame([(i * 60, f"{passage} own{i}") for i in range(20)] + [(1, passage), (9, f"Methods\n\n{passage}"), (7, "")], "doc_id long, text string")
+    got, want = both(spark, tmp_path, "b01_b02_structure", documents=docs)
+    assert len(want) > 200 and canonical(got) == canonical(want)
+    assert asked[0].count() <= 9
