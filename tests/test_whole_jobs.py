@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lapwing.operators import meetings, relational, review, shingles, structure, vectors
 from lapwing.plans import registry
@@ -163,3 +164,15 @@ def test_structures_are_compared_once_for_all_pairs_that_have_them(spark, tmp_pa
     got, want = both(spark, tmp_path, "b01_b02_structure", documents=docs)
     assert len(want) > 200 and canonical(got) == canonical(want)
     assert asked[0].count() <= 9
+
+
+def test_containment_costs_the_shared_items_of_a_pair(spark, tmp_path):
+    """A passage of one size is one item of its documents; containments equal the SQL, common shingles and short texts included."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{passage} own{i} last{i}") for i in range(8)] + [(20, "a b c d e"), (21, "a b c d e f"), (22, "on the other hand it is"), (23, "on the other hand it was")], "doc_id long, text string")
+    sets = shingles.distinct_hashes(shingles.token_lists(docs), 4).withColumn("size", F.lit(4))
+    items = meetings.shared_items(sets, "size").where("doc_id < 8").collect()
+    assert [(r["size"], r["weights"]) for r in items] == [(4, [57])] * 8
+    for name in ("x05_single_scale", "x04_containment"):
+        got, want = both(spark, tmp_path / name, name, documents=docs)
+        assert len(want) >= 28 and canonical(got) == canonical(want)
