@@ -75,3 +75,12 @@ def test_tiles_of_two_documents(spark):
 
     got = meetings.in_tiles(pairs, rows, compare, "doc_a long, doc_b long, s long", side=2).collect()
     assert sorted(map(tuple, got)) == sorted((i, k, i + k) for i in range(19) for k in range(19) if i != k)
+
+
+def test_vectors_of_pairs_meet_in_tiles(spark, tmp_path):
+    """A document's vector is sent once a tile; texts without content tokens have none, and their pairs score 0."""
+    docs = odd_texts(spark).where("text is not null").union(spark.createDataFrame([(50, "a b c d e f"), (51, "b c d e f a b c d e f g")], "doc_id long, text string"))
+    got, want = both(spark, tmp_path, "v01_v03_semantic", documents=docs)
+    assert len(want) > 40 and 0.0 in set(want["semantic"]) and canonical(got) == canonical(want)
+    plan = plan_of(spark, tmp_path, "v01_v03_semantic")
+    assert "Join" not in plan and plan.count("Aggregate") == 1
