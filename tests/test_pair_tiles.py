@@ -84,3 +84,13 @@ def test_vectors_of_pairs_meet_in_tiles(spark, tmp_path):
     assert len(want) > 40 and 0.0 in set(want["semantic"]) and canonical(got) == canonical(want)
     plan = plan_of(spark, tmp_path, "v01_v03_semantic")
     assert "Join" not in plan and plan.count("Aggregate") == 1
+
+
+def test_runs_of_pairs_are_found_in_tiles(spark, tmp_path, monkeypatch):
+    """Runs that repeat on both sides and on several diagonals; no place of a shingle is a row."""
+    monkeypatch.setattr(meetings, "AT_A_TIME", 20)
+    docs = odd_texts(spark).where("text is not null")
+    got, want = both(spark, tmp_path, "x06_x08_verbatim_runs", documents=docs)
+    assert len(want) > 60 and canonical(got) == canonical(want)
+    plan = plan_of(spark, tmp_path, "x06_x08_verbatim_runs")
+    assert not any(x in plan for x in ("Join", "Window", "posexplode"))
