@@ -94,3 +94,13 @@ def test_runs_of_pairs_are_found_in_tiles(spark, tmp_path, monkeypatch):
     assert len(want) > 60 and canonical(got) == canonical(want)
     plan = plan_of(spark, tmp_path, "x06_x08_verbatim_runs")
     assert not any(x in plan for x in ("Join", "Window", "posexplode"))
+
+
+def test_sentences_of_pairs_meet_in_tiles(spark, tmp_path, monkeypatch):
+    """Ties, repeats and sentences without content tokens; a token of a pair is no row."""
+    monkeypatch.setattr(meetings, "AT_A_TIME", 20)
+    same = "Harvest moons rise over quiet marble harbours while seven old ferries sleep. It is. Moons moons sleep, harvest harvest. "
+    docs = spark.createDataFrame([(i, same * (1 + i % 3) + f"Own{i} ferries sleep over marble. Quiet own{i}.") for i in range(8)] + [(20, "of the and it is in that"), (21, "")], "doc_id long, text string")
+    got, want = both(spark, tmp_path, "c02_sentence_candidates", documents=docs)
+    assert len(want) > 200 and canonical(got) == canonical(want)
+    assert "Join" not in plan_of(spark, tmp_path, "c02_sentence_candidates")
