@@ -104,3 +104,9 @@ def test_sentences_of_pairs_meet_in_tiles(spark, tmp_path, monkeypatch):
     got, want = both(spark, tmp_path, "c02_sentence_candidates", documents=docs)
     assert len(want) > 200 and canonical(got) == canonical(want)
     assert "Join" not in plan_of(spark, tmp_path, "c02_sentence_candidates")
+
+
+def test_tokens_of_classes_are_made_once(spark, tmp_path):
+    got, want = both(spark, tmp_path, "c01_classes", documents=odd_texts(spark).where("text is not null"))
+    assert len(want) == 17 and canonical(got) == canonical(want)  # of 19 texts one is null and one empty
+    assert "regexp_replace" not in plan_of(spark, tmp_path, "c01_classes")  # the digests are a stage table
